@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .piece_bpe import encode_documents
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+def op6_sentencepiece_codec(spark, sf_dir):
+    import public_tokenizers
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_documents(read_table(spark, sf_dir, "documents"), model, keep_ids=False)
+
+
+QUERIES = {
+    "op3_exact_dedup": op3_exact_dedup,
+    "op6_sentencepiece_codec": op6_sentencepiece_codec,
+}
 
 ORACLE_SQL = {
     "op3_exact_dedup": r"""
