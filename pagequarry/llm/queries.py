@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from . import toxicity
 from .piece_bpe import encode_documents
 
 
@@ -18,9 +19,15 @@ def op6_sentencepiece_codec(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"), model, keep_ids=False)
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
