@@ -6,12 +6,17 @@ from .common import read_table
 from .exact_dedup import exact_dedup
 from . import toxicity
 from .piece_bpe import encode_documents
+from .repetition import quality_rules
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_repetition_rules(spark, sf_dir):
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_codec(spark, sf_dir):
     import public_tokenizers
 
@@ -26,6 +31,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_repetition_rules": op4_repetition_rules,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op10_toxicity": op10_toxicity,
 }
