@@ -5,10 +5,15 @@ from __future__ import annotations
 from .common import read_table
 from .exact_dedup import exact_dedup
 from . import toxicity
+from .pii import find_pii
 from .piece_bpe import encode_documents
 from .repetition import quality_rules
 
 
+def op2_contextual_pii(spark, sf_dir):
+    return find_pii(read_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_contextual_pii": op2_contextual_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_repetition_rules": op4_repetition_rules,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
