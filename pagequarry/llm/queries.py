@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from . import mixing, toxicity
 from .common import read_table
 from .exact_dedup import exact_dedup
-from . import toxicity
 from .pii import find_pii
 from .piece_bpe import encode_documents
 from .repetition import quality_rules
 
 
+def op1_source_mixing(spark, sf_dir):
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 6))
+
+
 def op2_contextual_pii(spark, sf_dir):
     return find_pii(read_table(spark, sf_dir, "documents"))
 
@@ -35,6 +41,7 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
     "op2_contextual_pii": op2_contextual_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_repetition_rules": op4_repetition_rules,
@@ -43,6 +50,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_source_mixing": mixing.SQL,
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
