@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, toxicity
+from . import chat, mixing, toxicity
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .pii import find_pii
@@ -35,6 +35,12 @@ def op6_sentencepiece_codec(spark, sf_dir):
     return encode_documents(read_table(spark, sf_dir, "documents"), model, keep_ids=False)
 
 
+def op7_perspective_rotation(spark, sf_dir):
+    turns = chat.rotate(read_table(spark, sf_dir, "conversations"))
+    digest = turns.withColumn("rendered_sha256", F.sha2("rendered", 256)).drop("rendered")
+    return digest.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("mask_start", "mask_end")})
+
+
 def op10_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -46,11 +52,13 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_repetition_rules": op4_repetition_rules,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
+    "op7_perspective_rotation": op7_perspective_rotation,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
     "op1_source_mixing": mixing.SQL,
+    "op7_perspective_rotation": chat.SQL,
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
