@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from . import chat, mixing, toxicity
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .near_join import near_join
 from .pii import find_pii
 from .piece_bpe import encode_documents
 from .repetition import quality_rules
@@ -41,6 +42,10 @@ def op7_perspective_rotation(spark, sf_dir):
     return digest.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("mask_start", "mask_end")})
 
 
+def op9_ngram_join(spark, sf_dir):
+    return near_join(read_table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
 def op10_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -53,6 +58,7 @@ QUERIES = {
     "op4_repetition_rules": op4_repetition_rules,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_perspective_rotation": op7_perspective_rotation,
+    "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
 
