@@ -272,14 +272,17 @@ def load(model_file: str, cache_segments: int = 800_000) -> PieceBpe:
     return _loaded[key]
 
 
-def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, if wanted), decoded text (if wanted) and digests of both, a row for each row."""
-    fields = [pa.field("doc_id", pa.int64()), pa.field("n_tokens", pa.int64()), pa.field("ids_sha256", pa.string()), pa.field("decoded_sha256", pa.string())]
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    if keep_ids:
-        fields += [pa.field("ids", pa.binary()), pa.field("decoded", pa.string())]
-        schema += ", ids binary, decoded string"
-    to = pa.schema(fields)
+#: What encoding can return beside doc_id, n_tokens and the two digests.
+OUTPUTS = {"ids": pa.binary(), "decoded": pa.string()}
+
+
+def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = tuple(OUTPUTS)) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and the outputs: a row for each row.
+
+    ids: little-endian unsigned 32-bit integers, with begin and end; decoded: the text of the ids.
+    """
+    to = pa.schema({"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()} | {k: OUTPUTS[k] for k in outputs})
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + "".join(f", {k} {OUTPUTS[k]}" for k in outputs)
 
     def run(batches):
         model = load(model_file)
@@ -291,8 +294,8 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 for doc_id, packed in zip(part.column(0).to_pylist(), model.encode_packed(texts)):
                     packed = first + packed + final
                     decoded = model.decode(memoryview(packed).cast("I"))
-                    row = [doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()]
-                    rows.append(row + [packed, decoded] if keep_ids else row)
+                    row = {"ids": packed, "decoded": decoded}
+                    rows.append([doc_id, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *(row[k] for k in outputs)])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), to)], schema=to)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)

@@ -33,7 +33,7 @@ def op6_sentencepiece_codec(spark, sf_dir):
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    return encode_documents(read_table(spark, sf_dir, "documents"), model, keep_ids=False)
+    return encode_documents(read_table(spark, sf_dir, "documents"), model, outputs=())
 
 
 def op7_perspective_rotation(spark, sf_dir):
