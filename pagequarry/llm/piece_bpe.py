@@ -156,10 +156,13 @@ class PieceBpe:
 
     def _fill(self, segments: Iterable[str]) -> None:
         """Encode new segments into the cache."""
+        self.cache.update(self._sorted(sorted(segments)))
+
+    def _sorted(self, segments: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """Segments and their packed ids; in sorted order they share the tables of their prefixes."""
         last: list[str] = []
         done = ""
-        cache = self.cache
-        for key in sorted(segments):
+        for key in segments:
             seg = SPACE_MARK + key
             common = 0
             for x, y in zip(seg, done):
@@ -169,7 +172,15 @@ class PieceBpe:
             del last[common:]
             self._extend(seg, last)
             done = seg
-            cache[key] = self._recover(seg, last)
+            yield key, self._recover(seg, last)
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words, each as it is encoded after a space; words hold no space themselves."""
+        order = sorted(range(len(words)), key=words.__getitem__)
+        found = [b""] * len(words)
+        for k, (_, packed) in zip(order, self._sorted(words[k] for k in order)):
+            found[k] = packed
+        return found
 
     def _extend(self, seg: str, last: list[str]) -> None:
         """Add the last tokens of the prefixes of ``seg`` that ``last`` has not got yet."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, mixing, toxicity
+from . import attention_lm, chat, mixing, toxicity
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .near_join import near_join
@@ -42,6 +42,12 @@ def op7_perspective_rotation(spark, sf_dir):
     return digest.withColumns({c: F.coalesce(c, F.lit(-1)) for c in ("mask_start", "mask_end")})
 
 
+def op8_attention_scores(spark, sf_dir):
+    import public_tokenizers
+
+    return attention_lm.score_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_ngram_join(spark, sf_dir):
     return near_join(read_table(spark, sf_dir, "documents")).drop("k1", "k2")
 
@@ -58,6 +64,7 @@ QUERIES = {
     "op4_repetition_rules": op4_repetition_rules,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_perspective_rotation": op7_perspective_rotation,
+    "op8_attention_scores": op8_attention_scores,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
 }
