@@ -11,6 +11,7 @@ from .near_join import near_join
 from .pii import find_pii
 from .piece_bpe import encode_documents
 from .repetition import quality_rules
+from .substring_dedup import remove_repeats
 
 
 def op1_source_mixing(spark, sf_dir):
@@ -29,6 +30,10 @@ def op4_repetition_rules(spark, sf_dir):
     return quality_rules(read_table(spark, sf_dir, "documents"))
 
 
+def op5_fm_substrings(spark, sf_dir):
+    return remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece_codec(spark, sf_dir):
     import public_tokenizers
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_contextual_pii": op2_contextual_pii,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_repetition_rules": op4_repetition_rules,
+    "op5_fm_substrings": op5_fm_substrings,
     "op6_sentencepiece_codec": op6_sentencepiece_codec,
     "op7_perspective_rotation": op7_perspective_rotation,
     "op8_attention_scores": op8_attention_scores,
