@@ -40,7 +40,7 @@ def file_stem(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"(?<=[^/])\.[^.]+$", "")
 
 
-#: Tried in this order: an item number, a line in capitals, a numbered heading.
+#: Fixed values, tried in this order: an item number, a line in capitals, a numbered heading.
 HEADINGS = (r"(?imd)^(ITEM\s+\d+[A-Z]?\.?\s+.+)$", r"(?md)^([A-Z][A-Z\s]{5,50})$", r"(?md)^(\d+\.\s+[A-Z][^.]{5,60})$")
 
 
@@ -96,6 +96,7 @@ def normal_name(c: Column) -> Column:
     return F.regexp_replace(strip(F.lower(c)), r"\s+", " ")
 
 
+#: Suffixes of company names.
 CORPORATE = r"limited|ltd\.?|inc\.?|corp\.?|corporation|plc|llp|gmbh|ag|nv|sa|bank"
 
 
@@ -139,7 +140,7 @@ def format_ms(value: Column) -> Column:
     return format_inr(F.floor(value.cast("double") + 0.5))
 
 
-#: A run of Western groups that is no part of a longer figure.
+#: Fixed value: a run of Western groups that is no part of a longer figure.
 WESTERN = r"(?<![\d,.])(\d{1,3}(?:,\d{3})+)(\.\d+)?(?![\d,])"
 
 
