@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,10 +35,10 @@ def _fs(spark: SparkSession, path: str):
 class Stored:
     """A DataFrame written to the shared folder, reread, and removable when no longer needed."""
 
-    def __init__(self, df: DataFrame, label: str):
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/pagequarry/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
         p, fs = _fs(self.spark, self.path)
         fs.deleteOnExit(p)
@@ -52,5 +53,11 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return Stored(df, label).df
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with: its cleaner follows the JVM's garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

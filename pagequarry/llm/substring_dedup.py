@@ -3,15 +3,17 @@
 A window is ``window`` consecutive words.  Words are removed that a window covers which also starts
 in a document with a smaller id.
 
-Every window has an anchor, the one of its short word runs that comes first in a fixed order, so
-equal windows have equal anchors.  Neighbouring windows mostly share theirs, and only anchors are
-shuffled, two numbers each.  Anchors met in one document only cannot belong to a repeated window.
+Copies of a whole text are told by its hash; all windows of one start in the document with the least
+id among them.  For the rest, every window has an anchor, the one of its short word runs with the
+least hash, so equal windows have equal anchors.  Neighbouring windows mostly share theirs, and only
+anchors are shuffled, two numbers each.  Anchors met in one text only cannot belong to a window that
+another text has.
 The stretches of text around the other anchors are sharded by anchor, so that all occurrences of a
 window meet in one shard.  A shard indexes its distinct stretches: backward search over the wavelet
 tree of the index gives the interval of each window of the streamed stretches, and the least
 document id of the interval decides whether the window is a repetition.
 
-Within a batch of documents anchors are combined before the shuffle, so a passage that very many
+A text that repeats its own windows loses nothing by that.  Within a batch of documents anchors are combined before the shuffle, so a passage that very many
 documents share moves one row a batch.  Anchors with more than ``hot`` distinct stretches are sharded
 by the windows themselves.  Exact copies of a stretch are indexed once.
 
@@ -23,6 +25,7 @@ an empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,55 +33,50 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import store, text_or_empty
+from .common import Stored, release, store, text_or_empty
 from .fm_index import FmIndex
 from .near_join import WordHashes, mix
 from .repetition import groups
 
-ANCHOR = 3
+ANCHOR = 4
 LAST_ID = (1 << 63) - 1
-INDEX_WORDS = 400_000
+INDEX_WORDS = 120_000
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text, doc_id = text_or_empty(text_col), F.col(id_col).cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("k"), text.cast("binary").alias("text"))
+    """doc_id, k1 and k2 (hashes of the text), text."""
+    text = text_or_empty(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), text.cast("binary").alias("text"))
 
 
 def anchors(words: list[bytes], hashes: WordHashes, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor hash of each window, and the position of its anchor.
-
-    Runs with more letters come first, as they are rarer; then the hash decides.
-    """
+    """The anchor hash of each window, and the position of its anchor: the run with the least hash."""
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = np.minimum(np.fromiter(map(len, words), np.int64, len(words)), 31)
     runs = len(words) - ANCHOR + 1
-    h, total = np.zeros(runs, np.uint64), np.zeros(runs, np.int64)
+    h = np.zeros(runs, np.uint64)
     for k in range(ANCHOR):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + runs]
-        total += size[k : k + runs]
     h = mix(h)
-    key = ((127 - total).astype(np.uint64) << np.uint64(57)) | (h >> np.uint64(7))
-    view = np.lib.stride_tricks.sliding_window_view(key, window - ANCHOR + 1)
-    at = np.arange(n) + view.argmin(axis=1)
+    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(h, window - ANCHOR + 1).argmin(axis=1)
     return h[at], at
 
 
 def _anchor_rows(window: int):
-    """Documents -> h, k, known (met twice in the batch), witness (the batch's one row of h)."""
+    """Texts -> h, k1, known (met in two texts of the batch), witness (the batch's one row of h)."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for part in groups(batch, 2, 8 << 20):
-                h, k = [], []
-                for key, text in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
-                    found = np.unique(anchors(text.split(), hashes, window)[0])
-                    h.append(found)
-                    k.append(np.full(len(found), key, np.int64))
+            for part in groups(batch, 1, 8 << 20):
+                h, k, seen = [], [], set()
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if key not in seen:
+                        seen.add(key)
+                        h.append(np.unique(anchors(text.split(), hashes, window)[0]))
+                        k.append(np.full(len(h[-1]), key, np.int64))
                 if not h:
                     continue
                 h, k = np.concatenate(h), np.concatenate(k)
@@ -88,68 +86,76 @@ def _anchor_rows(window: int):
                 new[1:] = h[1:] != h[:-1]
                 known = ~new
                 known[:-1] |= ~new[1:]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(known), pa.array(new)], names=["h", "k", "known", "witness"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k), pa.array(known), pa.array(new)], names=["h", "k1", "known", "witness"])
 
     return run
 
 
 def _cut(window: int):
-    """Documents with their repeated anchors -> a row for each document, and one for each stretch around such an anchor."""
-    to = pa.schema({"k": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "sha": pa.string(), "text": pa.binary(), "h": pa.int64(), "start": pa.int32(), "stretch": pa.binary()})
+    """Documents with their text's least id and repeated anchors -> a row for each document, and one for each stretch around such an anchor."""
+    to = pa.schema({"k1": pa.int64(), "k2": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "sha": pa.string(), "text": pa.binary(), "h": pa.int64(), "start": pa.int32(), "stretch": pa.binary()})
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for part in groups(batch, 2):
+            for part in groups(batch, 3):
                 out = []
-                for doc_id, k, text, repeated in zip(*(c.to_pylist() for c in part.columns)):
+                for doc_id, k1, k2, text, owner, repeated in zip(*(c.to_pylist() for c in part.columns)):
                     words = text.split()
                     stretches = []
-                    if repeated:
+                    # All windows of a copy start in the document with the text's least id.
+                    gone = len(words) if (LAST_ID if doc_id is None else doc_id) > owner and len(words) >= window else 0
+                    if repeated and not gone:
                         h, at = anchors(words, hashes, window)
-                        wanted = np.isin(h.view(np.int64), np.array(repeated, np.int64))
-                        edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.empty(0, np.int64)
-                        ends = np.append(edge[1:], len(at))
-                        for a, b in zip(edge.tolist(), ends.tolist()):
-                            if wanted[a]:
-                                stretches.append((k, doc_id, None, None, None, int(h[a].view(np.int64)), a, b" ".join(words[a : b + window - 1])))
-                    whole = None if stretches else hashlib.sha256(b" ".join(words)).hexdigest()
-                    out.append((k, doc_id, len(words), whole, b" ".join(words) if stretches else None, None, None, None))
+                        if len(at):
+                            wanted = np.isin(h.view(np.int64), np.array(repeated, np.int64))
+                            edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                            ends = np.append(edge[1:], len(at))
+                            for a, b, c in zip(edge.tolist(), ends.tolist(), h[edge].view(np.int64).tolist()):
+                                if wanted[a]:
+                                    stretches.append((k1, k2, doc_id, None, None, None, None, c, a, b" ".join(words[a : b + window - 1])))
+                    whole = b"" if gone else b" ".join(words)
+                    out.append((k1, k2, doc_id, len(words), gone, None if stretches else hashlib.sha256(whole).hexdigest(), whole if stretches else None, None, None, None))
                     out += stretches
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
 
     return run
 
 
-_CUT = "k long, doc_id long, n_words long, sha string, text binary, h long, start int, stretch binary"
+_CUT = "k1 long, k2 long, doc_id long, n_words long, n_removed long, sha string, text binary, h long, start int, stretch binary"
 
 
-def least_ids(stretches: list[bytes], owners: list[int], window: int) -> list[np.ndarray]:
-    """For each stretch the least owner of each of its windows, looked up in an FM-index of all of them."""
-    number: dict[bytes, int] = {}
-    words = [np.fromiter((number.setdefault(w, len(number) + 1) for w in s.split(b" ")), np.int64) for s in stretches]
-    text = np.concatenate([np.append(w, 0) for w in words])
-    owner = np.repeat(np.array(owners, np.int64), [len(w) + 1 for w in words])
+def least_ids(stretches: list[bytes], owners: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each window of each stretch, in order, the least owner, looked up in an FM-index of all of them; and the windows a stretch has."""
+    number: dict[bytes, int] = defaultdict()
+    number.default_factory = lambda: len(number) + 1
+    sizes = np.fromiter((s.count(b" ") + 1 for s in stretches), np.int64, len(stretches))
+    words = np.fromiter(map(number.__getitem__, b" ".join(stretches).split(b" ")), np.int64, int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    text = np.insert(words, ends, 0)
+    owner = np.repeat(np.array(owners, np.int64), sizes + 1)
+    left = np.repeat(ends + np.arange(len(sizes)), sizes + 1) - np.arange(len(text))
+    starts = np.flatnonzero(left >= window)
     index = FmIndex(text)
     by_order = owner[index.order]
-    patterns = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, window) for w in words])
-    lo, hi = index.intervals(patterns)
+    lo, hi = index.intervals(text[starts[:, None] + np.arange(window)])
     # Windows of one length have the same interval or none in common.
-    starts, where = np.unique(lo, return_inverse=True)
-    ends = np.zeros(len(starts), np.int64)
-    ends[where] = hi
-    cuts = np.stack([starts, ends], axis=1).reshape(-1)
+    first, where = np.unique(lo, return_inverse=True)
+    last = np.zeros(len(first), np.int64)
+    last[where] = hi
+    cuts = np.stack([first, last], axis=1).reshape(-1)
     least = np.minimum.reduceat(np.append(by_order, LAST_ID), cuts)[::2][where]
-    return np.split(least, np.cumsum([len(w) - window + 1 for w in words])[:-1])
+    return least, sizes - window + 1
 
 
 def _search(window: int):
     """Distinct stretches in the order of their shard keys -> the least ids of their windows."""
 
     def emit(held):
-        least = least_ids([r[3] for r in held], [r[4] for r in held], window)
+        least, n = least_ids([r[3] for r in held], [r[4] for r in held], window)
         columns = list(zip(*((r[0], r[1], r[2]) for r in held)))
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([x.tolist() for x in least], pa.list_(pa.int64()))], names=["h", "t1", "t2", "least"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(least))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), lists], names=["h", "t1", "t2", "least"])
 
     def run(batches):
         held, size, key = [], 0, None
@@ -171,7 +177,7 @@ def _search(window: int):
 def repeated_windows(stretches: DataFrame, window: int, hot: int) -> DataFrame:
     """(h, t1, t2, least): the least document id of every window of every distinct stretch."""
     owner = F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("owner")
-    distinct = store(stretches.groupBy("h", "t1", "t2").agg(F.first("stretch").alias("stretch"), owner), "stretches")
+    distinct = Stored(stretches.groupBy("h", "t1", "t2").agg(F.first("stretch").alias("stretch"), owner), "stretches", "zstd").df
     crowded = store(distinct.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
     columns = ["h", "t1", "t2", "stretch", "owner"]
 
@@ -218,20 +224,28 @@ def _remove(window: int, keep_text: bool):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot: int = 20_000) -> DataFrame:
     """One row per input row: doc_id, n_words, n_removed, kept_sha256."""
+    spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
-    found = store(rows.mapInArrow(_anchor_rows(window), "h long, k long, known boolean, witness boolean"), "anchors")
-    batches = F.count(F.lit(1)).over(W.partitionBy("h"))
-    asked = found.where("witness").select("h", "k", "known", batches.alias("n")).where("known or n > 1").select("h", "k")
-    repeated = asked.unionByName(found.where("known and not witness").select("h", "k"))
-    # A batch with one document of an anchor learns from the count; its own known ones need not be asked.
-    by_doc = repeated.groupBy("k").agg(F.collect_set("h").alias("repeated"))
-    cut = store(rows.join(by_doc, "k", "left").select("doc_id", "k", "text", "repeated").mapInArrow(_cut(window), _CUT), "cut")
-    stretches = cut.where("h is not null").select("k", "doc_id", "h", "start", "stretch", F.xxhash64("stretch").alias("t1"), F.xxhash64(F.lit(1), "stretch").alias("t2"))
-    least = store(repeated_windows(stretches, window, hot), "least")
+    found = Stored(rows.select("k1", "text").mapInArrow(_anchor_rows(window), "h long, k1 long, known boolean, witness boolean"), "anchors")
+    of_h = W.partitionBy("h")
+    told = F.max("known").over(of_h) | (F.min("k1").over(of_h) != F.max("k1").over(of_h))
+    asked = found.df.where("witness").select("h", "k1", told.alias("repeated")).where("repeated").select("h", "k1")
+    # Within its batch an anchor's other rows are known to be repeated.
+    by_text = asked.unionByName(found.df.where("known and not witness").select("h", "k1")).groupBy("k1").agg(F.collect_set("h").alias("repeated"))
     own = F.coalesce("doc_id", F.lit(LAST_ID))
+    owners = rows.groupBy("k1", "k2").agg(F.min(own).alias("owner"))
+    known = store(owners.join(by_text, "k1", "left"), "texts")
+    del asked, by_text
+    found.drop()
+    release(spark)
+    cut = Stored(rows.join(known, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "owner", "repeated").mapInArrow(_cut(window), _CUT), "cut", "zstd").df
+    release(spark)
+    stretches = cut.where("h is not null").select("k1", "k2", "doc_id", "h", "start", "stretch", F.xxhash64("stretch").alias("t1"), F.xxhash64(F.lit(1), "stretch").alias("t2"))
+    least = store(repeated_windows(stretches, window, hot), "least")
+    release(spark)
     places = F.filter(F.transform("least", lambda m, i: F.when(m < own, F.col("start") + i)), lambda x: x.isNotNull())
-    starts = stretches.join(least, ["h", "t1", "t2"]).select("k", places.alias("starts")).where("size(starts) > 0").distinct().groupBy("k").agg(F.collect_list("starts").alias("starts"))
-    touched = cut.where("text is not null").join(starts, "k", "left").select("doc_id", "n_words", "text", "starts")
+    starts = stretches.join(least, ["h", "t1", "t2"]).select("k1", "k2", places.alias("starts")).where("size(starts) > 0").distinct().groupBy("k1", "k2").agg(F.collect_list("starts").alias("starts"))
+    touched = cut.where("text is not null").join(starts, ["k1", "k2"], "left").select("doc_id", "n_words", "text", "starts")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    whole = cut.where("sha is not null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
+    whole = cut.where("sha is not null").select("doc_id", "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
     return whole.unionByName(touched.mapInArrow(_remove(window, False), schema))
