@@ -266,7 +266,8 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     routed = store(placed.select("cid", "size", "k1", "k2", "root", "own", other).select("cid", "size", "k1", "k2", F.col("root").alias("component"), "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")), "routed")
     texts = keyed(docs, id_col, text_col).select("k1", "k2", F.col("text").cast("binary").alias("text"))
-    needed = texts.join(routed, ["k1", "k2"]).select("component", "i", "j", "cid", "own", "size", "text")
+    # The same plan at every size: no broadcast while there are few candidates.
+    needed = texts.join(routed.hint("merge"), ["k1", "k2"]).select("component", "i", "j", "cid", "own", "size", "text")
     dealt = needed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
     found = store(dealt.mapInArrow(_verify_groups(ngram, Fraction(threshold).limit_denominator(1000)), "cid long, links long, root long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
