@@ -9,7 +9,8 @@ A document of any length is read as overlapping spans and has the score of its w
 insult does not get weaker by what surrounds it.  In training, a toxic document's label holds for
 its worst spans only: training starts from all spans of the toxic documents and then goes on, in
 rounds, with those that the model so far finds worst, against spans of clean documents, the worst
-ones among them.  At last the scores of the training documents are mapped to probabilities.
+ones among them.  At last the scores of documents kept aside
+are mapped to probabilities.
 
 The softmax of an average is linear in the n-grams up to its last step, so scoring adds one number
 a word, which is kept in a bounded cache.
@@ -111,6 +112,11 @@ def span_means(values: np.ndarray) -> np.ndarray:
     return (total[SPAN:] - total[:-SPAN]) / SPAN
 
 
+def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Rows added up by their index."""
+    return np.stack([np.bincount(index, weights=rows[:, k], minlength=n) for k in range(rows.shape[1])], axis=1).astype(np.float32)
+
+
 class _Trainer:
     """Embeddings and softmax over the words of the training documents."""
 
@@ -151,15 +157,11 @@ class _Trainer:
         dh = p @ self.W.T
         self.W -= rate * (h.T @ p)
         self.b -= rate * p.sum(axis=0)
-        dv = np.zeros_like(vectors)
-        np.add.at(dv, inverse.reshape(-1), np.repeat(dh / SPAN, SPAN, axis=0))
-        dg = np.repeat(dv / sizes[:, None], sizes, axis=0)
-        used, where = np.unique(grams, return_inverse=True)
-        g = np.zeros((len(used), DIM), np.float32)
-        np.add.at(g, where, dg)
+        dv = _sums(inverse.reshape(-1), np.repeat(dh / SPAN, SPAN, axis=0), len(words))
+        g = _sums(grams, np.repeat(dv / sizes[:, None], sizes, axis=0), BUCKETS)
         # The rate of a bucket falls with the gradients it has had.
-        self.gE[used] += (g * g).mean(axis=1, keepdims=True) * 1e4
-        self.E[used] -= rate * g * 20 / np.sqrt(self.gE[used])
+        self.gE += (g * g).mean(axis=1, keepdims=True) * 1e4
+        self.E -= rate * g * 20 / np.sqrt(self.gE)
 
     def ngram_logits(self) -> tuple[np.ndarray, float]:
         w = self.W[:, 1] - self.W[:, 0]
@@ -169,7 +171,7 @@ class _Trainer:
         return np.add.reduceat(self.ngram_logits()[0][self.grams], self.start[:-1]) / self.size
 
 
-def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, batch: int = 512) -> ToxicityModel:
+def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, batch: int = 512, min_steps: int = 150) -> ToxicityModel:
     """Fit a model on whole texts; see the module's text."""
     both = [(words_of(t or ""), int(y)) for t, y in zip(texts, labels)]
     both = [(w, y) for w, y in both if w]
@@ -177,7 +179,11 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, b
     if not len(y) or y.min() == y.max():
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, 0.0, 0.0, constant=float(np.mean(labels)) if len(labels) else 0.0)
     t = _Trainer([w for w, _ in both], seed)
-    toxic, clean = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    # A fifth of the documents is kept for the map to probabilities, if it has enough of both classes.
+    aside = t.rng.random(len(y)) < 0.2
+    if min((y[aside] == 1).sum(), (y[aside] == 0).sum()) < 25:
+        aside[:] = False
+    toxic, clean = np.flatnonzero((y == 1) & ~aside), np.flatnonzero((y == 0) & ~aside)
 
     def pick(docs, each, worst):
         """``each`` spans of each document: at random, or the worst."""
@@ -200,7 +206,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, b
             negative = np.concatenate([pick(clean, 3, True), pick(clean, 12, False)])
         x = np.concatenate([positive, negative])
         z = np.concatenate([np.ones(len(positive), np.int64), np.zeros(len(negative), np.int64)])
-        for e in range(3):
+        for _ in range(max(2, -(-min_steps * batch // len(x)))):
             order = t.rng.permutation(len(x))
             for k in range(0, len(order), batch):
                 part = order[k : k + batch]
@@ -209,7 +215,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, b
     model = ToxicityModel(grams.astype(np.float32), bias, 1.0, 0.0)
     word = t.word_logits()
     top = np.array([bias + span_means(word[d]).max() for d in t.docs])
-    model.slope, model.shift = _calibrate(top, y)
+    model.slope, model.shift = _calibrate(top[aside], y[aside]) if aside.any() else _calibrate(top, y)
     return model
 
 
@@ -246,7 +252,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return sorted((r.doc_id, r.text, r.toxic) for r in rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1500, max_clean: int = 3000, max_chars: int = 20_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 2400, max_chars: int = 20_000) -> ToxicityModel:
     rows = training_rows(docs, labels, id_col, text_col, max_toxic, max_clean, max_chars)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
