@@ -124,10 +124,10 @@ class _Trainer:
         self.rng = np.random.default_rng(seed)
         index: dict[bytes, int] = {}
         self.docs = [np.array([index.setdefault(w, len(index)) for w in d], np.int64) for d in docs]
-        grams = [word_ngrams(w) for w in index]
+        grams = [np.array(word_ngrams(w), np.int32) for w in index]
         self.size = np.array([len(g) for g in grams], np.int64)
         self.start = np.concatenate([[0], np.cumsum(self.size)])
-        self.grams = np.fromiter((g for x in grams for g in x), np.int32, int(self.start[-1]))
+        self.grams = np.concatenate(grams)
         self.E = self.rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
         self.W = np.zeros((DIM, 2), np.float32)
         self.W[0] = (-0.5, 0.5)
