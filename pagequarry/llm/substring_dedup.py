@@ -175,9 +175,11 @@ def _search(window: int):
 
 
 def repeated_windows(stretches: DataFrame, window: int, hot: int) -> DataFrame:
-    """(h, t1, t2, least): the least document id of every window of every distinct stretch."""
+    """(h, t1, t2, least), stored: the least document id of every window of every distinct stretch."""
     owner = F.min(F.coalesce("doc_id", F.lit(LAST_ID))).alias("owner")
-    distinct = Stored(stretches.groupBy("h", "t1", "t2").agg(F.first("stretch").alias("stretch"), owner), "stretches", "zstd").df
+    table = Stored(stretches.groupBy("h", "t1", "t2").agg(F.first("stretch").alias("stretch"), owner), "stretches", "zstd")
+    distinct = table.df
+    release(distinct.sparkSession)
     crowded = store(distinct.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
     columns = ["h", "t1", "t2", "stretch", "owner"]
 
@@ -186,7 +188,9 @@ def repeated_windows(stretches: DataFrame, window: int, hot: int) -> DataFrame:
         return dealt.mapInArrow(_search(window), "h long, t1 long, t2 long, least array<long>")
 
     if crowded.isEmpty():
-        return looked_up(distinct)
+        found = store(looked_up(distinct), "least")
+        table.drop()
+        return found
     usual = looked_up(distinct.join(crowded, "h", "left_anti"))
     words = F.split(F.col("stretch").cast("string"), " ")
     each = F.transform(F.sequence(F.lit(0), F.size(words) - window), lambda i: F.array_join(F.slice(words, i + 1, window), " "))
@@ -195,7 +199,9 @@ def repeated_windows(stretches: DataFrame, window: int, hot: int) -> DataFrame:
     found = looked_up(single.select(F.col("a").alias("h"), F.col("a").alias("t1"), F.col("b").alias("t2"), "stretch", "owner"))
     found = store(found.select(F.col("t1").alias("a"), F.col("t2").alias("b"), F.col("least")[0].alias("least")), "hot-windows")
     gathered = windows.join(found, ["a", "b"]).groupBy("h", "t1", "t2").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "least"))), lambda x: x["least"]).alias("least"))
-    return usual.unionByName(gathered)
+    found = store(usual.unionByName(gathered), "least")
+    table.drop()
+    return found
 
 
 def _remove(window: int, keep_text: bool):
@@ -241,7 +247,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cut = Stored(rows.join(known, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "owner", "repeated").mapInArrow(_cut(window), _CUT), "cut", "zstd").df
     release(spark)
     stretches = cut.where("h is not null").select("k1", "k2", "doc_id", "h", "start", "stretch", F.xxhash64("stretch").alias("t1"), F.xxhash64(F.lit(1), "stretch").alias("t2"))
-    least = store(repeated_windows(stretches, window, hot), "least")
+    least = repeated_windows(stretches, window, hot)
     release(spark)
     places = F.filter(F.transform("least", lambda m, i: F.when(m < own, F.col("start") + i)), lambda x: x.isNotNull())
     starts = stretches.join(least, ["h", "t1", "t2"]).select("k1", "k2", places.alias("starts")).where("size(starts) > 0").distinct().groupBy("k1", "k2").agg(F.collect_list("starts").alias("starts"))
