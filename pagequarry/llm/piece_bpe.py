@@ -175,11 +175,19 @@ class PieceBpe:
             yield key, self._recover(seg, last)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Packed ids of words, each as it is encoded after a space; words hold no space themselves."""
-        order = sorted(range(len(words)), key=words.__getitem__)
-        found = [b""] * len(words)
-        for k, (_, packed) in zip(order, self._sorted(words[k] for k in order)):
+        """Packed ids of distinct words, each as it is encoded after a space; words hold no space themselves.
+
+        The cache serves and keeps what has room in it.
+        """
+        cache = self.cache
+        found = [cache.get(w) for w in words]
+        new = sorted((k for k, x in enumerate(found) if x is None), key=words.__getitem__)
+        if len(cache) + len(new) > self.cache_segments:
+            cache.clear()
+        for k, (w, packed) in zip(new, self._sorted(words[k] for k in new)):
             found[k] = packed
+            if len(cache) < self.cache_segments:
+                cache[w] = packed
         return found
 
     def _extend(self, seg: str, last: list[str]) -> None:
