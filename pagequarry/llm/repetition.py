@@ -4,10 +4,11 @@ The words of a document are numbered and its suffixes sorted by prefix doubling;
 doubling give the longest common prefix of neighbours in that order.  Where neighbours share
 ``min_repeat`` words or more, the longest common prefix interval is a repeated substring, and the
 longest one from each start is right-maximal.  The union of their spans is the repeated part of the
-document; its share of the characters and the longest repeat are limited.
+document.  Limited are its share of the characters, the share with repeats from ``short_repeat``
+words on, and the longest repeat, whatever the document's length; each acts below the base rule.
 
 Many documents are sorted together, each in its own range of ranks.  Only documents in which the
-hash of a window of ``min_repeat`` words occurs twice are sorted at all: without such a window there
+hash of a window of the least counted length occurs twice are sorted at all: without such a window there
 is no repeat, and a false match of hashes only costs the sort.
 
 Defined cases: null counts as empty; a document without words has zeros everywhere and fails for
@@ -35,14 +36,15 @@ GROUP_BYTES = 4 << 20
 
 @dataclass(frozen=True)
 class Limits:
-    """window: words of the base rule's repeats; the others limit words, repeated shares and the longest repeat."""
+    """window: words of the base rule's repeats; max_share: of repeats from min_repeat words; short_share: from short_repeat words."""
 
     min_words: int = 20
     window: int = 8
     base_share: float = 0.30
     min_repeat: int = 8
-    max_share: float = 0.30
-    longest_share: float = 0.15
+    max_share: float = 0.15
+    short_repeat: int = 5
+    short_share: float = 0.25
     longest_words: int = 100
 
 
@@ -128,8 +130,8 @@ def measure(texts: list[bytes], limits: Limits = Limits()) -> dict[str, np.ndarr
     total = int(n_words.sum())
     words = np.fromiter((i for w in split for i in map(number.__getitem__, w)), np.int64, total)
     doc = np.repeat(np.arange(len(texts)), n_words)
-    out = {k: np.zeros(len(texts), np.int64) for k in ("n_repeat_words", "repeat_chars", "longest_repeat", "n_maximal_repeats")}
-    least = min(limits.window, limits.min_repeat)
+    out = {k: np.zeros(len(texts), np.int64) for k in ("n_repeat_words", "repeat_chars", "longest_repeat", "n_maximal_repeats", "short_repeat_chars")}
+    least = min(limits.window, limits.min_repeat, limits.short_repeat)
     chosen = docs_with_repeats(words, doc, least)
     if len(chosen):
         pick = np.isin(doc, chosen)
@@ -142,6 +144,8 @@ def measure(texts: list[bytes], limits: Limits = Limits()) -> dict[str, np.ndarr
 
         at = np.flatnonzero(longest >= limits.window)
         out["n_repeat_words"] = total_by_doc(covered(at, longest[at], n))
+        at = np.flatnonzero(longest >= limits.short_repeat)
+        out["short_repeat_chars"] = total_by_doc(covered(at, longest[at], n) * chars)
         at = np.flatnonzero(longest >= limits.min_repeat)
         out["repeat_chars"] = total_by_doc(covered(at, longest[at], n) * chars)
         np.maximum.at(out["longest_repeat"], d[at], longest[at])
@@ -176,11 +180,13 @@ def judge(m: dict[str, np.ndarray], limits: Limits = Limits()) -> tuple[np.ndarr
     n = m["n_words"]
     base = (n < limits.min_words) | (100 * m["n_repeat_words"] > round(100 * limits.base_share) * n)
     share = m["repeat_chars"] > limits.max_share * m["word_chars"]
-    longest = m["longest_repeat"] > np.maximum(limits.longest_words, limits.longest_share * n)
-    return base, ~(base | share | longest)
+    short = m["short_repeat_chars"] > limits.short_share * m["word_chars"]
+    longest = m["longest_repeat"] > limits.longest_words
+    return base, ~(base | share | short | longest)
 
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "repeat_chars", "longest_repeat", "n_maximal_repeats")
+OUTPUT = (*COLUMNS, "short_repeat_chars")
 
 
 def groups(batch: pa.RecordBatch, column: int, most: int = GROUP_BYTES):
@@ -197,14 +203,14 @@ def groups(batch: pa.RecordBatch, column: int, most: int = GROUP_BYTES):
 
 def quality_rules(docs: DataFrame, limits: Limits = Limits(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measures, base_failed and kept: a row for each row."""
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", base_failed boolean, kept boolean"
-    names = ["doc_id", *COLUMNS, "base_failed", "kept"]
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in OUTPUT) + ", base_failed boolean, kept boolean"
+    names = ["doc_id", *OUTPUT, "base_failed", "kept"]
 
     def run(batches):
         for batch in batches:
             for part in groups(batch, 1):
                 m = measure(part.column(1).to_pylist(), limits)
                 base, kept = judge(m, limits)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[c]) for c in COLUMNS), pa.array(base), pa.array(kept)], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m[c]) for c in OUTPUT), pa.array(base), pa.array(kept)], names=names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(run, schema)

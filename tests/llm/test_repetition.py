@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from pagequarry.llm.repetition import COLUMNS, measure, quality_rules
+from pagequarry.llm.repetition import COLUMNS, judge, measure, quality_rules
 
 
 def brute(t):
@@ -46,3 +46,22 @@ def test_verdict(spark):
     assert got[0].kept and got[2].kept and got[2].longest_repeat == 20 and got[2].n_maximal_repeats == 2
     assert got[1].longest_repeat == 150 and got[1].repeat_chars > 0 and not got[1].kept
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_each_limit_fails_a_text_that_passes_the_base_rule():
+    word = [f"w{10_000 + i}" for i in range(40_000)]
+    fresh = iter(word[1000:])
+    new = lambda n: [next(fresh) for _ in range(n)]
+    long_text = word[:500] + new(9500) + word[:500] + new(9500)
+    share = [x for k in range(5) for x in word[10 * k : 10 * k + 10] + new(40) + word[10 * k : 10 * k + 10]] + new(200)
+    short = [x for k in range(30) for x in word[6 * k : 6 * k + 6] + new(3) + word[6 * k : 6 * k + 6] + new(1)]
+    few = word[:50] + new(900) + word[:50]
+    m = measure([" ".join(t).encode() for t in (long_text, share, short, few)])
+    base, kept = judge(m)
+    assert base.tolist() == [False, False, False, False]
+    assert kept.tolist() == [False, False, False, True]
+    share_of = lambda k, i: m[k][i] / m["word_chars"][i]
+    # Each of the three fails by one limit only.
+    assert m["longest_repeat"].tolist()[:3] == [500, 10, 0]
+    assert share_of("short_repeat_chars", 0) < 0.15 and 0.15 < share_of("repeat_chars", 1) and share_of("short_repeat_chars", 1) < 0.25
+    assert m["repeat_chars"][2] == 0 and share_of("short_repeat_chars", 2) > 0.25
