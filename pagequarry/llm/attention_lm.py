@@ -8,10 +8,10 @@ windows overlap, so every id is scored once and has ``PAST`` ids of context.
 
 What is learnt from the corpus:
 * counts of all words and all subword ids, over every training document;
-* embeddings, attention and softmax, by gradient descent on one window of ``TAKE`` of every training
-  document, chosen by a hash, so the training set grows with the corpus.  The windows are dealt to
-  tasks of a fixed size; their models are averaged, each embedding by how often its id was met, and
-  training goes on from the average.
+* embeddings, attention and softmax, by gradient descent on every window of every training document.
+  A chunk's ids are stored, two bytes each; the chunks are dealt to tasks of a fixed size, which make
+  the windows of one chunk at a time.  The tasks' models are averaged, each embedding by how often its
+  id was met, and training goes on from the average.
 
 Documents are dealt into chunks of about ``chunk_chars`` characters by a hash of the row.  A chunk
 has a table of its distinct words; only these tables are shuffled by word to get the corpus's
@@ -26,7 +26,6 @@ ignored.
 
 from __future__ import annotations
 
-import zlib
 from collections import defaultdict
 from dataclasses import dataclass
 
@@ -35,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store, text_or_empty
+from .common import Stored, release, store, text_or_empty
 from .piece_bpe import PieceBpe, load
 
 DIM = 16
@@ -43,7 +42,6 @@ CLASSES = 128
 PAST = 16
 NOW = 16
 SPAN = PAST + NOW
-TAKE = 32
 #: Windows scored at once, so that they stay in the processor's cache; words looked at together.
 BATCH = 128
 SLICE = 20_000
@@ -166,9 +164,12 @@ class AttentionLm:
         g["E"] = de
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, rate: float, batch: int = 128, seed: int = 5) -> None:
-        """One run over the windows, each parameter's rate falling with its gradients (Adagrad)."""
-        grown = {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in self.NAMES}
+    def no_gradients(self) -> dict[str, np.ndarray]:
+        return {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in self.NAMES}
+
+    def train(self, x: np.ndarray, y: np.ndarray, rate: float, batch: int = 128, seed: int = 5, grown: dict[str, np.ndarray] | None = None) -> None:
+        """One run over the windows, each parameter's rate falling with its gradients (Adagrad), of which ``grown`` keeps the sums."""
+        grown = self.no_gradients() if grown is None else grown
         order = np.random.default_rng(seed).permutation(len(x))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
@@ -263,8 +264,8 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFr
 
 
 def _gather(model_file: str):
-    """A chunk's documents -> its words with their training counts, its id counts, and its training windows."""
-    to = pa.schema({"chunk": pa.int32(), "word": pa.binary(), "id": pa.int32(), "n": pa.int64(), "windows": pa.binary()})
+    """A chunk's documents -> its words with their training counts, its id counts, and the ids of its training documents."""
+    to = pa.schema({"chunk": pa.int32(), "word": pa.binary(), "id": pa.int32(), "n": pa.int64(), "ids": pa.binary(), "sizes": pa.binary()})
 
     def run(table: pa.Table) -> pa.Table:
         model = load(model_file, KEPT_WORDS)
@@ -275,19 +276,15 @@ def _gather(model_file: str):
         ids, start = c.ids(model)
         id_counts = np.bincount(ids, weights=np.repeat(counts, np.diff(start)), minlength=len(model.surface)).astype(np.int64)
         met = np.flatnonzero(id_counts)
-        names = [zlib.crc32(b"%d" % (i or 0)) for i in table.column("doc_id").to_pylist()]
-        taken = []
+        kept, sizes = [], []
         for lo, hi, part in c.slices(SLICE):
             mine = learn[c.text[part]]
             if mine.any():
                 row = (np.cumsum(learn[lo:hi]) - 1)[c.text[part][mine] - lo]
                 ids_at, n = spread(c.words_at[part][mine], ids, start)
-                x, y, text = windows(ids_at, np.bincount(row, weights=n).astype(np.int64), model.bos)
-                have = np.bincount(text)
-                at = np.arange(len(text)) - np.repeat(np.concatenate([[0], np.cumsum(have)])[:-1], have)
-                pick = at % TAKE == (np.array(names[lo:hi])[learn[lo:hi]] % np.minimum(TAKE, have))[text]
-                taken.append((np.concatenate([x[pick], y[pick]], axis=1) + 1).astype(np.uint16).tobytes())
-        taken = b"".join(taken)
+                kept.append(ids_at.astype(np.uint16).tobytes())
+                sizes.append(np.bincount(row, weights=n).astype(np.int64).tobytes())
+        kept, sizes = b"".join(kept), b"".join(sizes)
         blank = lambda k, t: pa.nulls(k, t)
         join = lambda *parts: pa.concat_arrays(parts)
         w, m = len(c.words), len(met)
@@ -297,7 +294,8 @@ def _gather(model_file: str):
                 join(pa.array(c.words, pa.binary()), blank(m + 1, pa.binary())),
                 join(blank(w, pa.int32()), pa.array(met, pa.int32()), blank(1, pa.int32())),
                 pa.array(np.concatenate([counts, id_counts[met], [0]]).astype(np.int64)),
-                join(blank(w + m, pa.binary()), pa.array([taken], pa.binary())),
+                join(blank(w + m, pa.binary()), pa.array([kept], pa.binary())),
+                join(blank(w + m, pa.binary()), pa.array([sizes], pa.binary())),
             ],
             schema=to,
         )
@@ -305,25 +303,27 @@ def _gather(model_file: str):
     return run
 
 
-_GATHERED = "chunk int, word binary, id int, n long, windows binary"
+_GATHERED = "chunk int, word binary, id int, n long, ids binary, sizes binary"
 _SUMS = [f"v{k}" for k in range(DIM)]
 
 
-def _train_task(share, rate: float):
-    """A group of chunks' windows -> the parameters trained on them, times what they count for, in rows of DIM."""
+def _train_task(share, rate: float, bos: int):
+    """A group of chunks' ids -> the parameters trained on all their windows, times what they count for, in rows of DIM."""
 
     def run(table: pa.Table) -> pa.Table:
         lm = share.value
         local = AttentionLm(*(np.array(getattr(lm, n)) for n in AttentionLm.NAMES), lm.of_class, lm.log_share)
-        w = np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("windows").to_pylist()]).reshape(-1, SPAN + NOW).astype(np.int32) - 1
-        x, y = w[:, :SPAN], w[:, SPAN:]
-        local.train(x, y, rate)
-        met = np.bincount(x[x >= 0], minlength=len(local.E)).astype(np.float64)
+        met, n, grown = np.zeros(len(local.E)), 0, local.no_gradients()
+        for row in table.select(["ids", "sizes"]).take(np.argsort(table.column("chunk").to_numpy())).to_pylist():
+            x, y, _ = windows(np.frombuffer(row["ids"], np.uint16).astype(np.int32), np.frombuffer(row["sizes"], np.int64), bos)
+            local.train(x, y, rate, grown=grown)
+            met += np.bincount(x[x >= 0], minlength=len(met))
+            n += len(x)
         ids = np.flatnonzero(met)
         rest = _rest(local)
-        rows = np.concatenate([local.E[ids] * met[ids, None], rest * len(x)]).astype(np.float64)
+        rows = np.concatenate([local.E[ids] * met[ids, None], rest * n]).astype(np.float64)
         names = np.concatenate([ids, -1 - np.arange(len(rest))]).astype(np.int32)
-        weight = np.concatenate([met[ids], np.full(len(rest), float(len(x)))])
+        weight = np.concatenate([met[ids], np.full(len(rest), float(n))])
         return pa.table([pa.array(names), pa.array(weight), *(pa.array(rows[:, k]) for k in range(DIM))], names=["id", "n", *_SUMS])
 
     return run
@@ -334,18 +334,18 @@ def _rest(lm: AttentionLm) -> np.ndarray:
     return np.concatenate([getattr(lm, n).reshape(-1) for n in AttentionLm.NAMES[1:]]).reshape(-1, DIM)
 
 
-def fit(gathered: DataFrame, vocabulary: int, rounds: int = 2, chunks_a_task: int = 8) -> AttentionLm:
-    """Train on the gathered windows.  What comes to the driver has the size of the model."""
+def fit(gathered: DataFrame, vocabulary: int, bos: int, rounds: int = 2, chunks_a_task: int = 2) -> AttentionLm:
+    """Train on the gathered ids.  What comes to the driver has the size of the model."""
     spark = gathered.sparkSession
     counts = np.zeros(vocabulary, np.int64)
     for r in gathered.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():
         counts[r.id] = r.n
     lm = AttentionLm.new(counts)
-    dealt = gathered.where("length(windows) > 0").select(F.expr(f"chunk div {chunks_a_task}").alias("task"), "windows")
+    dealt = gathered.where("length(ids) > 0").select(F.expr(f"chunk div {chunks_a_task}").alias("task"), "chunk", "ids", "sizes")
     schema = "id int, n double, " + ", ".join(f"{v} double" for v in _SUMS)
     for k in range(rounds):
         share = spark.sparkContext.broadcast(lm)
-        sums = dealt.groupBy("task").applyInArrow(_train_task(share, 0.1 / (1 + k)), schema)
+        sums = dealt.groupBy("task").applyInArrow(_train_task(share, 0.1 / (1 + k), bos), schema)
         mean = [(F.sum(v) / F.sum("n")).alias(v) for v in _SUMS]
         rows = sums.groupBy("id").agg(*mean).toPandas()
         if not len(rows):
@@ -399,15 +399,19 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row."""
     chars = docs.agg(F.sum(F.length(text_or_empty(text_col)))).first()[0] or 0
     chunked = _chunked(docs, id_col, text_col, int(chars // chunk_chars) + 1)
-    gathered = store(chunked.groupBy("chunk").applyInArrow(_gather(model_file), _GATHERED), "gathered")
-    lm = fit(gathered, len(load(model_file, KEPT_WORDS).surface))
-    words = gathered.where("word is not null").select("chunk", "word", "n")
+    gathered = Stored(chunked.groupBy("chunk").applyInArrow(_gather(model_file), _GATHERED), "gathered", "zstd")
+    model = load(model_file, KEPT_WORDS)
+    lm = fit(gathered.df, len(model.surface), model.bos)
+    words = gathered.df.where("word is not null").select("chunk", "word", "n")
     of_word = Window.partitionBy("word")
-    counted = words.select("chunk", "word", F.sum("n").over(of_word).alias("c"), (F.col("chunk") == F.min("chunk").over(of_word)).alias("first"))
+    counted = words.select("chunk", "word", "n", F.sum("n").over(of_word).alias("c"), (F.col("chunk") == F.min("chunk").over(of_word)).alias("first"))
+    counted = Stored(counted, "counted", "zstd").df
+    gathered.drop()
+    release(docs.sparkSession)
     share = docs.sparkSession.sparkContext.broadcast(lm)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, new long"
-    scored = store(chunked.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score(share, model_file), schema), "scored")
-    total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens")).crossJoin(scored.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("distinct")))
+    scored = store(chunked.groupBy("chunk").cogroup(counted.select("chunk", "word", "c", "first").groupBy("chunk")).applyInArrow(_score(share, model_file), schema), "scored")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens")).crossJoin(scored.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("distinct")))
     # One row of totals.
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("distinct") + 1.0)
     return scored.where("new is null").crossJoin(F.broadcast(total)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")

@@ -65,3 +65,23 @@ def test_scores(spark):
     assert Counter((x.doc_id, x.held_out, x.n_tokens, x.n_known, x.train_tokens, round(x.base_score, 6)) for x in got) == expected
     assert all(x.score < 0 for x in got)
     assert A.score_documents(df.where("false"), tokenizers.path("piece_bpe_32k.model")).count() == 0
+
+
+def test_every_window_is_trained_on(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    texts = [" ".join(r.choice(["cat", "sat", "zebra", "x1"], n)) for n in (3, 700, 40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model = A.load(tokenizers.path("piece_bpe_32k.model"), A.KEPT_WORDS)
+    gathered = A._chunked(df, "doc_id", "text", 1).groupBy("chunk").applyInArrow(A._gather(tokenizers.path("piece_bpe_32k.model")), A._GATHERED)
+    learnt = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(learnt) >= 2
+    want = sum(len(p) // 4 for t in learnt for p in model.encode_words(t.split())) + len(learnt)
+    found = gathered.where("word is null and id is null").collect()
+    sizes = np.concatenate([np.frombuffer(x.sizes, np.int64) for x in found])
+    assert sizes.sum() == want == sum(len(x.ids) // 2 for x in found)
+    seen = []
+    monkeypatch.setattr(A.AttentionLm, "train", lambda self, x, y, rate, **kw: seen.append(int((y >= 0).sum())))
+    share = type("Share", (), {"value": A.AttentionLm.new(np.ones(len(model.surface)))})
+    table = gathered.where("length(ids) > 0").toArrow()
+    A._train_task(share, 0.1, model.bos)(table)
+    assert sum(seen) == want
