@@ -8,16 +8,16 @@ and softmax are trained together by stochastic gradient descent.
 A document of any length is read as overlapping spans and has the score of its worst one, since an
 insult does not get weaker by what surrounds it.  In training, a toxic document's label holds for
 its worst spans only: training starts from all spans of the toxic documents and then goes on, in
-rounds, with those that the model so far finds worst, against spans of clean documents, the worst
-ones among them.  At last the scores of documents kept aside
-are mapped to probabilities.
+rounds, with those that the model so far finds worst, against spans of clean documents: all of them
+at first, then the worst ones and some at random.  At last the scores of documents kept aside are
+mapped to probabilities, together with their numbers of spans, since the worst of many is worse.
 
 The softmax of an average is linear in the n-grams up to its last step, so scoring adds one number
 a word, which is kept in a bounded cache.
 
-The model is fitted on at most ``max_toxic`` and ``max_clean`` labelled documents of at most
-``max_chars`` characters, chosen by a hash of their ids; every document is scored, over its whole
-text.
+The model is fitted on at most ``max_toxic`` and ``max_clean`` labelled documents of any
+length, chosen by a hash of their ids; every document is scored, over its whole text.  The driver
+holds the chosen documents' texts.
 
 Defined cases: null and empty texts have the score of no toxic evidence at all; a null doc_id
 counts as an empty id for the choice of held-out rows and never has a label; if a document has
@@ -76,32 +76,35 @@ class _WordScores(dict):
 
 @dataclass
 class ToxicityModel:
-    """ngram: what each bucket adds to the logit; bias; the map from the worst span's logit to a probability."""
+    """ngram: what each bucket adds to the logit; bias; the map from the worst span's logit and the logarithm of the number of spans to a probability."""
 
     ngram: np.ndarray
     bias: float
     slope: float
     shift: float
     constant: float | None = None
+    by_length: float = 0.0
     _cache: dict | None = field(default=None, repr=False)
 
     def __getstate__(self):
         return self.__dict__ | {"_cache": None}
 
-    def logit(self, text: str | None) -> float:
-        """Of the worst span."""
+    def evidence(self, text: str | None) -> tuple[float, float]:
+        """The logit of the worst span, and the logarithm of the number of spans."""
         if self._cache is None:
             self._cache = _WordScores(self.ngram)
         words = words_of(text or "")
         if not words:
-            return self.bias
+            return self.bias, 0.0
         values = np.fromiter(map(self._cache.__getitem__, words), np.float64, len(words))
-        return self.bias + float(span_means(values).max())
+        means = span_means(values)
+        return self.bias + float(means.max()), float(np.log(len(means)))
 
     def score(self, text: str | None) -> float:
         if self.constant is not None:
             return self.constant
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.logit(text) + self.shift, -30, 30))))
+        logit, length = self.evidence(text)
+        return float(1 / (1 + np.exp(-np.clip(self.slope * logit + self.by_length * length + self.shift, -30, 30))))
 
 
 def span_means(values: np.ndarray) -> np.ndarray:
@@ -186,11 +189,13 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, b
     toxic, clean = np.flatnonzero((y == 1) & ~aside), np.flatnonzero((y == 0) & ~aside)
 
     def pick(docs, each, worst):
-        """``each`` spans of each document: at random, or the worst."""
+        """``each`` spans of each document: at random, or the worst; all without ``each``."""
         found, word = [], t.word_logits() if worst else None
         for d in docs:
             s = t.spans(d)
-            if worst:
+            if each is None:
+                k = slice(None)
+            elif worst:
                 m = word[s].mean(axis=1)
                 k = np.argpartition(-m, min(each, len(m)) - 1)[:each]
             else:
@@ -200,7 +205,7 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, b
 
     for r in range(rounds):
         if r == 0:
-            positive, negative = pick(toxic, 24, False), pick(clean, 16, False)
+            positive, negative = pick(toxic, None, False), pick(clean, None, False)
         else:
             positive = pick(toxic, 3, True)
             negative = np.concatenate([pick(clean, 3, True), pick(clean, 12, False)])
@@ -214,28 +219,32 @@ def train(texts: list[str], labels: list[int], seed: int = 7, rounds: int = 4, b
     grams, bias = t.ngram_logits()
     model = ToxicityModel(grams.astype(np.float32), bias, 1.0, 0.0)
     word = t.word_logits()
-    top = np.array([bias + span_means(word[d]).max() for d in t.docs])
-    model.slope, model.shift = _calibrate(top[aside], y[aside]) if aside.any() else _calibrate(top, y)
+    means = [span_means(word[d]) for d in t.docs]
+    x = np.array([(bias + m.max(), np.log(len(m))) for m in means])
+    (model.slope, model.by_length), model.shift = _calibrate(x[aside], y[aside]) if aside.any() else _calibrate(x, y)
     return model
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression of the label on the worst span's logit, lightly held back, by Newton steps."""
-    mean, sd = x.mean(), x.std() or 1.0
-    u, a, b = (x - mean) / sd, 1.0, 0.0
+def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression of the label on the columns of x, lightly held back, by Newton steps."""
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd[sd == 0] = 1.0
+    u = np.column_stack([(x - mean) / sd, np.ones(len(x))])
+    held = np.append(np.full(x.shape[1], 0.1), 0.0)
+    a = np.zeros(u.shape[1])
+    a[0] = 1.0
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * u + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(u @ a, -30, 30)))
         w = p * (1 - p) + 1e-6
-        g = np.array([((p - y) * u).sum() + 0.1 * a, (p - y).sum()])
-        h = np.array([[(w * u * u).sum() + 0.1, (w * u).sum()], [(w * u).sum(), w.sum()]])
-        d = np.linalg.solve(h, g)
-        a, b = a - np.clip(d[0], -2, 2), b - np.clip(d[1], -2, 2)
+        d = np.linalg.solve((u * w[:, None]).T @ u + np.diag(held), u.T @ (p - y) + held * a)
+        a -= np.clip(d, -2, 2)
         if abs(d).max() < 1e-8:
             break
-    return a / sd, b - a * mean / sd
+    slopes = a[:-1] / sd
+    return slopes, float(a[-1] - slopes @ mean)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int, max_chars: int) -> list:
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int) -> list:
     """(text, toxic) of the chosen labelled documents outside the held-out part, in a fixed order."""
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", 4, 2))
@@ -246,14 +255,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     for value, most in ((1, max_toxic), (0, max_clean)):
         part = usable.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.substring(text_or_empty(text_col), 1, max_chars + 1).alias("text")).where(F.length("text") <= max_chars)
+    texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     # The chosen ids are at most max_toxic + max_clean.
     rows = texts.join(F.broadcast(chosen), "doc_id").collect()
     return sorted((r.doc_id, r.text, r.toxic) for r in rows)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 2400, max_chars: int = 20_000) -> ToxicityModel:
-    rows = training_rows(docs, labels, id_col, text_col, max_toxic, max_clean, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_toxic: int = 1200, max_clean: int = 2400) -> ToxicityModel:
+    rows = training_rows(docs, labels, id_col, text_col, max_toxic, max_clean)
     return train([r[1] for r in rows], [r[2] for r in rows])
 
 

@@ -40,3 +40,22 @@ def test_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in toxicity.score_documents(docs, toxicity.fit(docs, none)).collect()] == [0.0]
     assert toxicity.score_documents(docs.where("false"), toxicity.fit(docs, none)).count() == 0
+
+
+def test_long_labelled_documents_are_trained_on(spark):
+    rows = [(i, "ab cd " * n, y) for i, (n, y) in enumerate([(10, 1), (20_000, 1), (10, 0), (20_000, 0)] * 4)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = toxicity.training_rows(docs, labels, "doc_id", "text", 1200, 2400)
+    assert got == [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+
+
+def test_training_starts_from_all_spans_and_the_map_knows_the_length(monkeypatch):
+    rows = corpus(300)
+    seen, step = [], toxicity._Trainer.step
+    monkeypatch.setattr(toxicity._Trainer, "step", lambda self, s, y, rate: (seen.append((len(s), rate)), step(self, s, y, rate))[1])
+    model = toxicity.train([t for _, t, _ in rows], [y for _, _, y in rows], rounds=1, min_steps=1)
+    spans = sum(max(1, len(t.split()) - toxicity.SPAN + 1) for _, t, _ in rows)
+    # Two passes over the documents that are not kept aside.
+    assert sum(n for n, _ in seen) > 2 * 0.6 * spans
+    assert model.by_length != 0 and model.evidence("a b c d e")[1] > model.evidence("a b c d")[1] == 0
