@@ -1,6 +1,7 @@
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -15,6 +16,12 @@ def test_bands_reach_the_recall():
         choose_bands(0.01, 0.999, 8)
 
 
+def test_readme_states_the_recall_of_the_bands():
+    bands, rows = choose_bands(0.8, 0.999)
+    readme = (Path(__file__).resolve().parents[2] / "README.md").read_text()
+    assert f"{bands} bands of {rows} rows find a pair at the threshold with probability {1 - (1 - 0.8**rows) ** bands:.4f}" in readme
+
+
 def brute(rows):
     sets = []
     for _, t in rows:
