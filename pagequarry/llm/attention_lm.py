@@ -6,47 +6,59 @@ head of masked attention over the last ``PAST`` ids and the present ones, and a
 of ids; an id's probability is its class's times its share of the class in the training corpus.  The
 windows overlap, so every id is scored once and has ``PAST`` ids of context.
 
-What is learnt from the corpus:
-* counts of all words and all subword ids, over every training document;
+What is learnt from the corpus, always from every training document:
+* counts of all words and all subword ids;
+* the classes: the most frequent ids have one each, the others share one with ids that follow the
+  same ids (counts of the ids before, by ``CONTEXTS`` hashed kinds, clustered);
 * embeddings, attention and softmax, by gradient descent on every window of every training document.
-  A chunk's ids are stored, two bytes each; the chunks are dealt to tasks of a fixed size, which make
-  the windows of one chunk at a time.  The tasks' models are averaged, each embedding by how often its
-  id was met, and training goes on from the average.
+  The windows are dealt to ``ROUNDS``, so that each is trained on once.  In a round every task trains
+  on its share of the stored ids; the tasks' models are averaged, each embedding by how often its id
+  was met, and the next round goes on from the average.
 
-Documents are dealt into chunks of about ``chunk_chars`` characters by a hash of the row.  A chunk
-has a table of its distinct words; only these tables are shuffled by word to get the corpus's
-counts, so a frequent word moves as many rows as there are chunks.  The counts come back to the
-chunk with its documents.
+Texts are read and encoded once, in the partitions they come in.  A run of about ``chunk_chars``
+characters is a chunk; it is stored as numbers: its distinct words with their training counts, and,
+for each document, its ids (two bytes each) and the numbers of its words.  Training and scoring read
+the ids from there without a shuffle.  Only the distinct words of the chunks are shuffled by word, to
+be counted over the corpus; they are joined back, so that the rows of a frequent word can be split.
 
 Defined cases: null counts as empty; the empty text is scored as one end; a null doc_id is hashed as
-an empty id; rows that repeat a doc_id are scored each; words never met in training have a count of
-0; without training documents all counts are 0 and the ids are equally likely; further columns are
-ignored.
+an empty id; rows that repeat a doc_id are scored each, as often as they are there; words never met
+in training have a count of 0; without training documents all counts are 0 and the ids are equally
+likely; an empty table gives an empty result; a very long text is one document of a chunk, whose
+memory follows the longest text; of ids with equal counts the lesser is taken as more frequent;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, release, store, text_or_empty
-from .piece_bpe import PieceBpe, load
+from .common import Stored, release, text_or_empty
 
 DIM = 16
 CLASSES = 128
-PAST = 16
+#: Ids with a class of their own, and hashed kinds of ids before, by which the others are clustered.
+OWN_CLASS = 48
+CONTEXTS = 32
+PAST = 8
 NOW = 16
 SPAN = PAST + NOW
-#: Windows scored at once, so that they stay in the processor's cache; words looked at together.
+#: Windows scored or trained on at once, so that they stay in the processor's cache.
 BATCH = 128
+#: Words of a stored row of ids, of one document at least; words encoded at once.
 SLICE = 20_000
-#: Distinct words whose ids a worker keeps from chunk to chunk.
-KEPT_WORDS = 400_000
+#: The rounds of training: the eighths of the windows dealt to each, and the rate.
+ROUNDS = (((0,), 0.15), ((1, 2), 0.1), ((3, 4, 5, 6, 7), 0.07))
 END = b" "
 
 
@@ -57,128 +69,166 @@ def held_out(id_col: str) -> Column:
 # -- the model ------------------------------------------------------------------------------------
 
 
+def frequent_first(counts: np.ndarray) -> np.ndarray:
+    return np.argsort(-counts.astype(np.float64), kind="stable")
+
+
+def context_classes(counts: np.ndarray, contexts: np.ndarray, steps: int = 12) -> np.ndarray:
+    """Each id's class: its own, or that of the ids which follow the same kinds of ids (spherical k-means by counts)."""
+    order = frequent_first(counts)
+    of_class = np.empty(len(counts), np.int64)
+    of_class[order[:OWN_CLASS]] = np.arange(min(OWN_CLASS, len(order)))
+    rest, k = order[OWN_CLASS:], CLASSES - OWN_CLASS
+    if len(rest):
+        usual = contexts.sum(axis=0) / max(1, contexts.sum())
+        near = np.sqrt((contexts[rest] + 4 * usual) / (contexts[rest].sum(axis=1, keepdims=True) + 4)).astype(np.float32)
+        weight = counts[rest] + 0.1
+        centre = near[np.arange(k) % len(near)].copy()
+        for _ in range(steps):
+            of = (near @ centre.T).argmax(axis=1)
+            for j in range(near.shape[1]):
+                centre[:, j] = np.bincount(of, weights=weight * near[:, j], minlength=k)
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+        of_class[rest] = OWN_CLASS + (near @ centre.T).argmax(axis=1)
+    return of_class
+
+
 @dataclass
 class AttentionLm:
-    """Parameters; of_class: each id's class; log_share: log10 of its share of the class."""
+    """Parameters; of_class: each id's class; log_share: log10 of its share of the class.
+
+    E has one row more than there are ids, which stands for no id.  KV makes keys and values; the
+    last row of U is added to each class's logit.
+    """
 
     E: np.ndarray
     P: np.ndarray
     Q: np.ndarray
-    K: np.ndarray
-    V: np.ndarray
+    KV: np.ndarray
     O: np.ndarray  # noqa: E741
     U: np.ndarray
-    b: np.ndarray
     of_class: np.ndarray
     log_share: np.ndarray
 
-    NAMES = ("E", "P", "Q", "K", "V", "O", "U", "b")
+    NAMES = ("E", "P", "Q", "KV", "O", "U")
 
     @classmethod
-    def new(cls, counts: np.ndarray, seed: int = 3) -> AttentionLm:
-        """An untrained model whose classes have about equal weight, and which knows the classes' shares."""
+    def new(cls, counts: np.ndarray, contexts: np.ndarray | None = None, seed: int = 3) -> AttentionLm:
+        """An untrained model that knows the ids' classes and the classes' shares."""
         r = np.random.default_rng(seed)
         f = lambda *s: r.normal(0, 0.25, s).astype(np.float32)
+        of_class = context_classes(counts, np.zeros((len(counts), 1)) if contexts is None else contexts)
         c = counts.astype(np.float64) + 0.1
-        order = np.argsort(-c, kind="stable")
-        weight = np.cumsum(c[order] ** 0.7)
-        of_class = np.empty(len(c), np.int64)
-        of_class[order] = np.minimum((weight - 1e-9) / weight[-1] * CLASSES, CLASSES - 1).astype(np.int64)
         total = np.bincount(of_class, weights=c, minlength=CLASSES)
-        share = np.maximum(total, 1e-9) / total.sum()
-        return cls(f(len(c), DIM), f(SPAN, DIM), f(DIM, DIM), f(DIM, DIM), f(DIM, DIM), f(DIM, DIM), np.zeros((DIM, CLASSES), np.float32), np.log(share).astype(np.float32), of_class, np.log10(c / total[of_class]))
+        U = np.zeros((DIM + 1, CLASSES), np.float32)
+        U[DIM] = np.log(np.maximum(total, 1e-9) / total.sum())
+        E = np.concatenate([f(len(c), DIM), np.zeros((1, DIM), np.float32)])
+        return cls(E, f(SPAN, DIM), f(DIM, DIM), f(DIM, 2 * DIM), f(DIM, DIM), U, of_class, np.log10(c / total[of_class]))
+
+    def copy(self) -> AttentionLm:
+        return AttentionLm(*(np.array(getattr(self, n)) for n in self.NAMES), self.of_class, self.log_share)
+
+    @property
+    def no_id(self) -> int:
+        return len(self.E) - 1
 
     def forward(self, x: np.ndarray) -> tuple:
-        """Logits of the classes of the ids after each of the last NOW of SPAN ids; -1 is no id."""
-        real = x >= 0
-        e = self.E[np.maximum(x, 0)] + self.P
-        q = e[:, PAST:] @ self.Q
-        k, v = e @ self.K, e @ self.V
-        s = q @ k.transpose(0, 2, 1)
-        s *= np.float32(DIM**-0.5)
-        s += _CAUSAL
-        s += np.where(real, np.float32(0), np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        a = s @ v
-        h = e[:, PAST:] + a @ self.O
-        return h @ self.U + self.b, (e, q, k, v, s, a, h)
+        """Logits of the classes of the ids after each of the last NOW of SPAN ids, and what led to them."""
+        n = len(x)
+        e = self.E.take(x, axis=0)
+        e += self.P
+        now = np.ascontiguousarray(e[:, PAST:]).reshape(-1, DIM)
+        q = (now @ (self.Q * _SCALE)).reshape(n, NOW, DIM)
+        kv = (e.reshape(-1, DIM) @ self.KV).reshape(n, SPAN, 2 * DIM)
+        k, v = kv[..., :DIM], kv[..., DIM:]
+        w = q @ k.transpose(0, 2, 1)
+        if _large(w):
+            w -= np.where((_SEEN > 0) & (x != self.no_id)[:, None, :], w, -np.inf).max(axis=2, keepdims=True, initial=-1e30)
+            np.minimum(w, 0, out=w)
+        np.exp(w, out=w)
+        w *= _SEEN
+        first = np.flatnonzero(x[:, 0] == self.no_id)  # windows that begin before their text
+        w[first] *= (x[first] != self.no_id)[:, None, :]
+        total = w.reshape(-1, SPAN) @ np.ones(SPAN, np.float32)
+        inverse = 1 / np.maximum(total, np.float32(1e-30))
+        a = (w @ v).reshape(-1, DIM)
+        a *= inverse[:, None]
+        h = np.ones((n * NOW, DIM + 1), np.float32)
+        np.matmul(a, self.O, out=h[:, :DIM])
+        h[:, :DIM] += now
+        return h @ self.U, (e, now, q, k, v, w, inverse, a, h)
 
     def log10(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log10 of the probabilities of y (windows, NOW) after the windows x (windows, SPAN); 0 where y is -1."""
-        z = self._logits(x)
-        t = np.maximum(y, 0)
-        own = z.reshape(-1)[np.arange(t.size) * CLASSES + self.of_class[t].reshape(-1)].reshape(t.shape).astype(np.float64)
-        if z.max() > _LARGE:
-            top = z.max(axis=2)
-            z -= top[..., None]
+        z = self.forward(x)[0]
+        t = y.reshape(-1)
+        own = z.reshape(-1)[np.arange(0, z.size, CLASSES) + self.of_class[t]]
+        if _large(z):
+            top = z.max(axis=1)
+            z -= top[:, None]
             own -= top
         np.exp(z, out=z)
-        found = (own - np.log((z.reshape(-1, CLASSES) @ np.ones(CLASSES, z.dtype)).reshape(y.shape).astype(np.float64))) / np.log(10) + self.log_share[t]
-        return np.where(y >= 0, found, 0.0)
-
-    def _logits(self, x: np.ndarray) -> np.ndarray:
-        """What forward() returns first, in fewer passes over memory."""
-        n = len(x)
-        e = self.E[np.maximum(x, 0)] + self.P
-        now = np.ascontiguousarray(e[:, PAST:]).reshape(-1, DIM)
-        flat = e.reshape(-1, DIM)
-        q = (now @ self.Q * np.float32(DIM**-0.5)).reshape(n, NOW, DIM)
-        k, v = (flat @ self.K).reshape(n, SPAN, DIM), (flat @ self.V).reshape(n, SPAN, DIM)
-        s = q @ k.transpose(0, 2, 1)
-        if s.max() > _LARGE:
-            return self.forward(x)[0]
-        np.exp(s, out=s)
-        s *= _SEEN
-        first = np.flatnonzero(x[:, 0] < 0)  # windows that begin before their text
-        s[first] *= (x[first] >= 0)[:, None, :]
-        a = (s @ v).reshape(-1, DIM)
-        a /= (s.reshape(-1, SPAN) @ np.ones(SPAN, s.dtype))[:, None]
-        return ((now + a @ self.O) @ self.U + self.b).reshape(n, NOW, CLASSES)
+        found = (own - np.log(z @ _EACH_CLASS)) * _LOG10_E + self.log_share[t]
+        found[t < 0] = 0.0
+        return found.reshape(y.shape)
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean loss; the embeddings' are by place in x."""
-        z, (e, q, k, v, s, a, h) = self.forward(x)
-        live = y >= 0
-        z -= z.max(axis=2, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=2, keepdims=True)
-        rows, cols = np.nonzero(live)
-        z[rows, cols, self.of_class[y[rows, cols]]] -= 1
-        z *= live[..., None] / np.float32(max(1, len(rows)))
-        flat = lambda m: m.reshape(-1, m.shape[-1])
-        g = {"U": flat(h).T @ flat(z), "b": flat(z).sum(axis=0)}
-        dh = z @ self.U.T
-        g["O"] = flat(a).T @ flat(dh)
+        n = len(x)
+        p, (e, now, q, k, v, w, inverse, a, h) = self.forward(x)
+        if _large(p):
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        total = p @ _EACH_CLASS
+        t = y.reshape(-1)
+        live = np.flatnonzero(t >= 0)
+        p.reshape(-1)[live * CLASSES + self.of_class[t[live]]] -= total[live]
+        c = np.zeros(len(t), np.float32)
+        c[live] = 1 / (total[live] * max(1, len(live)))
+        h *= c[:, None]
+        g = {"U": h.T @ p}
+        dh = p @ self.U[:DIM].T
+        dh *= c[:, None]
+        g["O"] = a.T @ dh
         da = dh @ self.O.T
-        ds = da @ v.transpose(0, 2, 1)
-        dv = s.transpose(0, 2, 1) @ da
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        now = e[:, PAST:]
-        g["Q"], g["K"], g["V"] = flat(now).T @ flat(dq), flat(e).T @ flat(dk), flat(e).T @ flat(dv)
-        de = dk @ self.K.T + dv @ self.V.T
-        de[:, PAST:] += dh + dq @ self.Q.T
-        g["P"] = de.sum(axis=0)
+        da3 = da.reshape(n, NOW, DIM)
+        w *= inverse.reshape(n, NOW, 1)
+        ds = da3 @ v.transpose(0, 2, 1)
+        ds -= ((da * a) @ np.ones(DIM, np.float32)).reshape(n, NOW, 1)
+        ds *= w
+        dkv = np.empty((n, SPAN, 2 * DIM), np.float32)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :DIM])
+        np.matmul(w.transpose(0, 2, 1), da3, out=dkv[..., DIM:])
+        dq = (ds @ k).reshape(-1, DIM)
+        dq *= _SCALE
+        g["Q"] = now.T @ dq
+        dkv = dkv.reshape(-1, 2 * DIM)
+        g["KV"] = e.reshape(-1, DIM).T @ dkv
+        de = (dkv @ self.KV.T).reshape(n, SPAN, DIM)
+        dh += dq @ self.Q.T
+        de[:, PAST:] += dh.reshape(n, NOW, DIM)
+        g["P"] = (np.ones(n, np.float32) @ de.reshape(n, -1)).reshape(SPAN, DIM)
         g["E"] = de
         return g
 
     def no_gradients(self) -> dict[str, np.ndarray]:
         return {n: np.full(getattr(self, n).shape, 1e-6, np.float32) for n in self.NAMES}
 
-    def train(self, x: np.ndarray, y: np.ndarray, rate: float, batch: int = 128, seed: int = 5, grown: dict[str, np.ndarray] | None = None) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, rate: float, batch: int = BATCH, seed: int = 5, grown: dict[str, np.ndarray] | None = None) -> None:
         """One run over the windows, each parameter's rate falling with its gradients (Adagrad), of which ``grown`` keeps the sums."""
         grown = self.no_gradients() if grown is None else grown
         order = np.random.default_rng(seed).permutation(len(x))
         for at in range(0, len(order), batch):
             part = order[at : at + batch]
-            g = self.gradients(x[part], y[part])
-            ids = x[part].reshape(-1)
-            seen = ids >= 0
-            used, where = np.unique(ids[seen], return_inverse=True)
-            de = g.pop("E").reshape(-1, DIM)[seen]
-            ge = np.stack([np.bincount(where, weights=de[:, d], minlength=len(used)) for d in range(DIM)], axis=1).astype(np.float32)
+            windows_x = x.take(part, axis=0)
+            g = self.gradients(windows_x, y.take(part, axis=0))
+            ids = windows_x.reshape(-1).astype(np.uint16)
+            by_id = np.argsort(ids, kind="stable")
+            ids = ids[by_id]
+            start = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            ge = np.add.reduceat(g.pop("E").reshape(-1, DIM).take(by_id, axis=0), start, axis=0)
+            used = ids[start].astype(np.int64)
+            ge[used == self.no_id] = 0
             grown["E"][used] += ge * ge
             self.E[used] -= rate * ge / np.sqrt(grown["E"][used])
             for n, v in g.items():
@@ -187,43 +237,57 @@ class AttentionLm:
                 p -= rate * v / np.sqrt(grown[n])
 
 
-#: Logits under this are exponentiated as they are.
-_LARGE = 60.0
+def _large(logits: np.ndarray) -> bool:
+    """Whether they must not be exponentiated as they are."""
+    return logits.max() > 60 or logits.min() < -60
+
+
+_SCALE = np.float32(DIM**-0.5)
+_LOG10_E = float(np.log10(np.e))
 #: A present id sees the past and what is not after it.
-_CAUSAL = np.where(np.arange(SPAN)[None, :] <= np.arange(NOW)[:, None] + PAST, np.float32(0), np.float32(-1e9))
+_SEEN = (np.arange(SPAN)[None, :] <= np.arange(NOW)[:, None] + PAST).astype(np.float32)
+_EACH_CLASS = np.ones(CLASSES, np.float32)
 
-_SEEN = (_CAUSAL == 0).astype(np.float32)
 
-def windows(ids: np.ndarray, sizes: np.ndarray, bos: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, sizes: np.ndarray, bos: int, no_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All windows of texts given as joined ids: inputs, targets (-1: none) and the text of each window."""
     counts = -(-sizes // NOW)
-    width = counts * NOW
-    start = np.concatenate([[0], np.cumsum(width + PAST)])[:-1]
-    x = np.full(int((width + PAST).sum()) if len(sizes) else 0, -1, np.int32)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(ids)) - np.repeat(np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes)
-    y = np.full(len(x), -1, np.int32)
-    y[start[text] + PAST + place] = ids
-    # The input of a place is the id before it.
-    x[1:] = y[:-1]
-    x[start] = -1  # not the last id of the text before
+    width = counts * NOW + PAST
+    start = np.concatenate([[0], np.cumsum(width)])
+    x, y = np.full(start[-1], no_id, np.int32), np.full(start[-1], -1, np.int32)
+    start = start[:-1]
+    place = np.repeat(start + PAST - np.concatenate([[0], np.cumsum(sizes)])[:-1], sizes) + np.arange(len(ids))
+    y[place] = ids
+    # The input of a place is the id before it; a text starts after the begin id.
+    x[place[:-1] + 1] = ids[:-1]
+    x[start] = no_id
     x[start + PAST] = bos
-    first = np.concatenate([s + NOW * np.arange(c) for s, c in zip(start, counts)]) if len(sizes) else np.empty(0, np.int64)
+    first = np.repeat(start - NOW * np.concatenate([[0], np.cumsum(counts)])[:-1], counts) + NOW * np.arange(counts.sum())
     return x[first[:, None] + np.arange(SPAN)], y[first[:, None] + PAST + np.arange(NOW)], np.repeat(np.arange(len(sizes)), counts)
 
 
 # -- words and ids --------------------------------------------------------------------------------
 
 
+@functools.cache
+def tokenizer(model_file: str):
+    from sentencepiece import SentencePieceProcessor
+
+    t = SentencePieceProcessor(model_file=model_file)
+    if t.get_piece_size() >= 1 << 16:
+        raise ValueError("ids are stored in two bytes")
+    return t
+
+
 class Chunk:
     """Texts as numbers of their distinct words; the end is the last word of each text."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[bytes]):
         number: dict[bytes, int] = defaultdict()
         number.default_factory = number.__len__
         parts = []
         for t in texts:
-            w = t.encode("utf-8", "replace").lower().split()
+            w = t.lower().split()
             w.append(END)
             parts.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
         self.sizes = np.array([len(p) for p in parts], np.int64)
@@ -240,12 +304,18 @@ class Chunk:
             yield lo, hi, slice(int(edge[lo]), int(edge[hi]))
             lo = hi
 
-    def ids(self, model: PieceBpe) -> tuple[np.ndarray, np.ndarray]:
-        """The joined ids of the distinct words, and where each one's begin."""
-        keys = [w.decode("utf-8", "replace") for w in self.words]
-        packed = [p if w != END else np.uint32(model.eos).tobytes() for w, p in zip(self.words, model.encode_words(keys))]
-        sizes = np.array([len(p) // 4 for p in packed], np.int64)
-        return np.frombuffer(b"".join(packed), np.uint32).astype(np.int32), np.concatenate([[0], np.cumsum(sizes)])
+    def ids(self, model) -> tuple[np.ndarray, np.ndarray]:
+        """The joined ids of the distinct words, each encoded as after a space, and where each one's begin."""
+        flat, sizes = [], []
+        for at in range(0, len(self.words), SLICE):
+            part = self.words[at : at + SLICE]
+            found = model.encode([w.decode("utf-8", "replace") for w in part], num_threads=1)
+            if END in part:
+                found[part.index(END)] = [model.eos_id()]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            flat.append(np.fromiter(itertools.chain.from_iterable(found), np.uint16, int(n.sum())))
+            sizes.append(n)
+        return np.concatenate(flat), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
 
 
 def spread(words: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,76 +325,106 @@ def spread(words: np.ndarray, ids: np.ndarray, start: np.ndarray) -> tuple[np.nd
     return ids[at], n
 
 
-# -- Spark ----------------------------------------------------------------------------------------
+def kinds(vocabulary: int) -> np.ndarray:
+    """The hashed kind of each id as a context."""
+    return ((np.arange(vocabulary, dtype=np.uint64) * np.uint64(2654435761) >> np.uint64(7)) % np.uint64(CONTEXTS)).astype(np.int32)
 
 
-def _chunked(docs: DataFrame, id_col: str, text_col: str, chunks: int) -> DataFrame:
-    text, doc_id = text_or_empty(text_col), F.col(id_col).cast("long")
-    return docs.select(F.pmod(F.xxhash64(doc_id, text), F.lit(chunks)).cast("int").alias("chunk"), doc_id.alias("doc_id"), held_out(id_col).alias("held_out"), text.alias("text"))
-
-
-def _gather(model_file: str):
-    """A chunk's documents -> its words with their training counts, its id counts, and the ids of its training documents."""
-    to = pa.schema({"chunk": pa.int32(), "word": pa.binary(), "id": pa.int32(), "n": pa.int64(), "ids": pa.binary(), "sizes": pa.binary()})
-
-    def run(table: pa.Table) -> pa.Table:
-        model = load(model_file, KEPT_WORDS)
-        chunk = table.column("chunk")[0].as_py()
-        c = Chunk(table.column("text").to_pylist())
-        learn = ~np.array(table.column("held_out").to_pylist(), bool)
-        counts = np.bincount(c.words_at[learn[c.text]], minlength=len(c.words))
-        ids, start = c.ids(model)
-        id_counts = np.bincount(ids, weights=np.repeat(counts, np.diff(start)), minlength=len(model.surface)).astype(np.int64)
-        met = np.flatnonzero(id_counts)
-        kept, sizes = [], []
-        for lo, hi, part in c.slices(SLICE):
-            mine = learn[c.text[part]]
-            if mine.any():
-                row = (np.cumsum(learn[lo:hi]) - 1)[c.text[part][mine] - lo]
-                ids_at, n = spread(c.words_at[part][mine], ids, start)
-                kept.append(ids_at.astype(np.uint16).tobytes())
-                sizes.append(np.bincount(row, weights=n).astype(np.int64).tobytes())
-        kept, sizes = b"".join(kept), b"".join(sizes)
-        blank = lambda k, t: pa.nulls(k, t)
-        join = lambda *parts: pa.concat_arrays(parts)
-        w, m = len(c.words), len(met)
-        return pa.table(
-            [
-                pa.array(np.full(w + m + 1, chunk, np.int32)),
-                join(pa.array(c.words, pa.binary()), blank(m + 1, pa.binary())),
-                join(blank(w, pa.int32()), pa.array(met, pa.int32()), blank(1, pa.int32())),
-                pa.array(np.concatenate([counts, id_counts[met], [0]]).astype(np.int64)),
-                join(blank(w + m, pa.binary()), pa.array([kept], pa.binary())),
-                join(blank(w + m, pa.binary()), pa.array([sizes], pa.binary())),
-            ],
-            schema=to,
-        )
+# -- Spark ----------------------------------------------------------------------------------------
+
+_CONTEXT = [f"c{k}" for k in range(CONTEXTS)]
+_SUMS = [f"v{k}" for k in range(DIM)]
+_GATHERED = pa.schema(
+    [("chunk", pa.int64()), ("no", pa.int32()), ("word", pa.binary()), ("n", pa.int64())]
+    + [("lo", pa.int32()), ("part", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("words", pa.binary()), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())]
+    + [("id", pa.int32())]
+    + [(c, pa.int64()) for c in _CONTEXT]
+)
+_GATHERED_DDL = "chunk long, no int, word binary, n long, lo int, part int, doc_id array<long>, held_out array<boolean>, n_words array<long>, words binary, sizes array<long>, ids binary, id int, " + ", ".join(f"{c} long" for c in _CONTEXT)
+
+
+def _rows(height: int, **columns) -> pa.RecordBatch:
+    """Rows of the gathered table with the given columns, null in the others."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(height, f.type) for f in _GATHERED], schema=_GATHERED)
+
+
+def _gather(model_file: str, chunk_chars: int):
+    """Documents (doc_id, held_out, text) -> the distinct words of each chunk, its documents as numbers, and the partition's counts of ids."""
+
+    def run(batches):
+        model = tokenizer(model_file)
+        kind = kinds(model.get_piece_size())
+        contexts = np.zeros(len(kind) * CONTEXTS, np.int64)
+        # Chunks are numbered within their partition, which a task that is run again writes anew.
+        chunk = TaskContext.get().partitionId() << 32
+        for docs in _runs(batches, chunk_chars):
+            c = Chunk(docs.column(2).to_pylist())
+            learn = ~np.array(docs.column(1).to_pylist(), bool)
+            n = np.bincount(c.words_at[learn[c.text]], minlength=len(c.words))
+            yield _rows(len(c.words), chunk=np.full(len(c.words), chunk), no=np.arange(len(c.words)), word=c.words, n=n)
+            ids, start = c.ids(model)
+            rows, keys = defaultdict(list), []
+            for number, (lo, hi, part) in enumerate(c.slices(SLICE)):
+                ids_at, per_word = spread(c.words_at[part], ids, start)
+                sizes = np.bincount(c.text[part] - lo, weights=per_word, minlength=hi - lo).astype(np.int64)
+                mine = np.repeat(learn[lo:hi], sizes)
+                before = np.concatenate([[model.bos_id()], ids_at[:-1]])
+                before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = model.bos_id()
+                keys.append(ids_at[mine] * np.int32(CONTEXTS) + kind[before[mine]])
+                for name, value in (("chunk", chunk), ("lo", lo), ("part", number % 8), ("doc_id", docs.column(0)[lo:hi].to_pylist()), ("held_out", ~learn[lo:hi]), ("n_words", c.sizes[lo:hi]), ("words", c.words_at[part].tobytes()), ("sizes", sizes), ("ids", ids_at.tobytes())):
+                    rows[name].append(value)
+            contexts += np.bincount(np.concatenate(keys), minlength=len(contexts))
+            yield _rows(len(rows["lo"]), **rows)
+            chunk += 1
+        contexts = contexts.reshape(-1, CONTEXTS)
+        counts = contexts.sum(axis=1)
+        met = np.flatnonzero(counts)
+        yield _rows(len(met), id=met, n=counts[met], **{name: contexts[met, k] for k, name in enumerate(_CONTEXT)})
 
     return run
 
 
-_GATHERED = "chunk int, word binary, id int, n long, ids binary, sizes binary"
-_SUMS = [f"v{k}" for k in range(DIM)]
+def _runs(batches, most: int):
+    """The rows of all batches again, in tables of about ``most`` bytes of text (column 2), of one row at least."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, done + most - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size += int(ends[to - 1]) - done
+            at = to
+            if size >= most or at < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _train_task(share, rate: float, bos: int):
-    """A group of chunks' ids -> the parameters trained on all their windows, times what they count for, in rows of DIM."""
-
-    def run(table: pa.Table) -> pa.Table:
-        lm = share.value
-        local = AttentionLm(*(np.array(getattr(lm, n)) for n in AttentionLm.NAMES), lm.of_class, lm.log_share)
-        met, n, grown = np.zeros(len(local.E)), 0, local.no_gradients()
-        for row in table.select(["ids", "sizes"]).take(np.argsort(table.column("chunk").to_numpy())).to_pylist():
-            x, y, _ = windows(np.frombuffer(row["ids"], np.uint16).astype(np.int32), np.frombuffer(row["sizes"], np.int64), bos)
-            local.train(x, y, rate, grown=grown)
-            met += np.bincount(x[x >= 0], minlength=len(met))
-            n += len(x)
+    """Stored ids of a partition -> the parameters trained on all their training windows, times what they count for, in rows of DIM."""
+
+    def run(batches):
+        lm = share.value.copy()
+        met, n, grown = np.zeros(len(lm.E)), 0, lm.no_gradients()
+        for batch in batches:
+            for sizes, held, ids in zip(batch.column(0), batch.column(1), batch.column(2)):
+                sizes, learn = sizes.values.to_numpy(), ~np.array(held.as_py(), bool)
+                ids = np.frombuffer(ids.as_buffer(), np.uint16).astype(np.int32)[np.repeat(learn, sizes)]
+                x, y, _ = windows(ids, sizes[learn], bos, lm.no_id)
+                lm.train(x, y, rate, grown=grown)
+                met += np.bincount(x.reshape(-1), minlength=len(met))
+                n += len(x)
+        met[lm.no_id] = 0
         ids = np.flatnonzero(met)
-        rest = _rest(local)
-        rows = np.concatenate([local.E[ids] * met[ids, None], rest * n]).astype(np.float64)
+        rest = _rest(lm)
+        rows = np.concatenate([lm.E[ids] * met[ids, None], rest * n]).astype(np.float64)
         names = np.concatenate([ids, -1 - np.arange(len(rest))]).astype(np.int32)
         weight = np.concatenate([met[ids], np.full(len(rest), float(n))])
-        return pa.table([pa.array(names), pa.array(weight), *(pa.array(rows[:, k]) for k in range(DIM))], names=["id", "n", *_SUMS])
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(weight), *(pa.array(rows[:, k]) for k in range(DIM))], names=["id", "n", *_SUMS])
 
     return run
 
@@ -334,24 +434,24 @@ def _rest(lm: AttentionLm) -> np.ndarray:
     return np.concatenate([getattr(lm, n).reshape(-1) for n in AttentionLm.NAMES[1:]]).reshape(-1, DIM)
 
 
-def fit(gathered: DataFrame, vocabulary: int, bos: int, rounds: int = 2, chunks_a_task: int = 2) -> AttentionLm:
+def fit(gathered: DataFrame, vocabulary: int, bos: int) -> AttentionLm:
     """Train on the gathered ids.  What comes to the driver has the size of the model."""
     spark = gathered.sparkSession
-    counts = np.zeros(vocabulary, np.int64)
-    for r in gathered.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():
-        counts[r.id] = r.n
-    lm = AttentionLm.new(counts)
-    dealt = gathered.where("length(ids) > 0").select(F.expr(f"chunk div {chunks_a_task}").alias("task"), "chunk", "ids", "sizes")
+    counts, contexts = np.zeros(vocabulary, np.int64), np.zeros((vocabulary, CONTEXTS), np.int64)
+    found = gathered.where("id is not null").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", *_CONTEXT))).toPandas()
+    counts[found["id"]], contexts[found["id"]] = found["n"], found[_CONTEXT]
+    lm = AttentionLm.new(counts, contexts)
     schema = "id int, n double, " + ", ".join(f"{v} double" for v in _SUMS)
-    for k in range(rounds):
+    for parts, rate in ROUNDS:
         share = spark.sparkContext.broadcast(lm)
-        sums = dealt.groupBy("task").applyInArrow(_train_task(share, 0.1 / (1 + k), bos), schema)
+        dealt = gathered.where(F.col("part").isin(*parts)).select("sizes", "held_out", "ids")
         mean = [(F.sum(v) / F.sum("n")).alias(v) for v in _SUMS]
-        rows = sums.groupBy("id").agg(*mean).toPandas()
+        rows = dealt.mapInArrow(_train_task(share, rate, bos), schema).groupBy("id").agg(*mean).toPandas()
+        share.unpersist()
         if not len(rows):
-            break
+            continue
         ids, values = rows["id"].to_numpy(), rows[_SUMS].to_numpy(np.float32)
-        lm = AttentionLm(*(np.array(getattr(lm, n)) for n in AttentionLm.NAMES), lm.of_class, lm.log_share)
+        lm = lm.copy()
         lm.E[ids[ids >= 0]] = values[ids >= 0]
         rest = values[np.argsort(-ids)][(ids >= 0).sum() :].reshape(-1)
         at = 0
@@ -362,56 +462,67 @@ def fit(gathered: DataFrame, vocabulary: int, bos: int, rounds: int = 2, chunks_
     return lm
 
 
-def _score(share, model_file: str):
-    """A chunk's documents and its words' counts -> a row for each document, and one with the words counted first here."""
+def _score(share, bos: int):
+    """Stored ids -> chunk, k (the document's number in the chunk) and score."""
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        n = docs.num_rows
-        found = {"doc_id": [], "held_out": [], "n_tokens": np.empty(0, np.int64), "n_known": np.empty(0, np.int64), "logs": np.empty(0), "score": np.empty(0)}
-        if n:
-            model, lm = load(model_file, KEPT_WORDS), share.value
-            c = Chunk(docs.column("text").to_pylist())
-            count = dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist()))
-            counts = np.array([count[w] for w in c.words], np.int64)
-            del count
-            ids, start = c.ids(model)
-            logs = np.bincount(c.text, weights=np.log10(counts + 1.0)[c.words_at], minlength=n)
-            known = np.bincount(c.text, weights=(counts > 0)[c.words_at], minlength=n).astype(np.int64)
-            score = np.zeros(n)
-            for lo, hi, part in c.slices(SLICE):
-                ids_at, m = spread(c.words_at[part], ids, start)
-                x, y, text = windows(ids_at, np.bincount(c.text[part] - lo, weights=m, minlength=hi - lo).astype(np.int64), model.bos)
-                for at in range(0, len(x), BATCH):
-                    w = slice(at, at + BATCH)
-                    score[lo:hi] += np.bincount(text[w], weights=lm.log10(x[w], y[w]).sum(axis=1), minlength=hi - lo)
-            found = {"doc_id": docs.column("doc_id").to_pylist(), "held_out": docs.column("held_out").to_pylist(), "n_tokens": c.sizes, "n_known": known, "logs": logs, "score": score}
-        new = int(np.count_nonzero(np.array(words.column("first").to_pylist(), bool) & (np.array(words.column("c").to_pylist(), np.int64) > 0))) if words.num_rows else 0
-        add = lambda k, t, v: pa.concat_arrays([pa.array(found[k], t), pa.array([v], t)])
-        return pa.table(
-            [add("doc_id", pa.int64(), None), add("held_out", pa.bool_(), None), add("n_tokens", pa.int64(), None), add("n_known", pa.int64(), None), add("logs", pa.float64(), None), add("score", pa.float64(), None), pa.array([None] * n + [new], pa.int64())],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "logs", "score", "new"],
-        )
+    def run(batches):
+        lm = share.value
+        for batch in batches:
+            chunk, k, score = [], [], []
+            for of, lo, sizes, ids in zip(*(batch.column(c) for c in range(4))):
+                sizes = sizes.values.to_numpy()
+                x, y, text = windows(np.frombuffer(ids.as_buffer(), np.uint16).astype(np.int32), sizes, bos, lm.no_id)
+                by_window = np.concatenate([lm.log10(x[at : at + BATCH], y[at : at + BATCH]).sum(axis=1) for at in range(0, len(x), BATCH)])
+                chunk.append(np.full(len(sizes), of.as_py()))
+                k.append(lo.as_py() + np.arange(len(sizes)))
+                score.append(np.bincount(text, weights=by_window, minlength=len(sizes)))
+            if chunk:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (chunk, k, score)], names=["chunk", "k", "score"])
 
     return run
 
 
+def _base(docs: pa.Table, words: pa.Table) -> pa.Table:
+    """A chunk's documents as word numbers, and its words' counts -> the documents' sums of log10(c + 1)."""
+    c = np.zeros(words.num_rows, np.int64)
+    c[words.column("no").to_numpy()] = words.column("c").to_numpy()
+    log = np.log10(c + 1.0)
+    out = defaultdict(list)
+    for row in docs.to_pylist():
+        at, n = np.frombuffer(row["words"], np.int32), np.array(row["n_words"], np.int64)
+        text = np.repeat(np.arange(len(n)), n)
+        out["k"].append(row["lo"] + np.arange(len(n)))
+        out["doc_id"] += row["doc_id"]
+        out["held_out"] += row["held_out"]
+        out["n_tokens"].append(n)
+        out["n_known"].append(np.bincount(text, weights=c[at] > 0, minlength=len(n)).astype(np.int64))
+        out["logs"].append(np.bincount(text, weights=log[at], minlength=len(n)))
+    chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
+    join = lambda name, empty: np.concatenate([np.empty(0, empty), *out[name]])
+    return pa.table(
+        [pa.array(np.full(len(out["doc_id"]), chunk, np.int64)), pa.array(join("k", np.int64)), pa.array(out["doc_id"], pa.int64()), pa.array(out["held_out"], pa.bool_()), pa.array(join("n_tokens", np.int64)), pa.array(join("n_known", np.int64)), pa.array(join("logs", np.float64))],
+        names=["chunk", "k", "doc_id", "held_out", "n_tokens", "n_known", "logs"],
+    )
+
+
 def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row."""
-    chars = docs.agg(F.sum(F.length(text_or_empty(text_col)))).first()[0] or 0
-    chunked = _chunked(docs, id_col, text_col, int(chars // chunk_chars) + 1)
-    gathered = Stored(chunked.groupBy("chunk").applyInArrow(_gather(model_file), _GATHERED), "gathered", "zstd")
-    model = load(model_file, KEPT_WORDS)
-    lm = fit(gathered.df, len(model.surface), model.bos)
-    words = gathered.df.where("word is not null").select("chunk", "word", "n")
-    of_word = Window.partitionBy("word")
-    counted = words.select("chunk", "word", "n", F.sum("n").over(of_word).alias("c"), (F.col("chunk") == F.min("chunk").over(of_word)).alias("first"))
-    counted = Stored(counted, "counted", "zstd").df
-    gathered.drop()
-    release(docs.sparkSession)
+    model = tokenizer(model_file)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).cast("binary").alias("text"))
+    gathered = Stored(texts.mapInArrow(_gather(model_file, chunk_chars), _GATHERED_DDL), "gathered", "zstd")
+    lm = fit(gathered.df, model.get_piece_size(), model.bos_id())
+    slices = gathered.df.where("ids is not null")
     share = docs.sparkSession.sparkContext.broadcast(lm)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, new long"
-    scored = store(chunked.groupBy("chunk").cogroup(counted.select("chunk", "word", "c", "first").groupBy("chunk")).applyInArrow(_score(share, model_file), schema), "scored")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens")).crossJoin(scored.agg(F.coalesce(F.sum("new"), F.lit(0)).alias("distinct")))
-    # One row of totals.
+    scores = Stored(slices.select("chunk", "lo", "sizes", "ids").mapInArrow(_score(share, model.bos_id()), "chunk long, k long, score double"), "scores").df
+    words = gathered.reread().where("word is not null").select("chunk", "no", "word", "n")
+    counts = Stored(words.groupBy("word").agg(F.sum("n").alias("c")), "counts", "zstd").df
+    release(docs.sparkSession)
+    # Both sides are shuffled at every size, so the rows of a frequent word can be split.
+    counted = words.select("chunk", "no", "word").join(counts.hint("merge"), "word").select("chunk", "no", "c")
+    schema = "chunk long, k long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double"
+    known = Stored(slices.select("chunk", "lo", "doc_id", "held_out", "n_words", "words").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_base, schema), "bases").df
+    total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("distinct"))
+    gathered.drop()
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("distinct") + 1.0)
-    return scored.where("new is null").crossJoin(F.broadcast(total)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
+    # One row of totals.
+    return known.join(scores.hint("merge"), ["chunk", "k"]).crossJoin(F.broadcast(total)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")

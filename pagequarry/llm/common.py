@@ -39,10 +39,15 @@ class Stored:
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/pagequarry/{label}-{uuid.uuid4().hex}"
         df.write.option("compression", compression).parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+        self.schema = df.schema
+        self.df = self.reread()
         p, fs = _fs(self.spark, self.path)
         fs.deleteOnExit(p)
 
+    def reread(self) -> DataFrame:
+        """The table anew, whose columns are others than those of ``df`` in a join of both."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
     def drop(self) -> None:
         p, fs = _fs(self.spark, self.path)
         fs.delete(p, True)
