@@ -141,15 +141,11 @@ class AttentionLm:
         q = (now @ (self.Q * _SCALE)).reshape(n, NOW, DIM)
         kv = (e.reshape(-1, DIM) @ self.KV).reshape(n, SPAN, 2 * DIM)
         k, v = kv[..., :DIM], kv[..., DIM:]
-        w = q @ k.transpose(0, 2, 1)
-        if _large(w):
+        w, total = self._weights(x, q @ k.transpose(0, 2, 1))
+        if not _usable(total):
+            w = q @ k.transpose(0, 2, 1)
             w -= np.where((_SEEN > 0) & (x != self.no_id)[:, None, :], w, -np.inf).max(axis=2, keepdims=True, initial=-1e30)
-            np.minimum(w, 0, out=w)
-        np.exp(w, out=w)
-        w *= _SEEN
-        first = np.flatnonzero(x[:, 0] == self.no_id)  # windows that begin before their text
-        w[first] *= (x[first] != self.no_id)[:, None, :]
-        total = w.reshape(-1, SPAN) @ np.ones(SPAN, np.float32)
+            w, total = self._weights(x, np.minimum(w, 0, out=w))
         inverse = 1 / np.maximum(total, np.float32(1e-30))
         a = (w @ v).reshape(-1, DIM)
         a *= inverse[:, None]
@@ -158,17 +154,27 @@ class AttentionLm:
         h[:, :DIM] += now
         return h @ self.U, (e, now, q, k, v, w, inverse, a, h)
 
+    def _weights(self, x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The exponentials of w where an id is seen, and their sums."""
+        np.exp(w, out=w)
+        w *= _SEEN
+        first = np.flatnonzero(x[:, 0] == self.no_id)  # windows that begin before their text
+        w[first] *= (x[first] != self.no_id)[:, None, :]
+        return w, w.reshape(-1, SPAN) @ np.ones(SPAN, np.float32)
+
     def log10(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log10 of the probabilities of y (windows, NOW) after the windows x (windows, SPAN); 0 where y is -1."""
         z = self.forward(x)[0]
         t = y.reshape(-1)
         own = z.reshape(-1)[np.arange(0, z.size, CLASSES) + self.of_class[t]]
-        if _large(z):
+        np.exp(z, out=z)
+        total = z @ _EACH_CLASS
+        if not _usable(total):
+            z = self.forward(x)[0]
             top = z.max(axis=1)
-            z -= top[:, None]
             own -= top
-        np.exp(z, out=z)
-        found = (own - np.log(z @ _EACH_CLASS)) * _LOG10_E + self.log_share[t]
+            total = np.exp(z - top[:, None]) @ _EACH_CLASS
+        found = (own - np.log(total)) * _LOG10_E + self.log_share[t]
         found[t < 0] = 0.0
         return found.reshape(y.shape)
 
@@ -176,10 +182,12 @@ class AttentionLm:
         """Of the mean loss; the embeddings' are by place in x."""
         n = len(x)
         p, (e, now, q, k, v, w, inverse, a, h) = self.forward(x)
-        if _large(p):
-            p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
         total = p @ _EACH_CLASS
+        if not _usable(total):
+            p = h @ self.U
+            p = np.exp(p - p.max(axis=1, keepdims=True))
+            total = p @ _EACH_CLASS
         t = y.reshape(-1)
         live = np.flatnonzero(t >= 0)
         p.reshape(-1)[live * CLASSES + self.of_class[t[live]]] -= total[live]
@@ -237,9 +245,9 @@ class AttentionLm:
                 p -= rate * v / np.sqrt(grown[n])
 
 
-def _large(logits: np.ndarray) -> bool:
-    """Whether they must not be exponentiated as they are."""
-    return logits.max() > 60 or logits.min() < -60
+def _usable(totals: np.ndarray) -> bool:
+    """Whether sums of exponentials have neither overflown nor vanished."""
+    return bool(1e-30 < totals.min() and totals.max() < 1e30) if len(totals) else True
 
 
 _SCALE = np.float32(DIM**-0.5)
@@ -332,15 +340,14 @@ def kinds(vocabulary: int) -> np.ndarray:
 
 # -- Spark ----------------------------------------------------------------------------------------
 
-_CONTEXT = [f"c{k}" for k in range(CONTEXTS)]
 _SUMS = [f"v{k}" for k in range(DIM)]
+#: A row of kind w has distinct words of a chunk from number ``lo`` on, one of kind d and one of kind i documents from
+#: number ``lo`` on (their words as numbers, and their ids), and one of kind s counts of ids.
 _GATHERED = pa.schema(
-    [("chunk", pa.int64()), ("no", pa.int32()), ("word", pa.binary()), ("n", pa.int64())]
-    + [("lo", pa.int32()), ("part", pa.int32()), ("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("n_words", pa.list_(pa.int64())), ("words", pa.binary()), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary())]
-    + [("id", pa.int32())]
-    + [(c, pa.int64()) for c in _CONTEXT]
+    [("kind", pa.string()), ("chunk", pa.int64()), ("lo", pa.int64()), ("part", pa.int32()), ("word", pa.list_(pa.binary())), ("n", pa.list_(pa.int64()))]
+    + [("doc_id", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("low", pa.binary()), ("high", pa.binary()), ("id", pa.int32()), ("contexts", pa.list_(pa.int64()))]
 )
-_GATHERED_DDL = "chunk long, no int, word binary, n long, lo int, part int, doc_id array<long>, held_out array<boolean>, n_words array<long>, words binary, sizes array<long>, ids binary, id int, " + ", ".join(f"{c} long" for c in _CONTEXT)
+_GATHERED_DDL = "kind string, chunk long, lo long, part int, word array<binary>, n array<long>, doc_id array<long>, held_out array<boolean>, sizes array<long>, low binary, high binary, id int, contexts array<long>"
 
 
 def _rows(height: int, **columns) -> pa.RecordBatch:
@@ -348,6 +355,15 @@ def _rows(height: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(height, f.type) for f in _GATHERED], schema=_GATHERED)
 
 
+def _halves(numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """The low and the high two bytes of numbers, apart: the high ones are mostly zeros."""
+    return numbers.astype(np.uint16).tobytes(), (numbers >> 16).astype(np.uint16).tobytes()
+
+
+def _whole(low: bytes, high: bytes) -> np.ndarray:
+    return np.frombuffer(low, np.uint16).astype(np.int32) | np.frombuffer(high, np.uint16).astype(np.int32) << 16
+
+
 def _gather(model_file: str, chunk_chars: int):
     """Documents (doc_id, held_out, text) -> the distinct words of each chunk, its documents as numbers, and the partition's counts of ids."""
 
@@ -361,9 +377,10 @@ def _gather(model_file: str, chunk_chars: int):
             c = Chunk(docs.column(2).to_pylist())
             learn = ~np.array(docs.column(1).to_pylist(), bool)
             n = np.bincount(c.words_at[learn[c.text]], minlength=len(c.words))
-            yield _rows(len(c.words), chunk=np.full(len(c.words), chunk), no=np.arange(len(c.words)), word=c.words, n=n)
+            cuts = range(0, len(c.words), SLICE)
+            yield _rows(len(cuts), kind=["w"] * len(cuts), chunk=[chunk] * len(cuts), lo=list(cuts), word=[c.words[k : k + SLICE] for k in cuts], n=[n[k : k + SLICE] for k in cuts])
             ids, start = c.ids(model)
-            rows, keys = defaultdict(list), []
+            keys = []
             for number, (lo, hi, part) in enumerate(c.slices(SLICE)):
                 ids_at, per_word = spread(c.words_at[part], ids, start)
                 sizes = np.bincount(c.text[part] - lo, weights=per_word, minlength=hi - lo).astype(np.int64)
@@ -371,15 +388,15 @@ def _gather(model_file: str, chunk_chars: int):
                 before = np.concatenate([[model.bos_id()], ids_at[:-1]])
                 before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = model.bos_id()
                 keys.append(ids_at[mine] * np.int32(CONTEXTS) + kind[before[mine]])
-                for name, value in (("chunk", chunk), ("lo", lo), ("part", number % 8), ("doc_id", docs.column(0)[lo:hi].to_pylist()), ("held_out", ~learn[lo:hi]), ("n_words", c.sizes[lo:hi]), ("words", c.words_at[part].tobytes()), ("sizes", sizes), ("ids", ids_at.tobytes())):
-                    rows[name].append(value)
+                low, high = _halves(c.words_at[part])
+                both, held = {"chunk": [chunk], "lo": [lo], "part": [number % 8]}, [~learn[lo:hi]]
+                yield _rows(1, kind=["d"], doc_id=[docs.column(0)[lo:hi].to_pylist()], held_out=held, sizes=[c.sizes[lo:hi]], low=[low], high=[high], **both)
+                yield _rows(1, kind=["i"], held_out=held, sizes=[sizes], low=[ids_at.tobytes()], **both)
             contexts += np.bincount(np.concatenate(keys), minlength=len(contexts))
-            yield _rows(len(rows["lo"]), **rows)
             chunk += 1
         contexts = contexts.reshape(-1, CONTEXTS)
-        counts = contexts.sum(axis=1)
-        met = np.flatnonzero(counts)
-        yield _rows(len(met), id=met, n=counts[met], **{name: contexts[met, k] for k, name in enumerate(_CONTEXT)})
+        met = np.flatnonzero(contexts.sum(axis=1))
+        yield _rows(len(met), kind=["s"] * len(met), id=met, contexts=list(contexts[met]))
 
     return run
 
@@ -437,14 +454,14 @@ def _rest(lm: AttentionLm) -> np.ndarray:
 def fit(gathered: DataFrame, vocabulary: int, bos: int) -> AttentionLm:
     """Train on the gathered ids.  What comes to the driver has the size of the model."""
     spark = gathered.sparkSession
-    counts, contexts = np.zeros(vocabulary, np.int64), np.zeros((vocabulary, CONTEXTS), np.int64)
-    found = gathered.where("id is not null").groupBy("id").agg(*(F.sum(c).alias(c) for c in ("n", *_CONTEXT))).toPandas()
-    counts[found["id"]], contexts[found["id"]] = found["n"], found[_CONTEXT]
-    lm = AttentionLm.new(counts, contexts)
+    contexts = np.zeros((vocabulary, CONTEXTS), np.int64)
+    found = gathered.where("kind = 's'").groupBy("id").agg(*(F.sum(F.col("contexts")[k]).alias(f"c{k}") for k in range(CONTEXTS))).toPandas()
+    contexts[found["id"]] = found.drop(columns="id")
+    lm = AttentionLm.new(contexts.sum(axis=1), contexts)
     schema = "id int, n double, " + ", ".join(f"{v} double" for v in _SUMS)
     for parts, rate in ROUNDS:
         share = spark.sparkContext.broadcast(lm)
-        dealt = gathered.where(F.col("part").isin(*parts)).select("sizes", "held_out", "ids")
+        dealt = gathered.where((F.col("kind") == "i") & F.col("part").isin(*parts)).select("sizes", "held_out", "low")
         mean = [(F.sum(v) / F.sum("n")).alias(v) for v in _SUMS]
         rows = dealt.mapInArrow(_train_task(share, rate, bos), schema).groupBy("id").agg(*mean).toPandas()
         share.unpersist()
@@ -489,7 +506,7 @@ def _base(docs: pa.Table, words: pa.Table) -> pa.Table:
     log = np.log10(c + 1.0)
     out = defaultdict(list)
     for row in docs.to_pylist():
-        at, n = np.frombuffer(row["words"], np.int32), np.array(row["n_words"], np.int64)
+        at, n = _whole(row["low"], row["high"]), np.array(row["sizes"], np.int64)
         text = np.repeat(np.arange(len(n)), n)
         out["k"].append(row["lo"] + np.arange(len(n)))
         out["doc_id"] += row["doc_id"]
@@ -509,18 +526,21 @@ def score_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", te
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row."""
     model = tokenizer(model_file)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).cast("binary").alias("text"))
-    gathered = Stored(texts.mapInArrow(_gather(model_file, chunk_chars), _GATHERED_DDL), "gathered", "zstd")
+    gathered = Stored(texts.mapInArrow(_gather(model_file, chunk_chars), _GATHERED_DDL), "gathered", "zstd", by="kind")
     lm = fit(gathered.df, model.get_piece_size(), model.bos_id())
-    slices = gathered.df.where("ids is not null")
     share = docs.sparkSession.sparkContext.broadcast(lm)
-    scores = Stored(slices.select("chunk", "lo", "sizes", "ids").mapInArrow(_score(share, model.bos_id()), "chunk long, k long, score double"), "scores").df
-    words = gathered.reread().where("word is not null").select("chunk", "no", "word", "n")
+    scores = Stored(gathered.df.where("kind = 'i'").select("chunk", "lo", "sizes", "low").mapInArrow(_score(share, model.bos_id()), "chunk long, k long, score double"), "scores").df
+    gathered.drop("i")
+    release(docs.sparkSession)
+    documents, words = (gathered.reread().where(F.col("kind") == k) for k in "dw")
+    words = words.select("chunk", "lo", F.posexplode(F.arrays_zip("word", "n")).alias("k", "x")).select("chunk", (F.col("lo") + F.col("k")).cast("int").alias("no"), "x.word", "x.n")
     counts = Stored(words.groupBy("word").agg(F.sum("n").alias("c")), "counts", "zstd").df
     release(docs.sparkSession)
     # Both sides are shuffled at every size, so the rows of a frequent word can be split.
-    counted = words.select("chunk", "no", "word").join(counts.hint("merge"), "word").select("chunk", "no", "c")
+    counted = Stored(words.select("chunk", "no", "word").join(counts.hint("merge"), "word").select("chunk", "no", "c"), "counted", "zstd").df
+    release(docs.sparkSession)
     schema = "chunk long, k long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double"
-    known = Stored(slices.select("chunk", "lo", "doc_id", "held_out", "n_words", "words").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_base, schema), "bases").df
+    known = Stored(documents.select("chunk", "lo", "doc_id", "held_out", "sizes", "low", "high").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_base, schema), "bases").df
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("train_tokens"), F.count_if(F.col("c") > 0).alias("distinct"))
     gathered.drop()
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + F.col("distinct") + 1.0)

@@ -35,10 +35,11 @@ def _fs(spark: SparkSession, path: str):
 class Stored:
     """A DataFrame written to the shared folder, reread, and removable when no longer needed."""
 
-    def __init__(self, df: DataFrame, label: str, compression: str = "snappy"):
-        self.spark = df.sparkSession
+    def __init__(self, df: DataFrame, label: str, compression: str = "snappy", by: str | None = None):
+        """``by``: a column of few values whose parts of the table can be dropped one by one."""
+        self.spark, self.by = df.sparkSession, by
         self.path = f"{shared_dir(self.spark)}/pagequarry/{label}-{uuid.uuid4().hex}"
-        df.write.option("compression", compression).parquet(self.path)
+        df.write.option("compression", compression).partitionBy(*([by] if by else [])).parquet(self.path)
         self.schema = df.schema
         self.df = self.reread()
         p, fs = _fs(self.spark, self.path)
@@ -48,8 +49,9 @@ class Stored:
         """The table anew, whose columns are others than those of ``df`` in a join of both."""
         return self.spark.read.schema(self.schema).parquet(self.path)
 
-    def drop(self) -> None:
-        p, fs = _fs(self.spark, self.path)
+    def drop(self, part: str | None = None) -> None:
+        """Delete the table, or one part of it; ``df`` is not to be used then, a new :meth:`reread` has the rest."""
+        p, fs = _fs(self.spark, self.path if part is None else f"{self.path}/{self.by}={part}")
         fs.delete(p, True)
 
 
