@@ -205,7 +205,8 @@ def accepted(occurred: DataFrame, counts: DataFrame, min_different: int = 3, min
     # Fewer instances than must be believed can never be enough.
     wide = Stored(edges.df.groupBy("pattern", "a", "b").agg(F.count(F.lit(1)).alias("different")).where(F.col("different") >= min_different), "wide")
     keys = wide.df.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    totals = Stored(counts.join(keys.hint("merge"), "key", "left_semi"), "totals")
+    # Not a semi join, which would be moved under the counting, so that every word would be shuffled.
+    totals = Stored(counts.join(keys.hint("merge"), "key"), "totals")
     sized = (
         wide.df.join(totals.df.select(F.col("key").alias("a"), F.col("total").alias("total_a")), "a")
         .join(totals.reread().select(F.col("key").alias("b"), F.col("total").alias("total_b")), "b")

@@ -138,7 +138,7 @@ def test_scores_against_brute_force(spark):
 def test_keys_in_quotes(spark):
     r = random.Random(3)
     key = lambda digits: "".join(r.choice(digits) for _ in range(39)) + digits[-1]
-    texts = [f'der token = "{key("0123456789abcdef")}" war' for _ in range(6)] + [f'DER TOKEN = "{key("0123456789ABCDEF")}"!! war', "der 0123456789012345678901234567890123 war", "ein token fehlt"]
+    texts = [f'der token = "{key("0123456789abcdef")}" war' for _ in range(6)] + [f'DER TOKEN = "{key("0123456789ABCDEF")}"!! war', "die 0123456789012345678901234567890123 kam", "ein token fehlt"]
     found = {x.doc_id: x for x in find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [found[i].n_secret for i in range(9)] == [1] * 6 + [0] * 3 and [found[i].n_discovered for i in range(9)] == [0] * 6 + [1, 0, 0]
     a, b = map(int, found[6].spans.split(":")[1:])
