@@ -3,35 +3,121 @@
 from __future__ import annotations
 
 #: Names of one company, and the entity they stand for.
-ALIASES = """
-infosys = Infosys
-infosys limited = Infosys
-infosys ltd = Infosys
-tcs = TCS
-tata consultancy services = TCS
-tata consultancy services limited = TCS
-"""
+ALIASES = {
+    "infosys": "Infosys",
+    "infosys limited": "Infosys",
+    "infosys ltd": "Infosys",
+    "tcs": "TCS",
+    "tata consultancy services": "TCS",
+    "tata consultancy services limited": "TCS",
+}
 
-#: Well-known companies, as they are printed; the key is the lower-case name.
-KNOWN = """
-Wipro; HCL; HCL Technologies; HCLTech; Tech Mahindra; LTIMindtree; L&T Infotech; Mindtree; Mphasis; Coforge;
-Persistent Systems; Zensar; Birlasoft; Cyient; KPIT; Accenture; Cognizant; Capgemini; IBM; DXC; DXC Technology;
-Genpact; EPAM; Globant; Atos; NTT Data; Deloitte; PwC; KPMG; Ernst & Young; McKinsey; Reliance;
-Reliance Industries; RIL; Tata Motors; Tata Steel; Tata Power; Titan; Adani; Adani Enterprises; Adani Ports;
-Bharti Airtel; Airtel; Jio; Vodafone Idea; ITC; Hindustan Unilever; HUL; Nestlé India; Maruti; Maruti Suzuki;
-Mahindra & Mahindra; Larsen & Toubro; L&T; Asian Paints; UltraTech; Sun Pharma; Dr Reddy's; Cipla;
-Divi's Laboratories; Bajaj Finance; Bajaj Finserv; JSW Steel; Coal India; ONGC; HDFC; HDFC Bank; ICICI; ICICI Bank;
-Axis Bank; State Bank of India; SBI; Kotak Mahindra Bank; Kotak; IndusInd Bank; Yes Bank; Punjab National Bank; PNB;
-Bank of Baroda; Canara Bank; IDFC First Bank; AU Small Finance Bank; Paytm; One97; Zerodha; Bajaj Housing Finance;
-Microsoft; Google; Alphabet; Amazon; Apple; Meta; Facebook; Oracle; SAP; Salesforce; NVIDIA; Intel; Tesla; Netflix;
-Samsung; Adobe; Cisco; Dell; HP; Hewlett Packard
-"""
-
-
-def aliases() -> dict[str, str]:
-    return dict(line.split(" = ") for line in ALIASES.strip().splitlines())
-
-
-def known() -> dict[str, str]:
-    names = [x.strip() for x in KNOWN.replace("\n", " ").split(";")]
-    return {x.lower().replace("é", "e"): x for x in names}
+#: Well-known companies, by their lower-case name, as they are printed.
+KNOWN = {
+    "wipro": "Wipro",
+    "hcl": "HCL",
+    "hcl technologies": "HCL Technologies",
+    "hcltech": "HCLTech",
+    "tech mahindra": "Tech Mahindra",
+    "ltimindtree": "LTIMindtree",
+    "l&t infotech": "L&T Infotech",
+    "mindtree": "Mindtree",
+    "mphasis": "Mphasis",
+    "coforge": "Coforge",
+    "persistent systems": "Persistent Systems",
+    "zensar": "Zensar",
+    "birlasoft": "Birlasoft",
+    "cyient": "Cyient",
+    "kpit": "KPIT",
+    "accenture": "Accenture",
+    "cognizant": "Cognizant",
+    "capgemini": "Capgemini",
+    "ibm": "IBM",
+    "dxc": "DXC",
+    "dxc technology": "DXC Technology",
+    "genpact": "Genpact",
+    "epam": "EPAM",
+    "globant": "Globant",
+    "atos": "Atos",
+    "ntt data": "NTT Data",
+    "deloitte": "Deloitte",
+    "pwc": "PwC",
+    "kpmg": "KPMG",
+    "ernst & young": "Ernst & Young",
+    "mckinsey": "McKinsey",
+    "reliance": "Reliance",
+    "reliance industries": "Reliance Industries",
+    "ril": "RIL",
+    "tata motors": "Tata Motors",
+    "tata steel": "Tata Steel",
+    "tata power": "Tata Power",
+    "titan": "Titan",
+    "adani": "Adani",
+    "adani enterprises": "Adani Enterprises",
+    "adani ports": "Adani Ports",
+    "bharti airtel": "Bharti Airtel",
+    "airtel": "Airtel",
+    "jio": "Jio",
+    "vodafone idea": "Vodafone Idea",
+    "itc": "ITC",
+    "hindustan unilever": "Hindustan Unilever",
+    "hul": "HUL",
+    "nestle india": "Nestlé India",
+    "maruti": "Maruti",
+    "maruti suzuki": "Maruti Suzuki",
+    "mahindra & mahindra": "Mahindra & Mahindra",
+    "larsen & toubro": "Larsen & Toubro",
+    "l&t": "L&T",
+    "asian paints": "Asian Paints",
+    "ultratech": "UltraTech",
+    "sun pharma": "Sun Pharma",
+    "dr reddy's": "Dr Reddy's",
+    "cipla": "Cipla",
+    "divi's laboratories": "Divi's Laboratories",
+    "bajaj finance": "Bajaj Finance",
+    "bajaj finserv": "Bajaj Finserv",
+    "jsw steel": "JSW Steel",
+    "coal india": "Coal India",
+    "ongc": "ONGC",
+    "hdfc": "HDFC",
+    "hdfc bank": "HDFC Bank",
+    "icici": "ICICI",
+    "icici bank": "ICICI Bank",
+    "axis bank": "Axis Bank",
+    "state bank of india": "State Bank of India",
+    "sbi": "SBI",
+    "kotak mahindra bank": "Kotak Mahindra Bank",
+    "kotak": "Kotak",
+    "indusind bank": "IndusInd Bank",
+    "yes bank": "Yes Bank",
+    "punjab national bank": "Punjab National Bank",
+    "pnb": "PNB",
+    "bank of baroda": "Bank of Baroda",
+    "canara bank": "Canara Bank",
+    "idfc first bank": "IDFC First Bank",
+    "au small finance bank": "AU Small Finance Bank",
+    "paytm": "Paytm",
+    "one97": "One97",
+    "zerodha": "Zerodha",
+    "bajaj housing finance": "Bajaj Housing Finance",
+    "microsoft": "Microsoft",
+    "google": "Google",
+    "alphabet": "Alphabet",
+    "amazon": "Amazon",
+    "apple": "Apple",
+    "meta": "Meta",
+    "facebook": "Facebook",
+    "oracle": "Oracle",
+    "sap": "SAP",
+    "salesforce": "Salesforce",
+    "nvidia": "NVIDIA",
+    "intel": "Intel",
+    "tesla": "Tesla",
+    "netflix": "Netflix",
+    "samsung": "Samsung",
+    "adobe": "Adobe",
+    "cisco": "Cisco",
+    "dell": "Dell",
+    "hp": "HP",
+    "hewlett packard": "Hewlett Packard",
+}

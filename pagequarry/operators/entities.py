@@ -2,62 +2,69 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import names
 from ..functions.text import CORPORATE, listed, normal_name, without_suffix
 
-_TITLE = r"[A-Z][\w&'’\-]*"
-_SUFFIXED = re.compile(rf"\b((?:{_TITLE}\s+){{0,3}}{_TITLE}\s+(?i:{CORPORATE}))\b")
-
+#: Fixed value: up to four capitalised words and a corporate suffix.
+SUFFIXED = rf"(?U)\b((?:[A-Z][\w&'’\-]*\s+){{0,3}}[A-Z][\w&'’\-]*\s+(?i:{CORPORATE}))\b"
+_OPEN, _CLOSE = "\x01", "\x02"
 
-def _finder():
-    """Longer names first; equal lengths in the alphabet's order."""
-    keys = sorted({*names.aliases(), *names.known()}, key=lambda k: (-len(k), k))
-    patterns = [(k, re.compile(rf"(?<!\w){re.escape(k)}(?!\w)")) for k in keys]
 
-    def find(question: str | None) -> list[str]:
-        text = " ".join((question or "").lower().split())
-        taken: list[tuple[int, int]] = []
-        found: list[str] = []
+def _squashed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(text), r"(?U)[\s\x01\x02]+", " "))
 
-        def take(a: int, b: int, name: str) -> None:
-            if a >= 0 and all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
-                found.append(name)
 
-        for key, pattern in patterns:
-            if key in text:
-                for m in pattern.finditer(text):
-                    take(m.start(), m.end(), key)
-        for m in _SUFFIXED.finditer(question or ""):
-            raw = " ".join(m[1].lower().split())
-            at = text.find(raw)
-            take(at, at + len(raw), raw)
-        return found
+def _known_spans(text: Column, keys: list[str]) -> Column:
+    """(start, end, name) of each place where one of the keys stands as whole words.
 
-    return find
+    One pass marks the longest key that starts at a place.  Any other key that starts there is a
+    prefix of it, and which keys are prefixes is a fixed table.
+    """
+    longest_first = sorted(keys, key=lambda k: (-len(k), k))
+    quoted = "|".join(rf"\Q{k}\E" for k in longest_first)
+    marked = F.regexp_replace(text, F.lit(rf"(?U)(?<!\w)(?=({quoted})(?!\w))"), F.lit(f"{_OPEN}$1{_CLOSE}"))
+    whole = lambda k, p: k.startswith(p) and (k == p or not (k[len(p)].isalnum() or k[len(p)] == "_"))
+    shorter = {k: [p for p in longest_first if whole(k, p)] for k in longest_first}
+    nested = F.create_map(*(c for k, ps in shorter.items() if len(ps) > 1 for c in (F.lit(k), F.array(*map(F.lit, ps)))))
+    pieces = F.split(marked, _OPEN)
 
+    def step(state, piece):
+        name = F.substring_index(piece, _CLOSE, 1)
+        here = F.transform(F.coalesce(F.try_element_at(nested, name), F.array(name)), lambda n: F.struct(state["at"].alias("start"), (state["at"] + F.length(n)).alias("end"), n.alias("name")))
+        return F.struct((state["at"] + F.length(piece) - F.length(name) - 1).alias("at"), F.concat(state["spans"], here).alias("spans"))
 
-def mentions(question: Column) -> Column:
-    """The company names of a question, longest first, each stretch of text used once."""
+    none = F.array().cast("array<struct<start:int,end:int,name:string>>")
+    first = F.struct(F.length(pieces[0]).alias("at"), none.alias("spans"))
+    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda s: s["spans"])
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def find(q: pd.Series) -> pd.Series:
-        return q.map(_finder())
 
-    return find(question)
+def mentions(question: Column) -> Column:
+    """The company names of a question, longest first, each stretch of text used once.
+
+    Known names come first, equal lengths in the alphabet's order and then in that of the text;
+    after them names with a corporate suffix, in the order of the text.  Null and empty questions
+    name none.
+    """
+    asked = F.coalesce(question, F.lit(""))
+    text = _squashed(asked)
+    ranked = F.transform(_known_spans(text, list({**names.ALIASES, **names.KNOWN})), lambda s: F.struct((-F.length(s["name"])).alias("size"), s["name"].alias("name"), s["start"].alias("start"), s["end"].alias("end")))
+    span = lambda start, end, name: F.struct(start.alias("start"), end.alias("end"), name.alias("name"))
+    known = F.transform(F.array_sort(ranked), lambda s: span(s["start"], s["end"], s["name"]))
+    placed = lambda raw: span((F.instr(text, raw) - 1), (F.instr(text, raw) - 1) + F.length(raw), raw)
+    suffixed = F.filter(F.transform(F.regexp_extract_all(asked, F.lit(SUFFIXED), F.lit(1)), lambda m: placed(_squashed(m))), lambda s: s["start"] >= 0)
+    free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+    none = F.array().cast("array<struct<start:int,end:int,name:string>>")
+    taken = F.aggregate(F.concat(known, suffixed), none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
+    return F.transform(taken, lambda s: s["name"])
 
 
 def lookup(spark) -> tuple[DataFrame, DataFrame]:
     """(alias, canonical) and (key, display), tables of a fixed size."""
     pairs = lambda d, a, b: spark.createDataFrame(list(d.items()), f"{a} string, {b} string")
-    return pairs(names.aliases(), "alias", "canonical"), pairs(names.known(), "key", "display")
+    return pairs(names.ALIASES, "alias", "canonical"), pairs(names.KNOWN, "key", "display")
 
 
 def with_canonical(rows: DataFrame, name: str) -> DataFrame:

@@ -1,6 +1,9 @@
+import random
+import re
 import pytest
 from pyspark.sql import functions as F
 
+from pagequarry.functions import names
 from pagequarry.config import Settings
 from pagequarry.operators import basis, chunking, confidence, entities, ingest, keyword, responses, retrieval, vectors
 from pagequarry.sources import readers
@@ -185,3 +188,32 @@ def test_stored_indexes(spark, tmp_path):
     with pytest.raises(index_store.NotEmpty):
         index_store.reindex(chunks(spark), target)
     assert index_store.reindex(chunks(spark), target, force=True) == 6
+
+
+def test_mentions_against_brute_force(spark):
+    r = random.Random(7)
+    keys = {*names.ALIASES, *names.KNOWN}
+    words = [*sorted(keys), "Acme Motors Limited", "Foo  Bar Ltd.", "bank of", "limited", "Wipro Limited", "x", "hdfc bank of baroda", "(TCS)", "tcs2", "l&t", "é", "Tata", "Steel Corp", "AG"]
+    texts = [None, "", "HDFC  Bank of\nBaroda", "Tata Tata Steel, State Bank of India Limited\x01", "of Ernst & Young's"]
+    texts += [r.choice([" ", "", ", ", "  "]).join(r.choice([str.upper, str.title, str])(r.choice(words)) for _ in range(r.randint(0, 7))) for _ in range(400)]
+
+    def expected(q):
+        text = " ".join((q or "").lower().replace("\x01", " ").split())
+        spans = []
+        for k in keys:
+            spans += [(-len(k), k, i, i + len(k)) for i in range(len(text)) if text.startswith(k, i) and not re.search(r"\w$", text[:i]) and not re.match(r"\w", text[i + len(k) :])]
+        spans = [(a, b, k) for _, k, a, b in sorted(spans)]
+        for m in re.finditer(entities.SUFFIXED.removeprefix("(?U)"), q or ""):
+            raw = " ".join(m[1].lower().split())
+            if raw in text:
+                spans.append((text.index(raw), text.index(raw) + len(raw), raw))
+        used, found = set(), []
+        for a, b, k in spans:
+            if used.isdisjoint(range(a, b)):
+                used |= set(range(a, b))
+                found.append(k)
+        return found
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, q string")
+    got = {x.i: x.m for x in df.select("i", entities.mentions(df.q).alias("m")).collect()}
+    assert [got[i] for i in range(len(texts))] == [expected(t) for t in texts]
