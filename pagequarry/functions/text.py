@@ -187,14 +187,19 @@ def weak_relevance(c: Column) -> Column:
     return c < 40
 
 
+#: A cell that is a figure, and a line that divides a table's head from its body.
+FIGURE_CELL = r"(?i)^[₹\s]*-?[\d,.]+\s*(crore|lakh|%)?$"
+DIVIDER = r"^\|[\s:|-]+\|$"
+
+
 def numeric_cell(c: Column) -> Column:
-    return c.rlike(r"(?i)^[₹\s]*-?[\d,.]+\s*(crore|lakh|%)?$") & c.rlike(r"\d")
+    return c.rlike(FIGURE_CELL) & c.rlike(r"\d")
 
 
 def markdown_rows(c: Column) -> Column:
     """The rows of bar tables as arrays of cells, without dividing lines."""
     lines = F.transform(F.split(c, "\n"), strip)
-    rows = F.filter(lines, lambda x: (F.length(x) > 1) & x.startswith("|") & x.endswith("|") & ~x.rlike(r"^\|[\s:|-]+\|$"))
+    rows = F.filter(lines, lambda x: (F.length(x) > 1) & x.startswith("|") & x.endswith("|") & ~x.rlike(DIVIDER))
     return F.transform(rows, lambda x: F.transform(F.split(F.substring(x, F.lit(2), F.length(x) - 2), r"\|"), strip))
 
 

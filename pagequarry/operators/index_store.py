@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,16 +23,64 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def save_keyword_index(chunks: DataFrame, folder: str, text: str = "indexed_text") -> None:
     """Postings are clustered by term, so a question reads few row groups; the small tables are made from the stored postings."""
-    index = build_index(chunks, text)
-    index.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    spark, index = chunks.sparkSession, build_index(chunks, text)
+    # Grouped before they are sorted by range, so that the ranges are found from counts and not from texts.
+    index.postings.write.mode("overwrite").parquet(f"{folder}/counted")
+    spark.read.parquet(f"{folder}/counted").repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{folder}/postings")
+    _remove(spark, f"{folder}/counted")
     index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
     index.chunks.write.mode("overwrite").parquet(f"{folder}/chunks")
-    stored = chunks.sparkSession.read.parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
     stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{folder}/df")
 
 
+def resident_keyword_index(spark: SparkSession, sources: list[str], chunks: Callable[[], DataFrame]) -> KeywordIndex:
+    """The keyword index of chunks made from the source files, built once in an application and kept as tables.
+
+    Files that were added, removed or changed make another index.  The tables lie in the folder that
+    all executors share, and go when the session ends.
+    """
+    key = (spark.sparkContext.applicationId, tuple(sorted(_state(spark, f) for f in sources)))
+    if key not in _resident:
+        folder = f"{shared_folder(spark)}/keyword-{uuid.uuid4().hex}"
+        save_keyword_index(chunks(), folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _resident[key] = folder
+    return load_keyword_index(spark, _resident[key])
+
+
+_resident: dict[tuple, str] = {}
+
+
+def _state(spark: SparkSession, file: str) -> tuple[str, int, int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+    return file, found.getLen(), found.getModificationTime()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where that is unset, the warehouse, which a cluster's executors share too."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{(found or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/pagequarry-index"
+
+
+def add_to_keyword_index(index: KeywordIndex, chunks: DataFrame, text: str = "indexed_text") -> KeywordIndex:
+    """The index with further chunks: only these are cut into tokens, and the counts are added up."""
+    new = build_index(chunks, text)
+    df = index.df.unionByName(new.df).groupBy("term").agg(F.sum("df").alias("df"))
+    both = index.stats.unionByName(new.stats).where("n > 0")
+    stats = both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("n") * F.col("avgdl")) / F.sum("n")).alias("avgdl"))
+    return KeywordIndex(index.postings.unionByName(new.postings), df, stats, index.chunks.unionByName(new.chunks))
+
+
 def load_keyword_index(spark: SparkSession, folder: str) -> KeywordIndex:
     return KeywordIndex(*(spark.read.parquet(f"{folder}/{name}") for name in ("postings", "df", "stats", "chunks")))
 

@@ -49,7 +49,12 @@ def with_indexed_text(chunks: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables in a folder.  The registry is written last, and readers see only registered documents."""
+    """Tables in a folder.
+
+    Every chunk is written with the attempt it belongs to.  The registry is written last and names
+    the attempt of each document, and readers see only chunks of registered attempts: what a failed
+    ingest has left behind is never seen, and a retry writes the documents anew under its own.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -61,11 +66,18 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
+    def _registered(self) -> DataFrame:
+        return self._read("registry", schemas.STORED_REGISTRY)
+
     def registry(self) -> DataFrame:
-        return self._read("registry", schemas.REGISTRY)
+        return self._registered().drop("attempt")
 
     def chunks(self) -> DataFrame:
-        return self._read("chunks", schemas.CHUNKS).join(self.registry().select("doc_id"), "doc_id", "left_semi")
+        return self._read("chunks", schemas.STORED_CHUNKS).join(self._registered().select("doc_id", "attempt"), ["doc_id", "attempt"], "left_semi").select(*schemas.CHUNKS.names)
+
+    def numbered_chunks(self) -> DataFrame:
+        """The chunks with seq, their order by document, page and place; readers that need an order sort by it."""
+        return self.chunks().withColumn("seq", F.struct("doc_name", "doc_id", "chunk_index"))
 
     def document(self, doc_id: str) -> DataFrame:
         return self.registry().where(F.col("doc_id") == doc_id)
@@ -78,17 +90,23 @@ class Store:
 
         pages: doc_id, page_number, text, section_heading.  Documents without chunks are not registered.
         """
+        attempt = uuid.uuid4().hex
         status = guard(documents, self.registry())
         new = status.where("status = 'new'").drop("status").dropDuplicates(["doc_id"])
         based, chunks = prepare(pages.join(new.select("doc_id"), "doc_id", "left_semi"), new, settings)
         # The statuses must be known before the registry changes; they are a row for each document given.
-        result = f"{self.folder}/status/{uuid.uuid4().hex}"
+        result = f"{self.folder}/status/{attempt}"
         status.select("doc_id", "doc_name", "status").write.parquet(result)
-        chunks.write.mode("append").parquet(f"{self.folder}/chunks")
-        stored = self._read("chunks", schemas.CHUNKS)
-        registry_rows(based, stored.join(new.select("doc_id"), "doc_id", "left_semi"), new).write.mode("append").parquet(f"{self.folder}/registry")
+        chunks.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.folder}/chunks")
+        stored = self._read("chunks", schemas.STORED_CHUNKS).where(F.col("attempt") == attempt)
+        registry_rows(based, stored, new).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.folder}/registry")
         return self.spark.read.schema("doc_id string, doc_name string, status string").parquet(result)
 
+    def with_files(self, listing: DataFrame) -> DataFrame:
+        """The registry with has_file: whether the listing (path) holds the document's stored file, ``<doc_id>.pdf`` in any folder."""
+        there = listing.select(F.regexp_extract("path", r"([0-9a-f]{16})\.pdf$", 1).alias("doc_id"), F.lit(True).alias("has_file")).where("doc_id <> ''").distinct()
+        return self.registry().join(there, "doc_id", "left").withColumn("has_file", F.coalesce("has_file", F.lit(False)))
+
     def served_file(self, doc_id: str, listing: DataFrame) -> str:
         """invalid / unknown / missing / found: whether a document's stored file can be served."""
         if not re.fullmatch(r"[0-9a-f]{16}", doc_id):
@@ -102,6 +120,18 @@ def tally(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+class MissingFiles(RuntimeError):
+    """Files that a manifest names are not there."""
+
+
+def stop_if_missing(missing: DataFrame, most_named: int = 20) -> None:
+    """Refuse to go on if there are missing files (file); the message names the first of them and says how many there are."""
+    n = missing.count()
+    if n:
+        named = [r.file for r in missing.orderBy("file").limit(most_named).collect()]
+        raise MissingFiles(f"{n} files are missing: " + ", ".join(named) + (", ..." if n > len(named) else ""))
+
+
 def document_counts(chunks: DataFrame) -> DataFrame:
     """doc_name, chunks, pages with chunks, chunks by basis."""
     return chunks.groupBy("doc_name").agg(

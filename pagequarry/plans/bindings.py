@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.index_store import resident_keyword_index
 from ..operators.ingest import with_indexed_text
 
 
@@ -15,13 +16,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a page of its source, and a chunk; its language stands for the year."""
     d = table(spark, sf_dir, "documents")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = d.select(
-        F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("source").alias("doc_name"), F.col("source").alias("entity"), F.col("lang").alias("fiscal_year"), F.row_number().over(order).alias("page_number"), F.lit(None).cast("string").alias("basis"), "text"
+    rows = d.join(page_numbers(d), "doc_id").select(
+        F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("seq"), F.col("source").alias("doc_name"), F.col("source").alias("entity"), F.col("lang").alias("fiscal_year"), "page_number", F.lit(None).cast("string").alias("basis"), "text"
     )
     return with_indexed_text(rows)
 
 
+def page_numbers(documents: DataFrame, span: int = 8192) -> DataFrame:
+    """(doc_id, page_number): the place of a document among its source's, by id.
+
+    Places are counted within spans of ids and added up over the spans, so that a large source is
+    spread over tasks.  A null source is a source of its own.
+    """
+    ids = documents.select("doc_id", "source", F.floor(F.col("doc_id") / span).alias("span"))
+    over = Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ids.groupBy("source", "span").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select(F.col("source").alias("__source"), F.col("span").alias("__span"), F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
+    placed = ids.withColumn("place", F.row_number().over(Window.partitionBy("source", "span").orderBy("doc_id")))
+    joined = placed.join(before, placed["source"].eqNullSafe(before["__source"]) & (placed["span"] == before["__span"]))
+    return joined.select("doc_id", (F.col("before") + F.col("place")).cast("int").alias("page_number"))
+
+
+def keyword_index(spark: SparkSession, sf_dir: str):
+    """The resident keyword index of the documents."""
+    return resident_keyword_index(spark, table(spark, sf_dir, "documents").inputFiles(), lambda: chunks(spark, sf_dir))
+
+
 def questions(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataFrame:
     """The benchmark's items as one batch of questions."""
     none = F.lit(None).cast("string")

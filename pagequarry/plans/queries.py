@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions import text as X
 from ..operators import basis, calibration, chunking, confidence, entities, ingest, keyword, responses, retrieval, vectors
 from ..streaming.ingest import event_counts as windowed_events
-from .bindings import chunks, questions, table, turns_as_pages, vector_questions, vector_rows
+from .bindings import chunks, keyword_index, questions, table, turns_as_pages, vector_questions, vector_rows
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -102,7 +103,7 @@ top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 
 
 def _keyword(spark, sf_dir, filtered=False) -> DataFrame:
-    return keyword.keyword_search(questions(spark, sf_dir, filtered), keyword.build_index(chunks(spark, sf_dir)))
+    return keyword.keyword_search(questions(spark, sf_dir, filtered), keyword_index(spark, sf_dir))
 
 
 @query(_keyword_sql() + _KW_OUT)
@@ -118,18 +119,18 @@ def bm25_filtered(spark, sf_dir):
 @query(_keyword_sql(question="'zzqx' || item_id || 'qq'") + _KW_OUT)
 def bm25_oov_empty(spark, sf_dir):
     q = questions(spark, sf_dir).withColumn("question", F.concat(F.lit("zzqx"), F.col("query_id").cast("string"), F.lit("qq")))
-    return keyword.keyword_search(q, keyword.build_index(chunks(spark, sf_dir))).select("query_id", "chunk_id", r6("bm25_score"), "bm25_rank")
+    return keyword.keyword_search(q, keyword_index(spark, sf_dir)).select("query_id", "chunk_id", r6("bm25_score"), "bm25_rank")
 
 
 @query(_CHUNKS + " SELECT n, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms, (SELECT count(*) FROM post) AS n_postings FROM st")
 def corpus_stats(spark, sf_dir):
-    i = keyword.build_index(chunks(spark, sf_dir))
+    i = keyword_index(spark, sf_dir)
     return i.stats.crossJoin(i.df.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("n_postings"))).select("n", r6("avgdl"), "n_terms", "n_postings")
 
 
 @query(_CHUNKS + " SELECT term, df FROM df ORDER BY df DESC, term LIMIT 100")
 def term_df_top(spark, sf_dir):
-    return keyword.build_index(chunks(spark, sf_dir)).df.orderBy(F.desc("df"), "term").limit(100)
+    return keyword_index(spark, sf_dir).df.orderBy(F.desc("df"), "term").limit(100)
 
 
 def _vector(spark, sf_dir, filtered=False, overfetch=None) -> DataFrame:
@@ -203,8 +204,17 @@ def relevance_scale(spark, sf_dir):
 
 # -- pages, chunks, registry ----------------------------------------------------------------------
 
-_BASIS = r"""
-WITH p AS (SELECT conv_id::VARCHAR AS doc_id, turn::INTEGER AS page_number, CASE turn % 5 WHEN 1 THEN 'standalone' WHEN 3 THEN 'consolidated' WHEN 4 THEN '' END AS ev FROM conversations),
+def _any(patterns: tuple[str, ...]) -> str:
+    return " OR ".join(f"regexp_matches(x, '{p}')" for p in patterns)
+
+
+_NAMED = " ".join(f"WHEN regexp_matches(x, '{p}') THEN lower(regexp_extract(x, '{p}', 1))" for p in basis.MARKERS)
+_BASIS = rf"""
+WITH t AS (SELECT conv_id::VARCHAR AS doc_id, turn::INTEGER AS page_number,
+  CASE turn % 5 WHEN 1 THEN 'Standalone Financial Statements 2024-25' || chr(10) WHEN 3 THEN '12 Consolidated Financial Statements 20' || lpad((conv_id % 9 + 20)::VARCHAR, 2, '0') || '-25' || chr(10)
+    WHEN 4 THEN 'Glossary' || chr(10) ELSE '' END || text AS page FROM conversations),
+l AS (SELECT doc_id, page_number, list_filter(list_filter(list_transform(string_split(page, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')[1:{basis.HEAD_LINES}], lambda x: length(x) <= {basis.LINE_CHARS}) AS lines FROM t),
+p AS (SELECT doc_id, page_number, coalesce(list_filter(list_transform(lines, lambda x: CASE {_NAMED} END), lambda x: x IS NOT NULL)[1], CASE WHEN len(list_filter(lines, lambda x: {_any(basis.TERMINATORS)})) > 0 THEN '' END) AS ev FROM l),
 b AS (SELECT doc_id, page_number, nullif(last_value(ev IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS basis FROM p)"""
 
 
@@ -224,19 +234,27 @@ def doc_registry(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(X.doc_id(F.col("source")).alias("doc_id"), F.col("source").alias("doc_name")).agg(F.count(F.lit(1)).alias("pages"), F.sum(F.length("text")).alias("chars"), F.min("lang").alias("first_lang"))
 
 
-@query(_CHUNKS + " SELECT doc_name, count(*) AS chunks, count(DISTINCT page_number) AS pages_with_chunks, 0::BIGINT AS standalone, 0::BIGINT AS consolidated, count(*) AS undetermined FROM chunks GROUP BY 1")
+@query(
+    _CHUNKS
+    + """ SELECT doc_name, count(*) AS chunks, count(DISTINCT page_number) AS pages_with_chunks, count(*) FILTER (fiscal_year = 'en') AS standalone, count(*) FILTER (fiscal_year = 'fr') AS consolidated,
+  count(*) FILTER (fiscal_year NOT IN ('en', 'fr') OR fiscal_year IS NULL) AS undetermined FROM chunks GROUP BY 1"""
+)
 def doc_chunk_counts(spark, sf_dir):
-    return ingest.document_counts(chunks(spark, sf_dir))
+    year = F.col("fiscal_year")
+    return ingest.document_counts(chunks(spark, sf_dir).withColumn("basis", F.when(year == "en", "standalone").when(year == "fr", "consolidated")))
 
 
 @query(
-    """WITH i AS (SELECT conv_id, turn, 'c' || conv_id AS doc_name, sha256(text) AS h FROM conversations), reg AS (SELECT doc_name, CASE WHEN conv_id % 2 = 0 THEN h ELSE 'x' END AS known FROM i WHERE turn = 0 AND conv_id % 3 <> 0)
-SELECT conv_id, CASE WHEN known IS NULL THEN 'new' WHEN known = h THEN 'already_indexed' ELSE 'conflict' END AS status FROM i LEFT JOIN reg USING (doc_name) WHERE turn = 0"""
+    """WITH i AS (SELECT conv_id, 'c' || conv_id AS doc_name, sha256(string_agg(text, chr(10) ORDER BY turn, text)) AS h FROM conversations GROUP BY conv_id),
+reg AS (SELECT doc_name, CASE WHEN conv_id % 2 = 0 THEN h ELSE 'x' END AS known FROM i WHERE conv_id % 3 <> 0)
+SELECT conv_id, CASE WHEN known IS NULL THEN 'new' WHEN known = h THEN 'already_indexed' ELSE 'conflict' END AS status FROM i LEFT JOIN reg USING (doc_name)"""
 )
 def reingest_guard_status(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("doc_name"), F.sha2("text", 256).alias("content_sha256"))
-    known = first.where("conv_id % 3 <> 0").select(X.doc_id(F.col("doc_name")).alias("doc_id"), F.when(F.col("conv_id") % 2 == 0, F.col("content_sha256")).otherwise("x").alias("content_sha256"))
-    return ingest.guard(first, known).select("conv_id", "status")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    whole = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sha2(F.array_join(turns, "\n"), 256).alias("content_sha256"))
+    incoming = whole.withColumn("doc_name", F.concat(F.lit("c"), F.col("conv_id").cast("string")))
+    known = incoming.where("conv_id % 3 <> 0").select(X.doc_id(F.col("doc_name")).alias("doc_id"), F.when(F.col("conv_id") % 2 == 0, F.col("content_sha256")).otherwise("x").alias("content_sha256"))
+    return ingest.guard(incoming, known).select("conv_id", "status")
 
 
 @query("SELECT DISTINCT source AS entity FROM documents WHERE source <> ''")
@@ -248,19 +266,37 @@ _COMPANIES = ("Wipro Limited", "TCS", "HDFC Bank", "Infosys Ltd", "Zomato Limite
 
 
 def _company_questions(spark, sf_dir) -> DataFrame:
-    name = F.element_at(F.array(*map(F.lit, _COMPANIES)), (F.col("conv_id") % len(_COMPANIES) + 1).cast("int"))
-    return table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("query_id"), F.concat(F.lit("what was the revenue of "), name, F.lit("?")).alias("question"))
+    """The text of every turn, and a question about a company after it."""
+    name = F.element_at(F.array(*map(F.lit, _COMPANIES)), ((F.col("conv_id") + F.col("turn")) % len(_COMPANIES) + 1).cast("int"))
+    ident = (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id")
+    return table(spark, sf_dir, "conversations").select(ident, F.concat(F.coalesce("text", F.lit("")), F.lit(" what was the revenue of "), name, F.lit("?")).alias("question"))
+
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
-@query("SELECT conv_id AS query_id, CASE conv_id % 8 WHEN 0 THEN 'Wipro' WHEN 2 THEN 'HDFC Bank' WHEN 3 THEN 'Infosys' WHEN 4 THEN 'Zomato Limited' WHEN 6 THEN 'Reliance Industries' WHEN 7 THEN 'State Bank of India' END AS name FROM conversations WHERE turn = 0 AND conv_id % 8 NOT IN (1, 5)")
+
+#: Names found in the text by whole words; one within a longer one does not count, nor does a suffixed name that holds a known one.
+_MENTIONED = rf"""
+WITH q AS (SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') || ' what was the revenue of ' || [{", ".join(map(_quoted, _COMPANIES))}][(conv_id + turn) % {len(_COMPANIES)} + 1] || '?' AS question FROM conversations),
+t AS (SELECT query_id, question, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS text FROM q),
+k(key, display) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in (names.KNOWN | names.ALIASES).items())}),
+hit AS (SELECT query_id, key, display FROM t JOIN k ON contains(text, key) AND regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')),
+known AS (SELECT * FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit g WHERE g.query_id = h.query_id AND g.key <> h.key AND contains(g.key, h.key))),
+raw AS (SELECT query_id, unnest(regexp_extract_all(question, {_quoted(entities.SUFFIXED.removeprefix("(?U)"))}, 1)) AS name FROM q),
+other AS (SELECT query_id, name AS display FROM raw r WHERE NOT EXISTS (SELECT 1 FROM known h WHERE h.query_id = r.query_id AND (contains(lower(r.name), h.key) OR contains(h.key, lower(r.name))))),
+named AS (SELECT query_id, display FROM known UNION SELECT query_id, display FROM other)"""
+
+
+@query(_MENTIONED + " SELECT query_id, display AS name FROM named WHERE display <> 'TCS'")
 def foreign_entity_antijoin(spark, sf_dir):
     have = spark.createDataFrame([("TCS",)], "entity string")
     return entities.foreign_entities(_company_questions(spark, sf_dir), have).select("query_id", X.listed(F.col("names")).alias("name"))
 
 
-@query()
+@query(_MENTIONED + ", n AS (SELECT query_id, count(*) AS n FROM named GROUP BY 1) SELECT query_id, n::INTEGER AS n_mentions FROM n")
 def mention_spans(spark, sf_dir):
-    return _company_questions(spark, sf_dir).select("query_id", entities.mentions(F.col("question")).alias("mentions"))
+    return _company_questions(spark, sf_dir).select("query_id", F.size(entities.mentions(F.col("question"))).alias("n_mentions")).where("n_mentions > 0")
 
 
 @query(_CHUNKS + " SELECT chunk_id, split_part(indexed_text, chr(10), 1) AS line, sha256(indexed_text) AS indexed_sha FROM idx")
@@ -305,18 +341,28 @@ def indian_grouping(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.group_indian((F.col("o_orderkey") * 7919 + 13).cast("long")).alias("grouped"))
 
 
-@query()
+@query(
+    r"""WITH t AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT::VARCHAR AS s FROM orders),
+g AS (SELECT o_orderkey, CASE WHEN length(s) <= 3 THEN s ELSE regexp_replace(reverse(regexp_replace(reverse(substr(s, 1, length(s) - 3)), '(\d\d)', '\1,', 'g')), '^,', '') || ',' || right(s, 3) END AS grouped FROM t)
+SELECT o_orderkey, 'total Rs ' || grouped || '.00 on March 31, 2025 [Page 276]' AS prose FROM g"""
+)
 def regroup_prose(spark, sf_dir):
     money = F.format_number(F.col("o_totalprice") * 100, 2)
     return table(spark, sf_dir, "orders").select("o_orderkey", X.regroup_prose(F.concat(F.lit("total Rs "), money, F.lit(" on March 31, 2025 [Page 276]"))).alias("prose"))
 
 
-@query()
+@query(
+    r"""SELECT n_regionkey, count(*)::INTEGER + 1 AS n_rows, bool_and(regexp_matches(n_name, '^-?[\d,.]+$')) AS name_numeric, bool_and(regexp_matches(n_nationkey::VARCHAR, '^-?[\d,.]+$')) AS key_numeric,
+string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY 1"""
+)
 def markdown_table_parse(spark, sf_dir):
     n = table(spark, sf_dir, "nation")
-    rows = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" | ", F.lit(""), "n_name", F.col("n_nationkey").cast("string"), F.lit("")))), "\n").alias("body"))
-    parsed = rows.select("n_regionkey", X.markdown_rows(F.concat(F.lit("| name | key |\n|---|--:|\n"), X.strip(F.regexp_replace("body", r"(?m)^ ", "")))).alias("rows"))
-    return parsed.select("n_regionkey", F.size("rows").alias("n_rows"), X.numeric_columns(F.col("rows")).alias("numeric"))
+    line = F.concat(F.lit("| "), "n_name", F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
+    body = n.groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("body"))
+    parsed = body.select("n_regionkey", X.markdown_rows(F.concat(F.lit("| name | key |\n|---|--:|\n"), "body")).alias("rows"))
+    numeric = X.numeric_columns(F.col("rows"))
+    cells = F.transform(F.slice("rows", 2, F.size("rows") - 1), lambda r: r[0])
+    return parsed.select("n_regionkey", F.size("rows").alias("n_rows"), numeric[0].alias("name_numeric"), numeric[1].alias("key_numeric"), F.array_join(F.array_sort(cells), ",").alias("names"))
 
 
 @query("SELECT supp AS page_number, lpad_label AS label FROM (SELECT s_suppkey AS supp, CASE WHEN s_suppkey < 1000 THEN 'p.' || lpad(s_suppkey::VARCHAR, 3, '0') ELSE 'p.' || s_suppkey END AS lpad_label FROM supplier)")
@@ -374,7 +420,12 @@ def threshold_recommendation(spark, sf_dir):
     return calibration.recommend(_measured(spark, sf_dir))
 
 
-@query()
+@query(
+    _RERANK
+    + rf""", parts AS (SELECT query_id, rank, '[Source ' || rank || '] ' || doc_name || ' | ' || fiscal_year || ' | Basis not determined | Page ' || page_number || chr(10) || substr(text, 1, 600) || CASE WHEN length(text) > 600 THEN '...' ELSE '' END AS part FROM top),
+answers AS (SELECT query_id, '{responses.NO_ANSWER}' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY rank) AS answer FROM parts GROUP BY 1)
+SELECT query_id, sha256(answer) AS answer_sha256, length(answer)::INTEGER AS n_chars FROM answers"""
+)
 def extractive_answers(spark, sf_dir):
     ranked = _ranked(spark, sf_dir).withColumn("section_title", F.lit(None).cast("string"))
     return responses.extractive_answers(ranked).select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.length("answer").alias("n_chars"))

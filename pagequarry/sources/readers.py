@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ def read_manifest(spark: SparkSession, path: str, only: tuple[str, ...] = ()) ->
     try:
         raw = spark.read.text(path, wholetext=True)
         first = raw.select(F.trim("value").alias("v")).first()
-    except Exception as e:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         raise ManifestError(f"manifest not found: {path}") from e
     if first is None or not first.v.startswith("["):
         raise ManifestError("the manifest must be a JSON list")

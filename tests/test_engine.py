@@ -131,6 +131,36 @@ def test_store_guards_and_restart(spark, tmp_path):
     assert [reread.served_file(x, listing) for x in ("../x", "0" * 16, ids["R2"], ids["R1"])] == ["invalid", "unknown", "missing", "found"]
 
 
+def test_a_failed_ingest_leaves_nothing_to_see(spark, tmp_path, monkeypatch):
+    from pagequarry.functions.text import doc_id
+    from pagequarry.streaming.ingest import ingest_batch
+
+    docs = spark.createDataFrame([("A", "Acme", "FY25", None, "h1"), ("B", "Bolt", "FY25", None, "h2")], "doc_name string, entity string, fiscal_year string, file_path string, content_sha256 string")
+    pages = docs.select(doc_id(F.col("doc_name")).alias("doc_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page_number"), F.lit("some text").alias("text"), F.lit(None).cast("string").alias("section_heading"))
+    rows = pages.join(docs.withColumn("doc_id", doc_id(F.col("doc_name"))), "doc_id").select("doc_name", "entity", "fiscal_year", "page_number", "text")
+    works = ingest.registry_rows
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    for k, run in enumerate((lambda s: s.ingest(docs, pages), lambda s: ingest_batch(s, rows))):
+        store = ingest.Store(spark, f"file://{tmp_path}/s{k}")
+        monkeypatch.setattr(ingest, "registry_rows", broken)
+        for _ in range(2):
+            with pytest.raises(RuntimeError, match="lost"):
+                run(store)
+        assert store.chunks().count() == 0 and store.registry().count() == 0
+        monkeypatch.setattr(ingest, "registry_rows", works)
+        assert {r.status for r in run(store).collect()} == {"new"} and {r.status for r in run(store).collect()} == {"already_indexed"}
+        assert [(r.doc_name, r.chunks, r.pages) for r in store.registry().orderBy("doc_name").collect()] == [("A", 2, 2), ("B", 2, 2)]
+        assert store.chunks().count() == store.chunks().select("chunk_id").distinct().count() == store.numbered_chunks().count() == 4
+    listing = pages.where("page_number = 1").orderBy("doc_id").limit(1).select(F.concat(F.lit("/x/"), "doc_id", F.lit(".pdf")).alias("path"))
+    assert sorted(r.has_file for r in store.with_files(listing).collect()) == [False, True]
+    ingest.stop_if_missing(spark.createDataFrame([], "file string"))
+    with pytest.raises(ingest.MissingFiles, match="2 files are missing: a, b"):
+        ingest.stop_if_missing(spark.createDataFrame([("b",), ("a",)], "file string"))
+
+
 def test_manifest_and_pages(spark, tmp_path):
     (tmp_path / "m.json").write_text('[{"file": "a/x.pdf", "entity": "A", "fiscal_year": "F"}, {"file": "b/y.pdf", "doc_name": "Y", "entity": "B", "fiscal_year": "F"}]')
     m = readers.read_manifest(spark, f"file://{tmp_path}/m.json")
