@@ -31,7 +31,9 @@ def op4_repetition_rules(spark, sf_dir):
 
 
 def op5_fm_substrings(spark, sf_dir):
-    return remove_repeats(read_table(spark, sf_dir, "documents"))
+    found = remove_repeats(read_table(spark, sf_dir, "documents"), keep_text=False)
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_words", n_removed.alias("n_removed"), F.col("kept").alias("kept_sha256"))
 
 
 def op6_sentencepiece_codec(spark, sf_dir):

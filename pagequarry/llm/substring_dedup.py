@@ -13,13 +13,16 @@ window meet in one shard.  A shard indexes its distinct stretches: backward sear
 tree of the index gives the interval of each window of the streamed stretches, and the least
 document id of the interval decides whether the window is a repetition.
 
-A text that repeats its own windows loses nothing by that.  Within a batch of documents anchors are combined before the shuffle, so a passage that very many
-documents share moves one row a batch.  Anchors with more than ``hot`` distinct stretches are sharded
+A text that repeats its own windows loses nothing by that.  Within a batch of documents anchors are
+combined before the shuffle, so a passage that very many documents share moves one row a batch.  Anchors with more than ``hot`` distinct stretches are sharded
 by the windows themselves.  Exact copies of a stretch are indexed once.
 
 Defined cases: null counts as empty; a text of fewer words than the window loses nothing; a null
 doc_id counts as greater than all others; rows that share a doc_id do not remove each other's words;
-an empty table gives an empty result; further columns are ignored.
+rows that are repeated whole are copies with one id, which lose nothing to each other; of ties
+between anchors the first is taken; a very long text is cut into stretches like any other, and held
+whole by one task; an empty table gives an empty result; further columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Stored, release, store, text_or_empty
@@ -60,10 +62,22 @@ def anchors(words: list[bytes], hashes: WordHashes, window: int) -> tuple[np.nda
     for k in range(ANCHOR):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + runs]
     h = mix(h)
-    at = np.arange(n) + np.lib.stride_tricks.sliding_window_view(h, window - ANCHOR + 1).argmin(axis=1)
+    at = first_least(h, window - ANCHOR + 1)
     return h[at], at
 
 
+def first_least(values: np.ndarray, width: int) -> np.ndarray:
+    """For each run of ``width`` values the place of the first of its least ones, from runs of doubled widths."""
+    at, have = np.arange(len(values)), 1
+    while have < width:
+        step = min(have, width - have)
+        a, b = at[:-step], at[step:]
+        # Of equal values the one in the left run is at least as far left.
+        at = np.where(values[b] < values[a], b, a)
+        have += step
+    return at
+
+
 def _anchor_rows(window: int):
     """Texts -> h, k1, known (met in two texts of the batch), witness (the batch's one row of h)."""
 
@@ -91,9 +105,18 @@ def _anchor_rows(window: int):
     return run
 
 
-def _cut(window: int):
+def _spans(gone: np.ndarray) -> list[dict[str, int]]:
+    """The runs of True."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+    return [{"start": a, "end": b} for a, b in edge.reshape(-1, 2).tolist()]
+
+
+_REMOVED = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _cut(window: int, keep_text: bool):
     """Documents with their text's least id and repeated anchors -> a row for each document, and one for each stretch around such an anchor."""
-    to = pa.schema({"k1": pa.int64(), "k2": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "sha": pa.string(), "text": pa.binary(), "h": pa.int64(), "start": pa.int32(), "stretch": pa.binary()})
+    to = pa.schema({"k1": pa.int64(), "k2": pa.int64(), "doc_id": pa.int64(), "n_words": pa.int64(), "removed": _REMOVED, "kept": pa.string(), "text": pa.binary(), "h": pa.int64(), "start": pa.int32(), "stretch": pa.binary()})
 
     def run(batches):
         hashes = WordHashes()
@@ -104,8 +127,8 @@ def _cut(window: int):
                     words = text.split()
                     stretches = []
                     # All windows of a copy start in the document with the text's least id.
-                    gone = len(words) if (LAST_ID if doc_id is None else doc_id) > owner and len(words) >= window else 0
-                    if repeated and not gone:
+                    copy = (LAST_ID if doc_id is None else doc_id) > owner and len(words) >= window
+                    if repeated and not copy:
                         h, at = anchors(words, hashes, window)
                         if len(at):
                             wanted = np.isin(h.view(np.int64), np.array(repeated, np.int64))
@@ -114,15 +137,20 @@ def _cut(window: int):
                             for a, b, c in zip(edge.tolist(), ends.tolist(), h[edge].view(np.int64).tolist()):
                                 if wanted[a]:
                                     stretches.append((k1, k2, doc_id, None, None, None, None, c, a, b" ".join(words[a : b + window - 1])))
-                    whole = b"" if gone else b" ".join(words)
-                    out.append((k1, k2, doc_id, len(words), gone, None if stretches else hashlib.sha256(whole).hexdigest(), whole if stretches else None, None, None, None))
+                    whole = b"" if copy else b" ".join(words)
+                    removed = [{"start": 0, "end": len(words)}] if copy else []
+                    out.append((k1, k2, doc_id, len(words), None if stretches else removed, None if stretches else _kept(whole, keep_text), whole if stretches else None, None, None, None))
                     out += stretches
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), to)], schema=to)
 
     return run
 
 
-_CUT = "k1 long, k2 long, doc_id long, n_words long, n_removed long, sha string, text binary, h long, start int, stretch binary"
+_CUT = "k1 long, k2 long, doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string, text binary, h long, start int, stretch binary"
+
+
+def _kept(text: bytes, keep_text: bool) -> str:
+    return text.decode("utf-8", "replace") if keep_text else hashlib.sha256(text).hexdigest()
 
 
 def least_ids(stretches: list[bytes], owners: list[int], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +233,7 @@ def repeated_windows(stretches: DataFrame, window: int, hot: int) -> DataFrame:
 
 
 def _remove(window: int, keep_text: bool):
-    """Documents with the starts of repeated windows -> what is left of them."""
-    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * keep_text
+    """Documents with the starts of repeated windows -> doc_id, n_words, removed, kept."""
 
     def run(batches):
         for batch in batches:
@@ -220,22 +247,27 @@ def _remove(window: int, keep_text: bool):
                     np.add.at(change, s + window, -1)
                 gone = np.cumsum(change[:-1]) > 0
                 left = b" ".join([w for w, g in zip(words, gone) if not g])
-                out.append((doc_id, n, int(gone.sum()), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
-            columns = list(zip(*out)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns[: len(names)], types)], names=names)
+                out.append((doc_id, n, _spans(gone), _kept(left, keep_text)))
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), _REMOVED, pa.string()))], names=["doc_id", "n_words", "removed", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot: int = 20_000) -> DataFrame:
-    """One row per input row: doc_id, n_words, n_removed, kept_sha256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, hot: int = 20_000, keep_text: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_words, removed, kept.
+
+    removed: the disjoint intervals (start, end, in words, end exclusive) that repeated windows cover.
+    kept: what is left, words joined by one space; without ``keep_text`` its SHA-256 digest in
+    lower-case hex, and texts that lose nothing are not stored on the way.
+    """
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     found = Stored(rows.select("k1", "text").mapInArrow(_anchor_rows(window), "h long, k1 long, known boolean, witness boolean"), "anchors")
-    of_h = W.partitionBy("h")
-    told = F.max("known").over(of_h) | (F.min("k1").over(of_h) != F.max("k1").over(of_h))
-    asked = found.df.where("witness").select("h", "k1", told.alias("repeated")).where("repeated").select("h", "k1")
+    witnesses = found.df.where("witness").select("h", "k1", "known")
+    # Combined before the shuffle and joined back, so that the rows of a frequent anchor can be split.
+    told = witnesses.groupBy("h").agg((F.max("known") | (F.min("k1") != F.max("k1"))).alias("repeated")).where("repeated").select("h")
+    asked = found.reread().where("witness").select("h", "k1").join(told.hint("merge"), "h")
     # Within its batch an anchor's other rows are known to be repeated.
     by_text = asked.unionByName(found.df.where("known and not witness").select("h", "k1")).groupBy("k1").agg(F.collect_set("h").alias("repeated"))
     own = F.coalesce("doc_id", F.lit(LAST_ID))
@@ -244,7 +276,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     del asked, by_text
     found.drop()
     release(spark)
-    cut = Stored(rows.join(known, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "owner", "repeated").mapInArrow(_cut(window), _CUT), "cut", "zstd").df
+    cut = Stored(rows.join(known, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "owner", "repeated").mapInArrow(_cut(window, keep_text), _CUT), "cut", "zstd").df
     release(spark)
     stretches = cut.where("h is not null").select("k1", "k2", "doc_id", "h", "start", "stretch", F.xxhash64("stretch").alias("t1"), F.xxhash64(F.lit(1), "stretch").alias("t2"))
     least = repeated_windows(stretches, window, hot)
@@ -252,6 +284,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     places = F.filter(F.transform("least", lambda m, i: F.when(m < own, F.col("start") + i)), lambda x: x.isNotNull())
     starts = stretches.join(least, ["h", "t1", "t2"]).select("k1", "k2", places.alias("starts")).where("size(starts) > 0").distinct().groupBy("k1", "k2").agg(F.collect_list("starts").alias("starts"))
     touched = cut.where("text is not null").join(starts, ["k1", "k2"], "left").select("doc_id", "n_words", "text", "starts")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    whole = cut.where("sha is not null").select("doc_id", "n_words", "n_removed", F.col("sha").alias("kept_sha256"))
-    return whole.unionByName(touched.mapInArrow(_remove(window, False), schema))
+    whole = cut.where("kept is not null").select("doc_id", "n_words", "removed", "kept")
+    return whole.unionByName(touched.mapInArrow(_remove(window, keep_text), "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept string"))

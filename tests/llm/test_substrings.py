@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from pagequarry.llm.fm_index import FmIndex
-from pagequarry.llm.substring_dedup import remove_repeats
+from pagequarry.llm.substring_dedup import first_least, remove_repeats
 
 
 def test_backward_search_counts():
@@ -34,7 +34,8 @@ def brute(rows):
             if least[tuple(w[k : k + 13])] < key(i):
                 gone[k : k + 13] = [1] * 13
         left = " ".join(x for x, y in zip(w, gone) if not y)
-        out.append((key(i), len(w), sum(gone), hashlib.sha256(left.encode()).hexdigest()))
+        spans = [(m.start(), m.end()) for m in re.finditer("1+", "".join(map(str, gone)))]
+        out.append((key(i), len(w), spans, left))
     return sorted(out)
 
 
@@ -50,8 +51,27 @@ def test_against_brute_force(spark, hot):
         rows.append((10 + i, t))
     rows += rows[8:12] + [(3, "same " * 30)]
     df = spark.createDataFrame([(i, t, "z") for i, t in rows], "doc_id long, text string, h string").repartition(3)
-    got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(df, hot=hot).collect())
-    assert got == brute(rows)
+    for keep_text in (True, False):
+        found = remove_repeats(df, hot=hot, keep_text=keep_text).collect()
+        got = sorted(((1 << 63) - 1 if r.doc_id is None else r.doc_id, r.n_words, [tuple(x) for x in r.removed], r.kept) for r in found)
+        assert got == [(i, n, spans, left if keep_text else hashlib.sha256(left.encode()).hexdigest()) for i, n, spans, left in brute(rows)]
+
+
+def test_very_long_and_clashing(spark):
+    """A text of 120,000 words that holds 40 of another one's; columns named like the operator's own."""
+    r = random.Random(4)
+    words = [f"w{r.randint(0, 10**7)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words), 1, "a", "b"), (2, "new " + " ".join(words[70_000:70_040]) + " end", 2, "a", "b")]
+    found = {x.doc_id: x for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, k1 int, removed string, kept string")).collect()}
+    assert found[1].removed == [] and found[1].kept == rows[0][1]
+    assert [tuple(x) for x in found[2].removed] == [(1, 41)] and found[2].kept == "new end"
+
+
+def test_first_least():
+    r = np.random.default_rng(1)
+    for n, w in ((1000, 10), (10, 10), (57, 3), (9, 1)):
+        h = r.integers(0, 5, n).astype(np.uint64)
+        assert (first_least(h, w) == np.arange(n - w + 1) + np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1)).all()
 
 
 def test_empty(spark):
