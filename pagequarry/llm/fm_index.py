@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-_ONE = np.uint64(1)
+#: The bits before each place of a word.
+_BEFORE = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
 class BitVector:
@@ -15,15 +16,16 @@ class BitVector:
         padded = np.zeros((n // 64 + 1) * 64, np.uint8)
         padded[:n] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        counts = np.bitwise_count(self.words).astype(np.int64)
-        self.before = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        counts = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int32)
         self.ones = int(counts.sum())
 
     def rank(self, i: np.ndarray) -> np.ndarray:
         """The ones before each position."""
         w = i >> 6
-        mask = (_ONE << (i & 63).astype(np.uint64)) - _ONE
-        return self.before[w] + np.bitwise_count(self.words[w] & mask)
+        found = self.words.take(w)
+        found &= _BEFORE.take(i & 63)
+        return self.before.take(w) + np.bitwise_count(found)
 
 
 class WaveletTree:
@@ -39,20 +41,24 @@ class WaveletTree:
             values = np.concatenate([values[bit == 0], values[bit == 1]])
 
     def place(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
-        """Where position i is on the last level, seen as a position before symbols like the given one."""
+        """Where positions i (in the last dimension, one for each symbol) are on the last level, seen as before symbols like the given ones."""
+        i = i.astype(np.int32)
         for k, level in enumerate(range(self.levels - 1, -1, -1)):
             ones = self.bits[k].rank(i)
-            i = np.where((symbol >> level) & 1 == 1, self.zeros[k] + ones, i - ones)
+            i = np.where((symbol >> level) & 1 == 1, np.int32(self.zeros[k]) + ones, i - ones)
         return i
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """The order of the cyclic rotations, by prefix doubling."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """The order of the cyclic rotations, by prefix doubling; by their first ``depth`` numbers at least, if that is given.
+
+    Rotations alike that far are in the order of the text.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < n:
-        key = rank * (n + 1) + np.roll(rank, -width)
+    rank = text.astype(np.int64)
+    width, most = 1, n if depth is None else min(n, depth)
+    while width < most:
+        key = rank * (int(rank.max()) + 1) + np.roll(rank, -width)
         distinct, rank = np.unique(key, return_inverse=True)
         if len(distinct) == n:
             break
@@ -61,24 +67,38 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class FmIndex:
-    """Backward search over a text of numbers from 1 on, in which 0 separates pieces."""
+    """Backward search over a text of numbers from 1 on, in which 0 separates pieces.
+
+    With ``depth`` the rotations are sorted no further than patterns of that length need: the rows
+    that begin with a pattern are then still next to each other, and a step backwards only counts
+    the rows before them, whatever their order among themselves.
+    """
 
-    def __init__(self, text: np.ndarray):
-        self.order = suffix_array(text)
+    def __init__(self, text: np.ndarray, depth: int | None = None):
+        self.order, self.depth = suffix_array(text, depth), depth
         size = int(text.max()) + 1 if len(text) else 1
         self.tree = WaveletTree(text[self.order - 1], max(1, int(size - 1).bit_length()))
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=size))])
         symbols = np.arange(size)
         self.start = self.tree.place(symbols, np.zeros(size, np.int64))
 
-    def intervals(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The interval of the sorted rotations that begin with each pattern (a row of numbers)."""
+    def intervals(self, patterns: np.ndarray, until_alone: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The interval of the sorted rotations that begin with each pattern (a row of numbers).
+
+        With ``until_alone`` the search of a pattern that is known to occur ends as soon as its
+        interval has one row: it then occurs once, and the interval is that of a suffix of it.
+        """
         m, length = patterns.shape
+        if self.depth is not None and length > self.depth:
+            raise ValueError("patterns longer than the depth of the index")
         last = patterns[:, -1]
-        lo, hi = self.first[last], self.first[last + 1]
+        both = np.stack([self.first[last], self.first[last + 1]])
+        live = np.arange(m)
         for k in range(length - 2, -1, -1):
-            c = patterns[:, k]
-            base = self.first[c] - self.start[c]
-            both = self.tree.place(np.concatenate([c, c]), np.concatenate([lo, hi]))
-            lo, hi = base + both[:m], base + both[m:]
-        return lo, hi
+            if until_alone:
+                live = live[both[1, live] - both[0, live] > 1]
+                if not len(live):
+                    break
+            c = patterns[live, k]
+            both[:, live] = self.first[c] - self.start[c] + self.tree.place(c, both[:, live])
+        return both[0], both[1]

@@ -164,15 +164,16 @@ def least_ids(stretches: list[bytes], owners: list[int], window: int) -> tuple[n
     owner = np.repeat(np.array(owners, np.int64), sizes + 1)
     left = np.repeat(ends + np.arange(len(sizes)), sizes + 1) - np.arange(len(text))
     starts = np.flatnonzero(left >= window)
-    index = FmIndex(text)
+    index = FmIndex(text, window)
     by_order = owner[index.order]
-    lo, hi = index.intervals(text[starts[:, None] + np.arange(window)])
-    # Windows of one length have the same interval or none in common.
-    first, where = np.unique(lo, return_inverse=True)
-    last = np.zeros(len(first), np.int64)
-    last[where] = hi
-    cuts = np.stack([first, last], axis=1).reshape(-1)
-    least = np.minimum.reduceat(np.append(by_order, LAST_ID), cuts)[::2][where]
+    lo, hi = index.intervals(text[starts[:, None] + np.arange(window)], until_alone=True)
+    least = owner[starts]  # of windows that only their own stretch has
+    many = np.flatnonzero(hi - lo > 1)
+    if len(many):
+        # Windows of one length have the same interval or none in common.
+        first, at, where = np.unique(lo[many], return_index=True, return_inverse=True)
+        cuts = np.stack([first, hi[many][at]], axis=1).reshape(-1)
+        least[many] = np.minimum.reduceat(np.append(by_order, LAST_ID), cuts)[::2][where]
     return least, sizes - window + 1
 
 
@@ -264,16 +265,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     found = Stored(rows.select("k1", "text").mapInArrow(_anchor_rows(window), "h long, k1 long, known boolean, witness boolean"), "anchors")
-    witnesses = found.df.where("witness").select("h", "k1", "known")
     # Combined before the shuffle and joined back, so that the rows of a frequent anchor can be split.
-    told = witnesses.groupBy("h").agg((F.max("known") | (F.min("k1") != F.max("k1"))).alias("repeated")).where("repeated").select("h")
-    asked = found.reread().where("witness").select("h", "k1").join(told.hint("merge"), "h")
-    # Within its batch an anchor's other rows are known to be repeated.
-    by_text = asked.unionByName(found.df.where("known and not witness").select("h", "k1")).groupBy("k1").agg(F.collect_set("h").alias("repeated"))
+    told = found.df.where("witness").groupBy("h").agg((F.max("known") | (F.min("k1") != F.max("k1"))).alias("repeated")).where("repeated").select("h")
+    # Within its batch an anchor that two texts have is known to be repeated.
+    alone = found.reread().where("witness and not known").select("h", "k1").join(told.hint("shuffle_hash"), "h")
+    by_text = alone.unionByName(found.df.where("known").select("h", "k1")).groupBy("k1").agg(F.collect_set("h").alias("repeated"))
     own = F.coalesce("doc_id", F.lit(LAST_ID))
     owners = rows.groupBy("k1", "k2").agg(F.min(own).alias("owner"))
     known = store(owners.join(by_text, "k1", "left"), "texts")
-    del asked, by_text
+    del alone, by_text
     found.drop()
     release(spark)
     cut = Stored(rows.join(known, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "owner", "repeated").mapInArrow(_cut(window, keep_text), _CUT), "cut", "zstd").df

@@ -13,9 +13,20 @@ def test_backward_search_counts():
     r = np.random.default_rng(1)
     text = np.append(r.integers(1, 5, 300), 0)
     patterns = r.integers(1, 5, (200, 4))
-    lo, hi = FmIndex(text).intervals(patterns)
     windows = np.lib.stride_tricks.sliding_window_view(text, 4)
-    assert ((hi - lo) == [(windows == p).all(axis=1).sum() for p in patterns]).all()
+    for depth in (None, 4, 5, 100):
+        lo, hi = FmIndex(text, depth).intervals(patterns)
+        assert ((hi - lo) == [(windows == p).all(axis=1).sum() for p in patterns]).all()
+        order = FmIndex(text, depth).order
+        there = windows[r.integers(0, len(windows), 100)]
+        lo1, hi1 = FmIndex(text, depth).intervals(there, until_alone=True)
+        lo2, hi2 = FmIndex(text, depth).intervals(there)
+        more = hi2 - lo2 > 1
+        assert (hi1 - lo1 == hi2 - lo2).all() and (lo1[more] == lo2[more]).all()
+        for p, a, b in zip(patterns, lo, hi):
+            assert {tuple(np.take(text, range(i, i + 4), mode="wrap")) for i in order[a:b].tolist()} <= {tuple(p)}
+    with pytest.raises(ValueError):
+        FmIndex(text, 3).intervals(patterns)
 
 
 def brute(rows):
