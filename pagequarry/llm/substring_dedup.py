@@ -33,6 +33,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Stored, release, store, text_or_empty
@@ -43,6 +44,8 @@ from .repetition import groups
 ANCHOR = 4
 LAST_ID = (1 << 63) - 1
 INDEX_WORDS = 120_000
+#: Text whose anchors are combined before the shuffle.
+BATCH_BYTES = 32 << 20
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,7 +87,7 @@ def _anchor_rows(window: int):
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            for part in groups(batch, 1, 8 << 20):
+            for part in groups(batch, 1, BATCH_BYTES):
                 h, k, seen = [], [], set()
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if key not in seen:
@@ -265,15 +268,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     rows = _rows(docs, id_col, text_col)
     found = Stored(rows.select("k1", "text").mapInArrow(_anchor_rows(window), "h long, k1 long, known boolean, witness boolean"), "anchors")
-    # Combined before the shuffle and joined back, so that the rows of a frequent anchor can be split.
-    told = found.df.where("witness").groupBy("h").agg((F.max("known") | (F.min("k1") != F.max("k1"))).alias("repeated")).where("repeated").select("h")
+    # A window by anchor has one row for each batch that has it, however many texts do.
+    of_h = W.partitionBy("h")
+    told = F.max("known").over(of_h) | (F.min("k1").over(of_h) != F.max("k1").over(of_h))
+    asked = found.df.where("witness").select("h", "k1", "known", told.alias("repeated")).where("repeated and not known").select("h", "k1")
     # Within its batch an anchor that two texts have is known to be repeated.
-    alone = found.reread().where("witness and not known").select("h", "k1").join(told.hint("shuffle_hash"), "h")
-    by_text = alone.unionByName(found.df.where("known").select("h", "k1")).groupBy("k1").agg(F.collect_set("h").alias("repeated"))
+    by_text = asked.unionByName(found.df.where("known").select("h", "k1")).groupBy("k1").agg(F.collect_set("h").alias("repeated"))
     own = F.coalesce("doc_id", F.lit(LAST_ID))
     owners = rows.groupBy("k1", "k2").agg(F.min(own).alias("owner"))
     known = store(owners.join(by_text, "k1", "left"), "texts")
-    del alone, by_text
+    del asked, by_text
     found.drop()
     release(spark)
     cut = Stored(rows.join(known, ["k1", "k2"]).select("doc_id", "k1", "k2", "text", "owner", "repeated").mapInArrow(_cut(window, keep_text), _CUT), "cut", "zstd").df
