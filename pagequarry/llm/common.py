@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a default where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; only where all is one machine has it a default."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file:///tmp/pagequarry-shared"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = f"file://{tempfile.gettempdir()}/pagequarry-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -66,5 +69,21 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as make it none of the columns', whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
+def quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

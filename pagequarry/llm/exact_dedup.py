@@ -1,7 +1,8 @@
 """Exact deduplication by deterministic block naming, with DataFrame operations only.
 
-Each normalised text is cut into blocks of a fixed size.  The distinct blocks are sorted and
-numbered, so a block's name is an integer that equals another's only if the blocks are equal.
+Each normalised text is cut into blocks of a fixed size.  The distinct blocks are sorted by their
+hash, those of one hash by themselves, and numbered in that order without gaps, so a block's name is
+an integer that equals another's only if the blocks are equal, and does not depend on partitions.
 Adjacent names are then paired, the distinct pairs are sorted and numbered in turn, and so on
 until one name is left of each document.  Documents are equal exactly if their block counts and
 last names are.
@@ -13,16 +14,16 @@ exchange on both sides, so a hot block or group can be split at run time.
 
 Defined cases: null text counts as empty; all empty texts are equal; a null doc_id sorts after
 all others; of equal rows that repeat a doc_id exactly one is kept; an empty table gives an empty
-result; further columns of the input are not read by :func:`exact_dedup` and are kept, whatever
+result; a very long text is a row of many blocks and never one value; further columns of the input are not read by :func:`exact_dedup` and are kept, whatever
 their names, by :func:`keep_first`.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, Stored, store, text_or_empty
+from .common import SPACE, Stored, store, text_or_empty, unused
 
 #: Names given to blocks whose hash is shared lie from here on, apart from all others.
 _SHARED_HASH_NAMES = 1 << 62
@@ -35,22 +36,27 @@ def normalised(text_col: str) -> Column:
 
 
 def _numbered(keys: DataFrame, *cols: str) -> DataFrame:
-    """Distinct rows, sorted within their partitions and numbered: equal rows, and only those, share a name."""
-    return keys.distinct().sortWithinPartitions(*cols).withColumn("name", F.monotonically_increasing_id())
+    """The keys, which are distinct, sorted as a whole and numbered from 0 without gaps, however they were partitioned."""
+    part, place, before = "__part", "__place", "__before"
+    placed = store(keys.orderBy(*cols).select("*", F.spark_partition_id().alias(part), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias(place)), "sorted")
+    over = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    # A row for each partition of the sort.
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).select(part, F.coalesce(F.sum("n").over(over), F.lit(0)).alias(before))
+    return placed.join(sizes, part).withColumn("name", F.col(before) + F.col(place)).drop(part, place, before)
 
 
 def _block_names(occurrences: DataFrame, blocks: DataFrame) -> DataFrame:
     """(rid, n_blocks, idx, name) of each block occurrence."""
-    names = store(_numbered(blocks.select("h", "block"), "block").select("h", "name"), "block-names")
-    shared = names.groupBy("h").count().where("count > 1").select("h")
+    hashes = store(blocks.select("h", "block").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")), "hashes")
+    sole = store(_numbered(hashes.where("n = 1").select("h"), "h"), "block-names")
+    named = occurrences.join(sole, "h").select("rid", "n_blocks", "idx", "name")
+    shared = hashes.where("n > 1").select("h")
     if shared.isEmpty():
-        return occurrences.join(names, "h").select("rid", "n_blocks", "idx", "name")
-    shared = store(shared, "shared-hashes")
-    sole = occurrences.join(names.join(shared, "h", "left_anti"), "h").select("rid", "n_blocks", "idx", "name")
+        return named
     # Looked up by the block itself; these rows are the few whose 64-bit hashes collide.
-    doubtful = store(blocks.join(shared, "h", "left_semi"), "shared-blocks")
-    by_text = _numbered(doubtful.select("block"), "block").withColumn("name", F.col("name") + F.lit(_SHARED_HASH_NAMES))
-    return sole.unionByName(doubtful.join(by_text, "block").select("rid", "n_blocks", "idx", "name"))
+    doubtful = store(blocks.join(shared, "h", "left_semi").select("rid", "n_blocks", "idx", "block"), "shared-blocks")
+    by_text = _numbered(doubtful.select("block").distinct(), "block").withColumn("name", F.col("name") + F.lit(_SHARED_HASH_NAMES))
+    return named.unionByName(doubtful.join(by_text, "block").select("rid", "n_blocks", "idx", "name"))
 
 
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096, hash_bits: int = 64) -> DataFrame:
@@ -88,7 +94,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _pair_names(pairs: DataFrame) -> DataFrame:
     """Names of the distinct pairs: sorted as a whole, numbered in that order."""
-    return pairs.select("a", "b").distinct().orderBy("a", "b").withColumn("name", F.monotonically_increasing_id())
+    return _numbered(pairs.select("a", "b").distinct(), "a", "b")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096, hash_bits: int = 64) -> DataFrame:
@@ -105,7 +111,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias("__key"))
-    keyed = docs.withColumn("__key", F.concat_ws(":", F.sha2(normalised(text_col), 256), F.col(id_col).cast("string")))
+    (key,) = unused(docs, "key")
+    kept = exact_dedup(docs, id_col, text_col, **options).where("kept").select(F.concat_ws(":", "text_sha256", F.col("doc_id").cast("string")).alias(key))
+    keyed = docs.withColumn(key, F.concat_ws(":", F.sha2(normalised(text_col), 256), F.col(id_col).cast("string")))
     # A key is kept once, but its row may be repeated in the input.
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

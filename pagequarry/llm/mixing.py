@@ -15,7 +15,8 @@ Blocks are ranked in windows of ``blocks`` rows at most.  Tokens are counted by
 before anything is shuffled, so a hot source moves no more rows than another.
 
 Defined cases: a null source is a source of its own; a null text counts as empty; documents without
-tokens get the copies that their block gets; a null doc_id is hashed as an empty id; rows that
+tokens get the copies that their block gets; ties in a permutation go to the lesser block; a very long
+text counts like any other; a null doc_id is hashed as an empty id; rows that
 repeat a doc_id fall in one block; with no tokens at all every document has one copy; an empty table
 gives an empty result; columns of other names are kept by :func:`mixed`.
 """
@@ -25,9 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, store, text_or_empty
+from .common import WORD, quoted, store, text_or_empty, unused
 
 STEPS = 60
+#: The greatest exponent looked at for an entropy; one for a number of passes is at most 1.
+STEEPEST = 64.0
 #: Passes are compared as whole millionths, alike in every engine.
 FINE = 1_000_000
 
@@ -60,8 +63,11 @@ def _repetition(shares: Column, exponent: Column) -> Column:
 def weights(sources: DataFrame, target_entropy: float | None, max_repeats: float) -> DataFrame:
     """source, tokens, exponent, weight of each source with tokens.
 
-    The exponent is the least of those in 0..1 that keep to the target: an entropy of at most
-    ``target_entropy``, or at most ``max_repeats`` passes over any source.
+    The exponent is the least of those that keep to the target: an entropy of at most
+    ``target_entropy``, or at most ``max_repeats`` passes over any source.  An entropy under that of
+    the shares themselves takes an exponent above 1, up to ``STEEPEST``; one that no exponent up to
+    it reaches, such as less than the logarithm of the number of equally largest sources, is met as
+    closely as that one does.
     """
     used = sources.where("tokens > 0")
     one = used.agg(F.array_sort(F.collect_list("tokens")).alias("sizes"), F.sum("tokens").alias("total"))
@@ -73,7 +79,7 @@ def weights(sources: DataFrame, target_entropy: float | None, max_repeats: float
         fits = _entropy(shares, middle) <= target_entropy if target_entropy is not None else _repetition(shares, middle) <= max_repeats
         return F.when(fits, F.struct(s["low"].alias("low"), middle.alias("high"))).otherwise(F.struct(middle.alias("low"), s["high"].alias("high")))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high")), halve)["high"]
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.struct(F.lit(0.0).alias("low"), F.lit(1.0 if target_entropy is None else STEEPEST).alias("high")), halve)["high"]
     one = one.select("total", "shares", F.round(found, 9).alias("exponent"))
     one = one.withColumn("scale", F.aggregate(F.transform("shares", lambda p: F.pow(p, F.col("exponent"))), F.lit(0.0), lambda a, x: a + x))
     # One row with an entry a source: its size is the number of sources.
@@ -107,18 +113,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = with_tokens(docs, id_col, text_col, source_col, blocks, seed)
     counted = store(rows, "tokens")
     plan = store(block_copies(counted, seed=seed, **options), "plan")
-    plan = plan.withColumnRenamed("source", "__source").withColumnRenamed("block", "__block")
+    plan = plan.withColumnRenamed("source", "__source").withColumnRenamed("block", "__block")  # both sides' names are this module's own
     return counted.join(plan, (counted["block"] == plan["__block"]) & counted["source"].eqNullSafe(plan["__source"])).select("doc_id", "source", "n_tokens", "block", "place", "weight", "copies")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = 1024, seed: int = 1, **options) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as many times as its block is taken, with all their columns."""
     rows = with_tokens(docs, id_col, text_col, source_col, blocks, seed)
-    plan = store(block_copies(rows, seed=seed, **options), "plan").select(F.col("source").alias("__source"), F.col("block").alias("__block"), F.col("copies").alias("__copies"))
+    source, block, copies, own, turn = unused(docs, "source", "block", "copies", "own", "turn")
+    plan = store(block_copies(rows, seed=seed, **options), "plan").select(F.col("source").alias(source), F.col("block").alias(block), F.col("copies").alias(copies))
     key = F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    keyed = docs.withColumn("__b", hashed(key, blocks))
-    taken = keyed.join(plan, (keyed["__b"] == plan["__block"]) & keyed[source_col].cast("string").eqNullSafe(plan["__source"]))
-    return taken.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__copies > 0").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.withColumn(own, hashed(key, blocks))
+    taken = keyed.join(plan, (keyed[own] == plan[block]) & keyed[source_col].cast("string").eqNullSafe(plan[source]))
+    turns = F.explode(F.sequence(F.lit(1), F.greatest(copies, F.lit(1)))).alias(turn)
+    return taken.where(F.col(copies) > 0).select("*", turns).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 #: The registered query's SQL; the exponent is bisected by a recursive query.

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store, text_or_empty
+from .common import store, text_or_empty, unused
 from .components import connected_components
 from .repetition import groups
 
@@ -207,8 +207,7 @@ def _verify_groups(ngram: int, threshold: Fraction):
 
     def group(rows):
         _, i, j = rows[0][:3]
-        by_class = {r[3]: r for r in rows}  # repeated rows have one class
-        rows = sorted(by_class.values(), key=lambda r: (r[4], r[3]))
+        rows = sorted(rows, key=lambda r: (r[4], r[3]))
         cut = sum(r[4] == i for r in rows) if i != j else 0
         if i != j and cut in (0, len(rows)):
             return []
@@ -232,7 +231,9 @@ def _verify_groups(ngram: int, threshold: Fraction):
                 if held and held[0][:3] != row[:3]:
                     out += group(held)
                     held = []
-                held.append(row)
+                # The rows of one class are sorted together, and have one text: one is held.
+                if not held or held[-1][3] != row[3]:
+                    held.append(row)
             if len(out) > 10_000:
                 yield _triples(out)
                 out = []
@@ -268,7 +269,7 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
     texts = keyed(docs, id_col, text_col).select("k1", "k2", F.col("text").cast("binary").alias("text"))
     # The same plan at every size: no broadcast while there are few candidates.
     needed = texts.join(routed.hint("merge"), ["k1", "k2"]).select("component", "i", "j", "cid", "own", "size", "text")
-    dealt = needed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+    dealt = needed.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "cid")
     found = store(dealt.mapInArrow(_verify_groups(ngram, Fraction(threshold).limit_denominator(1000)), "cid long, links long, root long"), "links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = store(connected_components(found.select(F.col("cid").alias("src"), F.col("root").alias("dst"))), "roots")
@@ -286,8 +287,9 @@ def near_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` of which one of each class stays, with all their columns."""
-    kept = near_join(docs, id_col, text_col, **options).where("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).distinct()
+    k1, k2 = unused(docs, "k1", "k2")
+    kept = near_join(docs, id_col, text_col, **options).where("kept").select(F.col("k1").alias(k1), F.col("k2").alias(k2)).distinct()
     text, doc_id = text_or_empty(text_col), F.col(id_col).cast("long")
-    rows = docs.withColumns({"__k1": F.xxhash64(doc_id, text), "__k2": F.xxhash64(F.lit(1), text, doc_id)})
+    rows = docs.withColumns({k1: F.xxhash64(doc_id, text), k2: F.xxhash64(F.lit(1), text, doc_id)})
     # Repeated rows have one key; one of them stays.
-    return rows.join(kept, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]).drop("__k1", "__k2")
+    return rows.join(kept, [k1, k2], "left_semi").dropDuplicates([k1, k2]).drop(k1, k2)

@@ -16,7 +16,9 @@ Characters without an entry become byte tokens.  Models with another normalisati
 kind, are refused.
 
 Defined cases: null counts as empty; the empty text has only the begin and end ids; a segment of
-any length takes time and memory in proportion to its length.
+any length takes time and memory in proportion to its length; a null doc_id stays null; rows that
+repeat a doc_id are encoded each; of merges of one rank the leftmost is done first; an empty table
+gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -1,10 +1,10 @@
 """Quality rules with repetition measured by a suffix array.
 
 The words of a document are numbered and its suffixes sorted by prefix doubling; the ranks of every
-doubling give the longest common prefix of neighbours in that order.  Where neighbours share
-``min_repeat`` words or more, the longest common prefix interval is a repeated substring, and the
-longest one from each start is right-maximal.  The union of their spans is the repeated part of the
-document.  Limited are its share of the characters, the share with repeats from ``short_repeat``
+doubling give the longest common prefix of neighbours in that order.  The intervals of suffixes that
+share a prefix of ``min_repeat`` words or more are the repeated substrings; one before whose
+occurrences no single word stands is maximal, and counted once.  The union of the spans of all
+occurrences is the repeated part of the document.  Limited are its share of the characters, the share with repeats from ``short_repeat``
 words on, and the longest repeat, whatever the document's length; each acts below the base rule.
 
 Many documents are sorted together, each in its own range of ranks.  Only documents in which the
@@ -12,8 +12,10 @@ hash of a window of the least counted length occurs twice are sorted at all: wit
 is no repeat, and a false match of hashes only costs the sort.
 
 Defined cases: null counts as empty; a document without words has zeros everywhere and fails for
-having fewer than ``min_words`` words; lines without a word are not counted; an empty table gives an
-empty result.  Memory follows the longest document of a group.
+having fewer than ``min_words`` words; lines without a word are not counted; a null doc_id stays null;
+rows that repeat a doc_id are measured each; equal suffixes of a document are in the order of their
+ends; an empty table gives an empty result; further columns are ignored, whatever their names.  A very
+long text is measured whole: memory follows the longest document of a group.
 """
 
 from __future__ import annotations
@@ -72,11 +74,11 @@ def docs_with_repeats(words: np.ndarray, doc: np.ndarray, window: int) -> np.nda
     return np.unique(d[order[1:][same]])
 
 
-def longest_repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each position the length of the longest prefix of its suffix that starts elsewhere in the document too."""
+def suffix_order(words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of the documents in order, and the longest common prefix of each with the next one; 0 between documents."""
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     keys = doc.astype(np.int64) * (int(words.max()) + 1) + words
     rank = np.unique(keys, return_inverse=True)[1].astype(np.int32)
     ranks, width = [rank], 1
@@ -107,12 +109,54 @@ def longest_repeats(words: np.ndarray, doc: np.ndarray) -> np.ndarray:
         equal = np.zeros(len(live), bool)
         equal[fits] = r[x[fits]] == r[y[fits]]
         common[live[equal]] += step
-    found = np.zeros(n, np.int64)
+    return order, common
+
+
+def longest_repeats(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each position the length of the longest prefix of its suffix that starts elsewhere in the document too."""
+    found = np.zeros(len(order), np.int64)
     found[order[1:]] = common
     found[order[:-1]] = np.maximum(found[order[:-1]], common)
     return found
 
 
+def lcp_intervals(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, length) of every longest common prefix interval of ``least`` and more.
+
+    Such an interval is a run of suffixes first..last that share just ``length``: the occurrences
+    of a repeated substring that no longer one on its right has all of.
+    """
+    live = np.flatnonzero(common >= least)
+    found, stack, before = [], [], -2
+    for k, value in zip(live.tolist(), common[live].tolist()):
+        if k != before + 1:
+            found += [(first, before + 1, length) for first, length in stack]
+            stack = []
+        first = k
+        while stack and stack[-1][1] >= value:
+            if stack[-1][1] == value:
+                first = None
+                break
+            first, length = stack.pop()
+            found.append((first, k, length))
+        if first is not None:
+            stack.append((first, value))
+        before = k
+    found += [(first, before + 1, length) for first, length in stack]
+    columns = np.array(found, np.int64).reshape(-1, 3)
+    return columns[:, 0], columns[:, 1], columns[:, 2]
+
+
+def maximal_repeats(words: np.ndarray, doc: np.ndarray, order: np.ndarray, common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of each distinct repeated substring of ``least`` words or more that no longer one has all occurrences of, on either side."""
+    first, last, length = lcp_intervals(common, least)
+    before = np.where((order > 0) & (doc[order] == doc[np.maximum(order - 1, 0)]), words[np.maximum(order - 1, 0)], -1)
+    # An interval can be widened to the left if one word stands before all its occurrences.
+    changes = np.concatenate([[0], np.cumsum((before[1:] != before[:-1]) | (before[1:] < 0))])
+    maximal = changes[last] > changes[first]
+    return doc[order[first[maximal]]], length[maximal]
+
+
 def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """Which of n positions lie in a span."""
     change = np.zeros(n + 1, np.int64)
@@ -136,7 +180,8 @@ def measure(texts: list[bytes], limits: Limits = Limits()) -> dict[str, np.ndarr
     if len(chosen):
         pick = np.isin(doc, chosen)
         w, d = words[pick], doc[pick]
-        longest = longest_repeats(w, d)
+        order, common = suffix_order(w, d)
+        longest = longest_repeats(order, common)
         n, chars = len(w), np.fromiter((len(x.decode("utf-8", "replace")) for k in chosen for x in split[k]), np.int64, len(w))
 
         def total_by_doc(values):
@@ -148,10 +193,9 @@ def measure(texts: list[bytes], limits: Limits = Limits()) -> dict[str, np.ndarr
         out["short_repeat_chars"] = total_by_doc(covered(at, longest[at], n) * chars)
         at = np.flatnonzero(longest >= limits.min_repeat)
         out["repeat_chars"] = total_by_doc(covered(at, longest[at], n) * chars)
-        np.maximum.at(out["longest_repeat"], d[at], longest[at])
-        # Not the rest of a repeat that starts one word before.
-        before = np.where((at > 0) & (d[np.maximum(at - 1, 0)] == d[at]), longest[np.maximum(at - 1, 0)], 0)
-        out["n_maximal_repeats"] = np.bincount(d[at[before != longest[at] + 1]], minlength=len(texts)).astype(np.int64)
+        of, length = maximal_repeats(w, d, order, common, limits.min_repeat)
+        np.maximum.at(out["longest_repeat"], of, length)
+        out["n_maximal_repeats"] = np.bincount(of, minlength=len(texts)).astype(np.int64)
     return out | {
         "n_words": n_words,
         "word_chars": np.array([_code_points(t) for t in texts], np.int64),

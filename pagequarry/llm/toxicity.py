@@ -21,7 +21,10 @@ holds the chosen documents' texts.
 
 Defined cases: null and empty texts have the score of no toxic evidence at all; a null doc_id
 counts as an empty id for the choice of held-out rows and never has a label; if a document has
-several labels the highest counts; without toxic or without clean labelled documents every score is
+several labels the highest counts; of rows that repeat a labelled doc_id one is learnt from, and all
+are scored; equal texts have equal scores; an empty table gives an empty result; a very long text is
+scored whole, by one task; further columns are kept by :func:`drop_toxic` and ignored otherwise,
+whatever their names; without toxic or without clean labelled documents every score is
 the share of toxic labels.
 """
 
@@ -245,7 +248,10 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_toxic: int, max_clean: int) -> list:
-    """(text, toxic) of the chosen labelled documents outside the held-out part, in a fixed order."""
+    """(id, text, toxic) of the chosen labelled documents outside the held-out part, in a fixed order.
+
+    A row for each chosen id: of rows that repeat it the one whose text has the least digest.
+    """
     usable = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out("doc_id", 4, 2))
         .groupBy("doc_id")
@@ -257,7 +263,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     # The chosen ids are at most max_toxic + max_clean.
-    rows = texts.join(F.broadcast(chosen), "doc_id").collect()
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic")
+    rows = found.agg(F.min_by("text", F.struct(F.sha2("text", 256))).alias("text")).select("doc_id", "text", "toxic").collect()
     return sorted((r.doc_id, r.text, r.toxic) for r in rows)
 
 
@@ -267,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """All columns of ``docs`` without the text, plus held_out, score and predicted: a row for each row."""
+    """doc_id, held_out, score and predicted: a row for each row."""
     schema = "doc_id long, held_out boolean, score double, predicted int"
     to = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
     share = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,7 +1,9 @@
+import numpy as np
 import random
 import re
 from collections import Counter
 
+from pagequarry.llm import repetition as R
 from pagequarry.llm.repetition import COLUMNS, judge, measure, quality_rules
 
 
@@ -43,7 +45,7 @@ def test_verdict(spark):
     clean, passage = " ".join(word[:400]), " ".join(word[:150])
     rows = [(0, clean), (1, f"{passage} {' '.join(word[1000:1600])} {passage}"), (2, f"{' '.join(word[:20])} {' '.join(word[1000:1600])} {' '.join(word[:20])}")]
     got = {x.doc_id: x for x in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].kept and got[2].kept and got[2].longest_repeat == 20 and got[2].n_maximal_repeats == 2
+    assert got[0].kept and got[2].kept and got[2].longest_repeat == 20 and got[2].n_maximal_repeats == 1
     assert got[1].longest_repeat == 150 and got[1].repeat_chars > 0 and not got[1].kept
     assert quality_rules(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -65,3 +67,36 @@ def test_each_limit_fails_a_text_that_passes_the_base_rule():
     assert m["longest_repeat"].tolist()[:3] == [500, 10, 0]
     assert share_of("short_repeat_chars", 0) < 0.15 and 0.15 < share_of("repeat_chars", 1) and share_of("short_repeat_chars", 1) < 0.25
     assert m["repeat_chars"][2] == 0 and share_of("short_repeat_chars", 2) > 0.25
+
+
+def test_maximal_repeats_against_brute_force():
+    """Distinct substrings with two occurrences or more that cannot be widened to either side without losing one."""
+    r = np.random.default_rng(9)
+    for least in (1, 2, 4):
+        docs = [r.integers(0, 3, n).tolist() for n in (0, 1, 40, 25, 60)] + [[1, 2, 3, 4] * 6, [7] * 9]
+        words, doc = np.array([w for d in docs for w in d]), np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        of, length = R.maximal_repeats(words, doc, *R.suffix_order(words, doc), least)
+        expected = []
+        for k, d in enumerate(docs):
+            at = {}
+            for i in range(len(d)):
+                for j in range(i + least, len(d) + 1):
+                    at.setdefault(tuple(d[i:j]), []).append(i)
+            for s, places in at.items():
+                lefts, rights = {d[p - 1] if p else -1 - p for p in places}, {d[p + len(s)] if p + len(s) < len(d) else -1 - p for p in places}
+                if len(places) > 1 and len(lefts) > 1 and len(rights) > 1:
+                    expected.append((k, len(s)))
+        assert sorted(zip(of.tolist(), length.tolist())) == sorted(expected)
+
+
+def test_rows_of_every_kind(spark):
+    """Repeated rows, a null id, a very long text, columns with clashing names, and no rows."""
+    long = " ".join(f"w{i}" for i in range(150_000)) + " " + " ".join(f"r{i}" for i in range(300)) * 1 + " mid " + " ".join(f"r{i}" for i in range(300))
+    rows = [(1, "a b " * 30, 1, "x"), (1, "a b " * 30, 1, "x"), (None, None, 2, "y"), (5, long, 3, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int, kept string")
+    got = R.quality_rules(df).collect()
+    assert len(got) == 4 and len({tuple(x) for x in got if x.doc_id == 1}) == 1
+    deep = next(x for x in got if x.doc_id == 5)
+    assert (deep.n_words, deep.longest_repeat, deep.n_maximal_repeats, deep.base_failed, deep.kept) == (150_601, 300, 1, False, False)
+    assert [x.kept for x in got if x.doc_id is None] == [False]
+    assert R.quality_rules(df.where("false")).count() == 0
