@@ -136,6 +136,11 @@ def format_inr(value: Column, decimals: int = 0) -> Column:
     return F.when(value.isNull() | F.isnan(value.cast("double")), F.lit("—")).otherwise(text)
 
 
+def format_count(value: Column) -> Column:
+    """A whole number in Indian grouping."""
+    return format_inr(value, 0)
+
+
 def format_ms(value: Column) -> Column:
     return format_inr(F.floor(value.cast("double") + 0.5))
 

@@ -18,6 +18,20 @@ def first_hits(hits: DataFrame, probes: DataFrame) -> DataFrame:
     return r.groupBy("query_id").agg(F.min(F.when(figure & ((F.col("basis") == F.col("expect_basis")) | F.col("expect_basis").isNull()), F.col("rank"))).alias("expected_rank"), F.min(F.when(figure, F.col("rank"))).alias("rank_any_basis"))
 
 
+def top_hits(hits: DataFrame, most: int = 3) -> DataFrame:
+    """query_id, top_hits: the best ranked hits as an ordered list of structs.
+
+    hits: query_id, rank, doc_name, page_number, basis, rerank_score, retrieval_source.
+    """
+    item = F.struct("rank", F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "basis", F.col("rerank_score").alias("score"), F.col("retrieval_source").alias("source"))
+    return hits.where(F.col("rank") <= most).groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("top_hits"))
+
+
+def write_measurements(measured: DataFrame, path: str) -> None:
+    """Raw measurements as JSON, a row a line."""
+    measured.write.mode("overwrite").json(path)
+
+
 def score_summary(measured: DataFrame) -> DataFrame:
     """kind, n, lowest, middle, highest of the top scores."""
     return measured.where("top is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("top").alias("lowest"), F.median("top").alias("middle"), F.max("top").alias("highest"))

@@ -116,6 +116,31 @@ class Store:
         return "missing" if listing.where(F.col("path").endswith(f"{doc_id}.pdf")).isEmpty() else "found"
 
 
+#: The codes of an upload that is malformed, conflicts with what is stored, or holds no text.
+BAD_REQUEST, CONFLICT, NO_TEXT, GOOD = 400, 409, 422, 200
+
+
+def validate_uploads(uploads: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adds doc_id, status, code and error to uploads (file_name, doc_name, entity, fiscal_year, content_sha256, n_pages with text).
+
+    A null or blank doc_name becomes the file's stem, null entities and years count as blank; the
+    first fault found is the one reported.
+    """
+    blank = lambda c: X.strip(F.coalesce(F.col(c), F.lit(""))) == ""
+    named = uploads.withColumn("doc_name", F.when(blank("doc_name"), X.file_stem(F.col("file_name"))).otherwise(F.col("doc_name")))
+    rows = guard(named, registry)
+    fault = lambda code, text: F.struct(F.lit(code).alias("code"), F.lit(text).alias("error"))
+    found = (
+        F.when(~F.lower(F.coalesce("file_name", F.lit(""))).endswith(".pdf"), fault(BAD_REQUEST, "not a PDF file"))
+        .when(blank("entity") | blank("fiscal_year"), fault(BAD_REQUEST, "entity and fiscal year must not be blank"))
+        .when(F.col("status") == "already_indexed", fault(CONFLICT, "indexed already"))
+        .when(F.col("status") == "conflict", fault(CONFLICT, "another content is indexed under this name"))
+        .when(F.coalesce("n_pages", F.lit(0)) == 0, fault(NO_TEXT, "no text found"))
+        .otherwise(F.struct(F.lit(GOOD).alias("code"), F.lit(None).cast("string").alias("error")))
+    )
+    return rows.withColumn("found", found).select(*rows.columns, "found.code", "found.error")
+
+
 def tally(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 

@@ -59,6 +59,20 @@ def answer(prompt: str, fallback: str, generate: Callable[[str], str] | None = N
     return fallback, "extractive"
 
 
+def streamed(open_stream: Callable[[], Iterable[str]], tries: int = 2) -> Iterator[str]:
+    """The fragments of a generator that is opened anew while it fails before its first fragment; later failures are passed on."""
+    for left in range(tries - 1, -1, -1):
+        begun = False
+        try:
+            for part in open_stream():
+                begun = True
+                yield part
+            return
+        except Exception:
+            if begun or not left:
+                raise
+
+
 def events(result: dict, parts: Iterable[str] = ()) -> Iterator[str]:
     """Frames of one finished query: meta, then abstained, or deltas and done, or error; one of the last three ends it."""
     frame = lambda kind, data: f"event: {kind}\ndata: {json.dumps(data, ensure_ascii=False)}\n\n"
@@ -66,10 +80,13 @@ def events(result: dict, parts: Iterable[str] = ()) -> Iterator[str]:
     if result.get("abstained"):
         yield frame("abstained", {"reason": result.get("abstention_reason")})
         return
+    said = []
     try:
         for part in parts:
+            said.append(part)
             yield frame("delta", {"text": part})
     except Exception as e:
-        yield frame("error", {"message": str(e)})
+        # What was said so far is kept, and marked as not whole.
+        yield frame("error", {"message": str(e), "partial": "".join(said)})
         return
     yield frame("done", {"answer_source": result.get("answer_source", "extractive")})

@@ -192,6 +192,44 @@ def test_events_and_answers():
     assert responses.answer("p", "f", lambda p: "yes") == ("yes", "generated")
 
 
+def test_streams_are_opened_again_only_before_the_first_fragment():
+    import json
+
+    opened = []
+
+    def fails_first():
+        opened.append(1)
+        if len(opened) == 1:
+            raise RuntimeError("busy")
+        yield from ("a", "b")
+
+    def fails_later():
+        opened.append(1)
+        yield "a"
+        raise RuntimeError("lost")
+
+    assert list(responses.streamed(fails_first)) == ["a", "b"] and len(opened) == 2
+    frames = list(responses.events({}, responses.streamed(fails_later)))
+    assert len(opened) == 3 and json.loads(frames[-1].split("data: ")[1]) == {"message": "lost", "partial": "a"}
+
+
+def test_uploads_and_hit_lists(spark, tmp_path):
+    from pagequarry.functions.text import doc_id, format_count
+    from pagequarry.operators import calibration
+
+    registry = spark.createDataFrame([("A", "h"), ("B", "h")], "name string, content_sha256 string").select(doc_id(F.col("name")).alias("doc_id"), "content_sha256")
+    rows = [("x/A.pdf", None, "E", "F", "h", 1), ("B.PDF", "B", "E", "F", "other", 1), ("c.txt", "C", "E", "F", "h", 1), ("d.pdf", "D", " ", "F", "h", 1), ("e.pdf", "E", "E", "F", "h", 0), ("f.pdf", None, "E", "F", "h", 3), (None, None, None, None, None, None)]
+    up = spark.createDataFrame(rows, "file_name string, doc_name string, entity string, fiscal_year string, content_sha256 string, n_pages int")
+    got = {r.file_name: (r.code, r.doc_name) for r in ingest.validate_uploads(up, registry).collect()}
+    assert got == {"x/A.pdf": (409, "A"), "B.PDF": (409, "B"), "c.txt": (400, "C"), "d.pdf": (400, "D"), "e.pdf": (422, "E"), "f.pdf": (200, "f"), None: (400, None)}
+    hits = spark.createDataFrame([(1, k, "d", k, None, 1.0 / k, "bm25") for k in range(1, 6)], "query_id long, rank int, doc_name string, page_number int, basis string, rerank_score double, retrieval_source string")
+    found = calibration.top_hits(hits)
+    assert [h.page for h in found.first().top_hits] == [1, 2, 3]
+    calibration.write_measurements(found, f"file://{tmp_path}/m")
+    assert spark.read.json(f"file://{tmp_path}/m").count() == 1
+    assert spark.range(1).select(format_count(F.lit(1234567)).alias("x")).first().x == "12,34,567"
+
+
 def test_streaming_ingest(spark, tmp_path):
     import json
 
