@@ -276,12 +276,14 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-#: Names found in the text by whole words; one within a longer one does not count, nor does a suffixed name that holds a known one.
+#: Names found in the text by whole words (both with their words' ends marked, as a pattern made anew for each pair takes minutes); one within a longer one does not count, nor does a suffixed name that holds a known one.
 _MENTIONED = rf"""
 WITH q AS (SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') || ' what was the revenue of ' || [{", ".join(map(_quoted, _COMPANIES))}][(conv_id + turn) % {len(_COMPANIES)} + 1] || '?' AS question FROM conversations),
 t AS (SELECT query_id, question, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS text FROM q),
 k(key, display) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in (names.KNOWN | names.ALIASES).items())}),
-hit AS (SELECT query_id, key, display FROM t JOIN k ON contains(text, key) AND regexp_matches(text, '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')),
+mt AS (SELECT query_id, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g') AS marked FROM t),
+mk AS (SELECT key, display, regexp_replace(key, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g') AS marked FROM k),
+hit AS (SELECT query_id, key, display FROM mt JOIN mk ON contains(mt.marked, mk.marked)),
 known AS (SELECT * FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit g WHERE g.query_id = h.query_id AND g.key <> h.key AND contains(g.key, h.key))),
 raw AS (SELECT query_id, unnest(regexp_extract_all(question, {_quoted(entities.SUFFIXED.removeprefix("(?U)"))}, 1)) AS name FROM q),
 other AS (SELECT query_id, name AS display FROM raw r WHERE NOT EXISTS (SELECT 1 FROM known h WHERE h.query_id = r.query_id AND (contains(lower(r.name), h.key) OR contains(h.key, lower(r.name))))),
