@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
 
@@ -23,51 +26,71 @@ def cosine(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(normalised(a), normalised(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _blocks(rows: DataFrame, ident: str, size: int, *extra: str) -> DataFrame:
-    """Rows gathered in blocks of about ``size``."""
-    count = rows.count()
-    n = max(1, -(-count // size))
-    item = F.struct(F.col(ident).alias("id"), F.col("vec").alias("vec"), *extra)
-    return rows.withColumn("__b", F.pmod(F.xxhash64(ident), F.lit(n))).groupBy("__b").agg(F.collect_list(item).alias("rows"))
+def _blocks(rows: DataFrame, ident: str, size: int) -> DataFrame:
+    """Rows (ident, seq, vec, doc_name, fiscal_year) in blocks of at most ``size``, made where the rows are: nothing is shuffled.
+
+    A block has its vectors as one run of doubles.  Null vectors are left out.
+    """
+    kind = dict(rows.dtypes)[ident]
+    schema = f"ids array<{kind}>, seqs array<bigint>, vecs binary, docs array<string>, years array<string>"
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                ids, seqs, vecs, docs, years = batch.slice(at, size).columns
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, seqs, docs, years)]
+                run = pa.array([vecs.flatten().to_numpy(zero_copy_only=False).tobytes()], pa.binary())
+                yield pa.RecordBatch.from_arrays([lists[0], lists[1], run, lists[2], lists[3]], names=["ids", "seqs", "vecs", "docs", "years"])
+
+    seq = F.col("seq").cast("bigint") if "seq" in rows.columns else F.lit(0).cast("bigint")
+    return rows.where("vec is not null").select(ident, seq.alias("seq"), normalised(F.col("vec")).alias("vec"), F.col("doc_name").cast("string"), F.col("fiscal_year").cast("string")).mapInArrow(pack, schema)
 
 
 def vector_search(queries: DataFrame, rows: DataFrame, settings: Settings = DEFAULTS, top_k: int | None = None, overfetch: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, vector_score, vector_rank).
+    """(query_id, chunk_id, seq, vector_score, vector_rank).
 
     queries: query_id, vec, doc_name, fiscal_year (may be null); rows: chunk_id, seq, vec, doc_name,
     fiscal_year.  The filters are applied before the cut; with ``overfetch`` after a cut at so many
     times ``top_k``, which may leave fewer.  Blocks of queries meet blocks of rows, so a task holds
-    one of each, and only the best of a block go on.
+    one of each at a time, and only the best of a block go on.  A query or row without a vector finds
+    nothing and is not found; all vectors have one length.
     """
     k = top_k or settings.vector_top_k
     cut = k * overfetch if overfetch else k
-    q = _blocks(queries.withColumn("vec", normalised(F.col("vec"))), "query_id", QUERY_BLOCK, "doc_name", "fiscal_year").select(F.col("rows").alias("q"))
-    c = _blocks(rows.withColumn("vec", normalised(F.col("vec"))), "chunk_id", ROW_BLOCK, "seq", "doc_name", "fiscal_year").select(F.col("rows").alias("c"))
+    # The queries' blocks are gathered by their measured size, so the rows are read once for each of few partitions of them.
+    q = _blocks(queries.select("query_id", "vec", "doc_name", "fiscal_year"), "query_id", QUERY_BLOCK).hint("rebalance")
+    c = _blocks(rows, "chunk_id", ROW_BLOCK)
     kind = dict(rows.dtypes)["chunk_id"]
-    arrow = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
+    pairs = q.select(*(F.col(x).alias(f"q_{x}") for x in ("ids", "vecs", "docs", "years"))).crossJoin(c)
+    names = ["query_id", "chunk_id", "seq", "vector_score", "doc_name", "fiscal_year", "want_doc", "want_year"]
 
     def match(batches):
         for batch in batches:
-            for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = np.array([x["vec"] for x in left]), np.array([x["vec"] for x in right])
-                scores = a @ b.T
-                seq = np.array([x["seq"] for x in right])
-                out = []
-                for i, x in enumerate(left):
-                    keep = np.ones(len(right), bool)
+            for asked, q_vecs, want_docs, want_years, ids, seqs, vecs, docs, years in zip(*(batch.column(x) for x in ("q_ids", "q_vecs", "q_docs", "q_years", "ids", "seqs", "vecs", "docs", "years"))):
+                a = np.frombuffer(q_vecs.as_buffer(), np.float64).reshape(len(asked), -1)
+                b = np.frombuffer(vecs.as_buffer(), np.float64).reshape(len(ids), -1)
+                scores, seq = a @ b.T, seqs.values.to_numpy()
+                near = np.round(scores, 9)
+                wants = [(want_docs.values.to_pylist(), docs.values), (want_years.values.to_pylist(), years.values)]
+                of, at = [], []
+                for i in range(len(a)):
+                    open_to = np.arange(len(b))
                     if not overfetch:
-                        for f in ("doc_name", "fiscal_year"):
-                            if x[f]:
-                                keep &= np.array([y[f] == x[f] for y in right])
-                    at = np.flatnonzero(keep)
-                    best = at[np.lexsort((seq[at], -np.round(scores[i, at], 9)))[:cut]]
-                    out += [(x["id"], right[j]["id"], int(seq[j]), float(scores[i, j]), right[j]["doc_name"], right[j]["fiscal_year"], x["doc_name"], x["fiscal_year"]) for j in best]
-                columns = list(zip(*out)) or [()] * 8
-                kinds = [pa.int64(), arrow[kind], pa.int64(), pa.float64(), *[pa.string()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=["query_id", "chunk_id", "seq", "vector_score", "doc_name", "fiscal_year", "want_doc", "want_year"])
+                        for want, have in wants:
+                            if want[i]:
+                                open_to = open_to[pc.fill_null(pc.equal(have.take(pa.array(open_to)), want[i]), False).to_numpy(zero_copy_only=False)]
+                    if len(open_to) > cut:  # all that reach the last place
+                        open_to = open_to[near[i, open_to] >= np.partition(near[i, open_to], -cut)[-cut]]
+                    best = open_to[np.lexsort((seq[open_to], -near[i, open_to]))[:cut]]
+                    of.append(np.full(len(best), i))
+                    at.append(best)
+                of, at = np.concatenate(of), np.concatenate(at)
+                left, right = pa.array(of), pa.array(at)
+                found = [asked.values.take(left), ids.values.take(right), pa.array(seq[at]), pa.array(scores[of, at]), docs.values.take(right), years.values.take(right), want_docs.values.take(left), want_years.values.take(left)]
+                yield pa.RecordBatch.from_arrays(found, names=names)
 
     # A few hundred rows of blocks, not of vectors.
-    found = q.crossJoin(c).mapInArrow(match, f"query_id long, chunk_id {kind}, seq long, vector_score double, doc_name string, fiscal_year string, want_doc string, want_year string")
+    found = pairs.mapInArrow(match, f"query_id {dict(queries.dtypes)['query_id']}, chunk_id {kind}, seq long, vector_score double, doc_name string, fiscal_year string, want_doc string, want_year string")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("vector_score", 9)), "seq")
     ranked = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= cut)
     if overfetch:
@@ -78,8 +101,20 @@ def vector_search(queries: DataFrame, rows: DataFrame, settings: Settings = DEFA
 
 
 def hashed_embedding(text: Column, dim: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed tokens."""
+    """A deterministic stand-in for an embedding model: signed counts of hashed tokens, made in one pass over them.
+
+    Null texts have a null vector, texts without tokens the zero vector.
+    """
     from ..functions.text import tokens
 
-    h = F.transform(tokens(text), lambda t: F.xxhash64(t))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(h, F.lit(0.0), lambda a, x: a + F.when(F.pmod(x, F.lit(dim)) == i, F.when(x < 0, -1.0).otherwise(1.0)).otherwise(0.0)).cast("float"))
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def counted(hashes: pd.Series) -> pd.Series:
+        def one(h):
+            if h is None:
+                return None
+            h = np.asarray(h, np.int64)
+            return np.bincount(h % dim, weights=np.where(h < 0, -1.0, 1.0), minlength=dim).astype(np.float32)
+
+        return hashes.map(one)
+
+    return counted(F.transform(tokens(text), lambda t: F.xxhash64(t)))
