@@ -129,11 +129,11 @@ def group_indian(number: Column) -> Column:
 
 
 def format_inr(value: Column, decimals: int = 0) -> Column:
-    """Indian grouping with so many decimals; unknown values are a dash, never 0."""
-    fixed = F.bround(value.cast("decimal(38,10)"), decimals).cast(f"decimal(38,{decimals})").cast("string")
+    """Indian grouping with so many decimals, halves rounded away from 0; unknown and infinite values are a dash, never 0."""
+    fixed = F.round(value.try_cast("decimal(38,10)"), decimals).cast(f"decimal(38,{decimals})").cast("string")
     whole = group_indian(F.split(fixed, r"\.")[0])
     text = F.concat(whole, F.lit("."), F.split(fixed, r"\.")[1]) if decimals else whole
-    return F.when(value.isNull() | F.isnan(value.cast("double")), F.lit("—")).otherwise(text)
+    return F.coalesce(text, F.lit("—"))
 
 
 def format_count(value: Column) -> Column:
@@ -175,6 +175,20 @@ def page_label(c: Column) -> Column:
     return F.when(c.isNull(), "p.?").otherwise(F.format_string("p.%03d", c.cast("int")))
 
 
+def provenance_chip(doc_id: Column, doc_name: Column, entity: Column, year: Column, basis: Column, page: Column) -> Column:
+    """(can_open, entity, fiscal_year, basis, page, title, label) of a cited source; unknown parts have a placeholder.
+
+    A source whose document has no stored file (a null or empty doc_id) cannot be opened.
+    """
+    short, number = basis_label(basis, short=True), F.coalesce(page.cast("string"), F.lit("?"))
+    known = lambda c, other: F.when(F.coalesce(c, F.lit("")) == "", F.lit(other)).otherwise(c)
+    can_open, name = F.coalesce(doc_id, F.lit("")) != "", F.coalesce(doc_name, F.lit("?"))
+    title = F.when(can_open, F.concat(F.lit("Open "), name, F.lit(" at page "), number)).otherwise(F.concat(F.lit("No stored PDF for "), name))
+    said = F.concat_ws(", ", known(entity, "Unknown entity"), known(year, "unknown fiscal year"), F.lower(short), F.concat(F.lit("page "), number))
+    label = F.concat(F.when(can_open, "Open source: ").otherwise("Source (no PDF available): "), said)
+    return F.struct(can_open.alias("can_open"), known(entity, "Entity ?").alias("entity"), known(year, "FY ?").alias("fiscal_year"), short.alias("basis"), F.concat(F.lit("p."), number).alias("page"), title.alias("title"), label.alias("label"))
+
+
 def source_label(i: Column, entity: Column, year: Column, basis: Column, page: Column, section: Column) -> Column:
     parts = F.concat_ws(
         " | ", F.coalesce(_nonempty(entity), F.lit("Entity not recorded")), F.coalesce(_nonempty(year), F.lit("Fiscal year not recorded")), basis_label(basis), F.concat(F.lit("Page "), page.cast("string"))

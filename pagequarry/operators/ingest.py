@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,6 +147,29 @@ def tally(status: DataFrame) -> DataFrame:
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+def store_files(files: DataFrame, folder: str) -> int:
+    """Write each document's file (doc_name, content) to ``<folder>/<doc_id>.pdf`` and return how many were written.
+
+    The executors write, each file under a name of its own that is then changed, so no reader sees a
+    part of one and a task that is run again writes the same.  The folder is a URI or a path that all
+    executors share.  Null contents are left out; of rows with one name one is written.
+    """
+
+    def write(batches):
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(held) as out:
+                    out.write(content.as_buffer())
+                fs.move(held, f"{root}/{name}.pdf")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = files.where("content is not null").select(X.doc_id(F.col("doc_name")).alias("doc_id"), "content").dropDuplicates(["doc_id"])
+    return rows.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+
+
 class MissingFiles(RuntimeError):
     """Files that a manifest names are not there."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 import json
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,6 +48,17 @@ def prompts(queries: DataFrame, ranked: DataFrame) -> DataFrame:
     return queries.join(blocks, "query_id").select("query_id", F.concat(F.lit(PROMPT + "\n\n"), F.array_join("blocks", "\n\n---\n\n"), F.lit("\n\nQuestion: "), "question").alias("prompt"))
 
 
+def generator_available(module: str, key: str | None) -> tuple[bool, str | None]:
+    """Whether a generator could be asked, and why not; nothing is sent or imported."""
+    if not (key or "").strip():
+        return False, "no key is set"
+    try:
+        there = importlib.util.find_spec(module) is not None
+    except (ImportError, ValueError):  # a parent package is missing, or the name is none
+        there = False
+    return (True, None) if there else (False, f"{module} is not installed")
+
+
 def answer(prompt: str, fallback: str, generate: Callable[[str], str] | None = None) -> tuple[str, str]:
     """(text, source): generated, or extractive if there is no generator, it fails, or it says nothing."""
     if generate is not None:

@@ -372,6 +372,30 @@ def page_labels(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("page_number"), X.page_label(F.col("s_suppkey")).alias("label"))
 
 
+@query(
+    """WITH c AS (SELECT doc_id, source, lang, CASE doc_id % 3 WHEN 0 THEN 'standalone' WHEN 1 THEN 'consolidated' END AS basis, (doc_id % 400)::VARCHAR AS page, doc_id % 4 <> 0 AS stored FROM documents),
+b AS (SELECT *, CASE basis WHEN 'standalone' THEN 'Standalone' WHEN 'consolidated' THEN 'Consolidated' ELSE 'Basis unknown' END AS short FROM c)
+SELECT doc_id, stored AS can_open, CASE WHEN coalesce(source, '') = '' THEN 'Entity ?' ELSE source END AS entity, CASE WHEN coalesce(lang, '') = '' THEN 'FY ?' ELSE lang END AS fiscal_year, short AS basis, 'p.' || page AS page,
+  CASE WHEN stored THEN 'Open ' || coalesce(source, '?') || ' at page ' || page ELSE 'No stored PDF for ' || coalesce(source, '?') END AS title,
+  CASE WHEN stored THEN 'Open source: ' ELSE 'Source (no PDF available): ' END || CASE WHEN coalesce(source, '') = '' THEN 'Unknown entity' ELSE source END || ', ' || CASE WHEN coalesce(lang, '') = '' THEN 'unknown fiscal year' ELSE lang END || ', ' || lower(short) || ', page ' || page AS label FROM b"""
+)
+def provenance_chips(spark, sf_dir):
+    stored = F.when(F.col("doc_id") % 4 != 0, X.doc_id(F.col("source")))
+    kind = F.when(F.col("doc_id") % 3 == 0, "standalone").when(F.col("doc_id") % 3 == 1, "consolidated")
+    return table(spark, sf_dir, "documents").select("doc_id", X.provenance_chip(stored, F.col("source"), F.col("source"), F.col("lang"), kind, F.col("doc_id") % 400).alias("chip")).select("doc_id", "chip.*")
+
+
+@query(
+    r"""WITH t AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders),
+g AS (SELECT o_orderkey, cents, (cents // 100)::VARCHAR AS s, (CASE WHEN cents % 100 >= 50 THEN cents // 100 + 1 ELSE cents // 100 END)::VARCHAR AS w FROM t)
+SELECT o_orderkey, CASE WHEN length(s) <= 3 THEN s ELSE regexp_replace(reverse(regexp_replace(reverse(substr(s, 1, length(s) - 3)), '(\d\d)', '\1,', 'g')), '^,', '') || ',' || right(s, 3) END || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS amount,
+  CASE WHEN length(w) <= 3 THEN w ELSE regexp_replace(reverse(regexp_replace(reverse(substr(w, 1, length(w) - 3)), '(\d\d)', '\1,', 'g')), '^,', '') || ',' || right(w, 3) END AS whole FROM g"""
+)
+def formatted_amounts(spark, sf_dir):
+    price = F.col("o_totalprice")
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.format_inr(price, 2).alias("amount"), X.format_count(price).alias("whole"))
+
+
 # -- citations and calibration --------------------------------------------------------------------
 
 

@@ -1,5 +1,8 @@
+import hashlib
 import random
 import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,3 +288,43 @@ def test_mentions_against_brute_force(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i long, q string")
     got = {x.i: x.m for x in df.select("i", entities.mentions(df.q).alias("m")).collect()}
     assert [got[i] for i in range(len(texts))] == [expected(t) for t in texts]
+
+
+def test_files_are_stored_by_document(spark, tmp_path):
+    rows = [("Report A", b"one"), ("Report A", b"one"), ("B", b"\x00two"), ("C", None)]
+    files = spark.createDataFrame(rows, "doc_name string, content binary")
+    ident = lambda name: hashlib.sha256(name.encode()).hexdigest()[:16]
+    for _ in range(2):  # again, as after a failure
+        assert ingest.store_files(files, f"file://{tmp_path}/kept") == 2
+        assert {p.name: p.read_bytes() for p in (tmp_path / "kept").iterdir()} == {f"{ident('Report A')}.pdf": b"one", f"{ident('B')}.pdf": b"\x00two"}
+    assert ingest.store_files(files.where("false"), str(tmp_path / "none")) == 0
+
+
+def test_generator_availability():
+    assert responses.generator_available("json", "k") == (True, None)
+    assert not responses.generator_available("json", " ")[0] and not responses.generator_available("json", None)[0]
+    assert not responses.generator_available("no_such_module_here", "k")[0] and not responses.generator_available("no_such_parent.child", "k")[0]
+
+
+def test_vector_search_beside_brute_force(spark):
+    r = np.random.default_rng(4)
+    vecs = np.round(r.normal(size=(300, 4)), 1).astype(np.float32)  # with ties
+    rows = spark.createDataFrame([(i, i, [float(x) for x in v], f"d{i % 3}", None if i % 5 else "y") for i, v in enumerate(vecs)] + [(900, 900, None, "d0", "y")], "chunk_id long, seq long, vec array<float>, doc_name string, fiscal_year string").repartition(5)
+    asked = [(0, [1.0, 0.0, 0.5, 0.0], None, ""), (1, [0.0, -1.0, 0.0, 0.0], "d1", "y"), (2, None, None, None), (3, [1.0, 1.0, 1.0, 1.0], "none", None)]
+    q = spark.createDataFrame(asked, "query_id long, vec array<float>, doc_name string, fiscal_year string")
+    got = {}
+    for x in vectors.vector_search(q, rows, top_k=7).orderBy("query_id", "vector_rank").collect():
+        got.setdefault(x.query_id, []).append((x.chunk_id, x.vector_rank))
+    unit = vecs.astype(float) / np.maximum(np.linalg.norm(vecs.astype(float), axis=1, keepdims=True), 1e-300)
+    for i, v, doc, year in asked[:2]:
+        s = np.round(unit @ (np.array(v) / np.linalg.norm(v)), 9)
+        open_to = [j for j in range(300) if (not doc or doc == f"d{j % 3}") and (not year or j % 5 == 0)]
+        assert got[i] == [(j, k + 1) for k, j in enumerate(sorted(open_to, key=lambda j: (-s[j], j))[:7])]
+    assert set(got) == {0, 1}
+
+
+def test_hashed_embedding_counts_each_token(spark):
+    e = vectors.hashed_embedding(F.col("t"), 8)
+    a, b, none, null = (x.v for x in spark.createDataFrame([("x y x",), ("x",), ("..",), (None,)], "t string").select(e.alias("v")).collect())
+    y = spark.createDataFrame([("y",)], "t string").select(e.alias("v")).first().v
+    assert null is None and none == [0.0] * 8 and sum(map(abs, b)) == 1 and a == [2 * p + q for p, q in zip(b, y)]

@@ -32,6 +32,7 @@ def test_grouping(spark):
     prose = ["162,990", "1,234,567.89", "1,62,990", "16299000", "March 31, 2025", "FY2024-25", "[Page 276]", "Note 2.18", "a 1,000 b 2,345,678 c"]
     assert column(spark, prose, X.regroup_prose) == ["1,62,990", "12,34,567.89", "1,62,990", "16299000", "March 31, 2025", "FY2024-25", "[Page 276]", "Note 2.18", "a 1,000 b 23,45,678 c"]
     assert column(spark, [225712.0, None, float("nan")], X.format_inr, "double") == ["2,25,712", "—", "—"]
+    assert column(spark, [2.5, -2.5, 0.4, float("inf")], X.format_inr, "double") == ["3", "-3", "0", "—"]
     assert column(spark, [7, 45, 1234, None], X.page_label, "int") == ["p.007", "p.045", "p.1234", "p.?"]
 
 
@@ -69,3 +70,11 @@ def test_one_decimal_is_printf(spark, seed):
 
 def test_html(spark):
     assert column(spark, ["<a & 'b'>\"", None], X.escape_html) == ["&lt;a &amp; &#39;b&#39;&gt;&quot;", ""]
+
+
+def test_chip_of_a_source(spark):
+    rows = [("d1", "Report", "Acme", "FY2024", "standalone", 7), (None, "Report", None, "", None, 7)]
+    d = spark.createDataFrame(rows, "d string, n string, e string, y string, b string, p int")
+    whole, inert = (tuple(r.chip) for r in d.select(X.provenance_chip(*map(F.col, "dneybp")).alias("chip")).collect())
+    assert whole == (True, "Acme", "FY2024", "Standalone", "p.7", "Open Report at page 7", "Open source: Acme, FY2024, standalone, page 7")
+    assert inert == (False, "Entity ?", "FY ?", "Basis unknown", "p.7", "No stored PDF for Report", "Source (no PDF available): Unknown entity, unknown fiscal year, basis unknown, page 7")
