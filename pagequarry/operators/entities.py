@@ -85,8 +85,9 @@ def foreign_entities(questions: DataFrame, indexed: DataFrame) -> DataFrame:
     keys = F.array_distinct(F.array_compact(F.array(F.lower("canonical"), F.col("mention"), without_suffix(F.col("mention")))))
     have = indexed.where("entity <> ''").select(normal_name(F.col("entity")).alias("k"), F.col("entity"))
     have = with_canonical(have, "entity").select(F.explode(F.array_compact(F.array("k", F.lower("canonical")))).alias("k")).distinct()
-    known = each.select("query_id", "place", F.explode(keys).alias("k")).join(have, "k", "left_semi").select("query_id", "place").distinct()
-    left = each.join(known, ["query_id", "place"], "left_anti").groupBy("query_id", "display").agg(F.min("place").alias("place"))
+    # One pass over the texts: each mention's keys meet the index, and a mention with any of them there is left out.
+    met = each.select("query_id", "place", "display", F.explode(keys).alias("k")).join(have.withColumn("there", F.lit(True)), "k", "left")
+    left = met.groupBy("query_id", "place", "display").agg(F.max("there").alias("there")).where("there is null").groupBy("query_id", "display").agg(F.min("place").alias("place"))
     return left.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "display"))), lambda x: x["display"]).alias("names"))
 
 
