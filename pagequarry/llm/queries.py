@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import attention_lm, chat, mixing, toxicity
+from . import attention_lm, chat, mixing, periodic_runs, toxicity
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .near_join import near_join
@@ -64,6 +64,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op11_harmonic_runs(spark, sf_dir):
+    planted = periodic_runs.with_planted_runs(read_table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.find_runs(planted))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_contextual_pii": op2_contextual_pii,
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_attention_scores": op8_attention_scores,
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
+    "op11_harmonic_runs": op11_harmonic_runs,
 }
 
 ORACLE_SQL = {
