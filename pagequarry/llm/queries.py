@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import attention_lm, chat, mixing, periodic_runs, toxicity
+from . import attention_lm, chat, mixing, packing, periodic_runs, toxicity
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .near_join import near_join
@@ -69,6 +69,13 @@ def op11_harmonic_runs(spark, sf_dir):
     return periodic_runs.digest(periodic_runs.find_runs(planted))
 
 
+def op13_cost_packing(spark, sf_dir):
+    import public_tokenizers
+
+    pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op2_contextual_pii": op2_contextual_pii,
@@ -81,6 +88,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
     "op11_harmonic_runs": op11_harmonic_runs,
+    "op13_cost_packing": op13_cost_packing,
 }
 
 ORACLE_SQL = {
