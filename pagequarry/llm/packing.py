@@ -90,8 +90,8 @@ def balance(lengths: list[int], room: int, width: int = 1024) -> tuple[list[tupl
 class _Packer:
     """Packs the documents of one task, group by group."""
 
-    def __init__(self, room: int, width: int, first_sequence: int):
-        self.room, self.width, self.sequence = room, width, first_sequence
+    def __init__(self, room: int, width: int, first_sequence: int, group_tokens: int):
+        self.room, self.width, self.sequence, self.group_tokens = room, width, first_sequence, group_tokens
         self.pieces: list[tuple] = []  # (doc_id, start, ids, tokens of the document), shorter than a sequence
         self.tokens = 0
         self.out: list[tuple] = []  # the result's rows
@@ -109,7 +109,7 @@ class _Packer:
         if whole < tokens:
             self.pieces.append((doc_id, whole, ids[4 * whole :], tokens))
             self.tokens += tokens - whole
-        if self.tokens >= GROUP_TOKENS:
+        if self.tokens >= self.group_tokens:
             self.pack()
 
     def pack(self) -> None:
@@ -154,17 +154,18 @@ class _Packer:
             at = end
 
 
-def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 2048, width: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length: int = 2048, width: int = 1024, group_tokens: int = GROUP_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian unsigned 32-bit integers).
 
-    A document is its tokenizer's ids and ``end_id``; ``length``, a power of two, is that of a full sequence.
+    A document is its tokenizer's ids and ``end_id``; ``length``, a power of two, is that of a full sequence;
+    about ``group_tokens`` are held and packed together.
     """
     if length < 1 or length & (length - 1):
         raise ValueError("the length of a sequence must be a power of two")
     end = struct.pack("<I", end_id)
 
     def run(batches):
-        packer = _Packer(length, width, TaskContext.get().partitionId() << 33)
+        packer = _Packer(length, width, TaskContext.get().partitionId() << 33, group_tokens)
         bpe = word_bpe(tokenizer_file)
         for batch in batches:
             for part in groups(batch, 1):

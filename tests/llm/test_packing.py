@@ -131,13 +131,12 @@ def check(pieces, rows, room):
 
 
 @pytest.mark.parametrize("group", [packing.GROUP_TOKENS, 300])
-def test_pieces_of_documents(spark, monkeypatch, group):
-    monkeypatch.setattr(packing, "GROUP_TOKENS", group)
+def test_pieces_of_documents(spark, group):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["the", "of", "xyzzy", "é.", "9"]) for _ in range(r.choice([0, 3, 40, 700])))) for i in range(80)]
     rows += [(100, None), (101, ""), (None, "null id"), (102, "same"), (102, "same"), (103, "long " * 50_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("ids", "start", "length", "sequence_id")}).repartition(3)
-    pieces = packing.pack_documents(docs, FILE, length=256).cache()
+    pieces = packing.pack_documents(docs, FILE, length=256, group_tokens=group).cache()
     found = pieces.collect()
     sizes = check(found, rows, 256)
     assert all(n & (n - 1) == 0 for n in sizes) and sum(n < 256 for n in sizes) <= 3 * 8
