@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import attention_lm, chat, mixing, packing, periodic_runs, toxicity
+from . import attention_lm, chat, lexical_index, mixing, packing, periodic_runs, toxicity
 from .common import read_table
 from .exact_dedup import exact_dedup
 from .near_join import near_join
@@ -69,6 +69,11 @@ def op11_harmonic_runs(spark, sf_dir):
     return periodic_runs.digest(periodic_runs.find_runs(planted))
 
 
+def op12_quantised_search(spark, sf_dir):
+    index = lexical_index.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical_index.search(read_table(spark, sf_dir, "benchmark"), index)
+
+
 def op13_cost_packing(spark, sf_dir):
     import public_tokenizers
 
@@ -88,12 +93,14 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_toxicity": op10_toxicity,
     "op11_harmonic_runs": op11_harmonic_runs,
+    "op12_quantised_search": op12_quantised_search,
     "op13_cost_packing": op13_cost_packing,
 }
 
 ORACLE_SQL = {
     "op1_source_mixing": mixing.SQL,
     "op7_perspective_rotation": chat.SQL,
+    "op12_quantised_search": lexical_index.SQL,
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
