@@ -1,38 +1,233 @@
-"""Keyword search: BM25+ over postings kept as tables."""
+"""Keyword search: BM25+ over blocks of postings with stored bounds, most of which a search passes over.
+
+A chunk's score is the sum over a question's words of w * (delta + part), where part grows with the
+word's count tf in the chunk and falls with the chunk's length dl.  Chunks that stand together (by
+document and order) are a shard; a word's postings in a shard are a block.  A block's largest tf and
+least dl / tf bound the part of all its postings, whatever the mean length has become since.  A search goes
+
+1. for each question to the shard with the highest sum of its words' bounds; the k-th score there is a
+   floor under the result;
+2. to the other shards whose sum reaches the floor, and to no others;
+3. within a shard through a question's words by falling bound, so rarest first.  As soon as the bounds of the words
+   left are under the k-th sum so far, only chunks that can still come in are looked up in their blocks.
+
+Floors are lowered by ``SLACK``, so rounding cannot lose a tie.  Postings never are rows of a plan.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULTS, Settings
 from ..functions.text import tokens
+from .scratch import keep
+
+#: Chunks of a shard, and partitions that the shards of a segment are made in at most.
+SHARD, PARTITIONS = 4096, 2000
+#: Questions that are asked together.
+QUESTIONS = 256
+#: An index of no more shards is searched at once, without a floor from each question's best shard.
+AT_ONCE = 32
+SLACK = 1e-6
+_PLACE = ["seg", "shard"]
 
 
 @dataclass
 class KeywordIndex:
-    """postings (chunk_id, term, tf, dl), df (term, df), stats (n, avgdl; one row), chunks (chunk_id, seq and filter columns)."""
+    """What a search reads.
+
+    chunks: seg, shard, place (in the shard), chunk_id, seq, the filter columns and what else chunks have, dl, tfs (each term's count);
+    shards: seg, shard, members (chunk_id, seq, dl, doc_name, fiscal_year; by place);
+    blocks: seg, shard, term, n, max_tf, min_ratio, postings (place, tf; by place);
+    df: term, df; stats: n, avgdl, in one row; gone: seg, shard, places that are deleted (None: nothing is).
+    """
 
-    postings: DataFrame
+    chunks: DataFrame
+    shards: DataFrame
+    blocks: DataFrame
     df: DataFrame
     stats: DataFrame
-    chunks: DataFrame
+    gone: DataFrame | None = None
+
+    def live(self) -> DataFrame:
+        """The chunks that are not deleted."""
+        if self.gone is None:
+            return self.chunks
+        return self.chunks.join(self.gone.select(*_PLACE, F.explode("places").alias("place")), [*_PLACE, "place"], "left_anti")
+
+
+def count_terms(chunks: DataFrame, text: str = "indexed_text", seg: int = 0) -> DataFrame:
+    """The chunks without their texts, with seg, dl (tokens) and tfs (the count of each); null texts have none."""
+    kept = [f for f in chunks.schema.fields if f.name not in {text, "text", "indexed_text"}]
+    names = [f.name for f in kept] + ["dl", "tfs"]
+    schema = T.StructType([*kept, T.StructField("dl", T.IntegerType()), T.StructField("tfs", T.MapType(T.StringType(), T.IntegerType()))])
+
+    def count(batches):
+        for batch in batches:
+            found = [Counter(t.split(" ")) if t else {} for t in batch.column(batch.num_columns - 1).to_pylist()]
+            offsets = [0]
+            for c in found:
+                offsets.append(offsets[-1] + len(c))
+            tfs = pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array([t for c in found for t in c], pa.string()), pa.array([n for c in found for n in c.values()], pa.int32()))
+            dl = pa.array([sum(c.values()) for c in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], dl, tfs], names=names)
+
+    listed = chunks.select(*(F.col(f"`{f.name}`") for f in kept), F.array_join(tokens(F.col(text)), " ").alias("__tokens"))
+    return listed.mapInArrow(count, schema).withColumn("seg", F.lit(seg).cast("long"))
+
+
+def in_shards(counted: DataFrame, n_chunks: int) -> DataFrame:
+    """Adds shard and place: chunks of one document and neighbours in order are together."""
+    order = [F.col(c) for c in ("doc_name", "seq", "chunk_id")]
+    parts = min(PARTITIONS, -(-max(1, n_chunks) // SHARD))
+    row = F.monotonically_increasing_id()
+    placed = counted.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__row", row)
+    at = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
+    shard = F.shiftright("__row", 33) * (1 << 24) + F.floor(at / SHARD)
+    return placed.withColumns({"shard": shard.cast("long"), "place": (at % SHARD).cast("int")}).drop("__row")
+
+
+def make_shards(chunks: DataFrame) -> DataFrame:
+    """A row for each shard, of ``SHARD`` chunks at most."""
+    member = F.struct("place", "chunk_id", "seq", "dl", F.col("doc_name").cast("string").alias("doc_name"), F.col("fiscal_year").cast("string").alias("fiscal_year"))
+    return chunks.groupBy(*_PLACE).agg(F.array_sort(F.collect_list(member)).alias("members"))
+
+
+def make_blocks(chunks: DataFrame) -> DataFrame:
+    """A word's postings in a shard, with what bounds their scores."""
+    each = chunks.select(*_PLACE, "place", "dl", F.explode("tfs").alias("term", "tf"))
+    posting = F.array_sort(F.collect_list(F.struct("place", "tf")))
+    return each.groupBy(*_PLACE, "term").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("min_ratio"), posting.alias("postings"))
+
+
+def frequencies(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"))
+
+
+def lengths(counted: DataFrame) -> DataFrame:
+    """(n, total): chunks and their tokens, in one row."""
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("total"))
+
+
+def mean_length(lengths: DataFrame) -> DataFrame:
+    """(n, avgdl) of rows (n, total)."""
+    s = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("total").alias("total"))
+    return s.select("n", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("avgdl"))
 
 
 def build_index(chunks: DataFrame, text: str = "indexed_text") -> KeywordIndex:
-    """From chunks (chunk_id, seq, text, doc_name, fiscal_year)."""
-    listed = chunks.select("chunk_id", tokens(F.col(text)).alias("all")).withColumn("dl", F.size("all"))
-    postings = listed.select("chunk_id", "dl", F.explode("all").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = listed.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    return KeywordIndex(postings, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), stats, chunks.select("chunk_id", "seq", "doc_name", "fiscal_year"))
+    """An index that is not kept, from chunks (chunk_id, seq, text, doc_name, fiscal_year)."""
+    counted = keep(count_terms(chunks, text), "counted")
+    placed = keep(in_shards(counted, counted.count()), "chunks")
+    blocks = keep(make_blocks(placed), "blocks")
+    return KeywordIndex(placed, make_shards(placed), blocks, frequencies(blocks), mean_length(lengths(placed)))
+
+
+def weigh(queries: DataFrame, index: KeywordIndex) -> DataFrame:
+    """(query_id, term, w, avgdl) of the questions' words that the index has."""
+    terms = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    # The one row of corpus statistics.
+    return terms.join(index.df, "term").crossJoin(index.stats).select("query_id", "term", "avgdl", (F.col("qtf") * F.log((F.col("n") + 1) / F.col("df"))).alias("w"))
+
+
+def _bound(s: Settings) -> Column:
+    """Of the parts of a block's postings: part grows with tf and falls with dl / tf."""
+    return F.col("w") * (s.k1 + 1) / (s.k1 * (1 - s.b) / F.col("max_tf") + s.k1 * s.b * F.col("min_ratio") / F.col("avgdl") + 1)
+
+
+def best_of_shard(words: list[tuple[float, float, np.ndarray, np.ndarray]], norm: np.ndarray, open_to: np.ndarray, floor: float, k: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places, parts) of the k best open chunks and all that equal the last of them, with parts of at least the floor.
 
+    words: (bound, w, places, tfs) of each word's block by falling bound; norm: the chunks' part of the denominator.
+    """
+    rest = np.cumsum([x[0] for x in words][::-1])[::-1]
+    part, least = np.zeros(len(norm)), floor
+    for i, (_, w, places, tfs) in enumerate(words):
+        top = part[open_to]
+        if len(top) > k and rest[i] < top.max(initial=0.0):
+            least = max(least, float(np.partition(top, -k)[-k]) - SLACK)
+        if rest[i] < least:
+            able = open_to[top + rest[i] >= least]
+            for _, w, places, tfs in words[i:]:
+                at = np.searchsorted(places, able)
+                hit = at < len(places)
+                hit[hit] = places[at[hit]] == able[hit]
+                part[able[hit]] += w * (tfs[at[hit]] * gain / (norm[able[hit]] + tfs[at[hit]]))
+            open_to = able
+            break
+        part[places] += w * (tfs * gain / (norm[places] + tfs))
+    found = open_to[(part[open_to] > 0) & (part[open_to] >= least)]
+    if len(found) > k:
+        found = found[part[found] >= np.partition(part[found], -k)[-k] - SLACK]
+    return found, part[found]
+
+
+def _search_shards(pairs: DataFrame, weighted: DataFrame, wants: DataFrame, n_groups: int, index: KeywordIndex, k: int, s: Settings) -> DataFrame:
+    """(query_id, chunk_id, seq, part): the best chunks of each pair of a question and a shard (query_id, seg, shard, floor)."""
+    ident, member = dict(weighted.dtypes)["query_id"], index.shards.schema["members"].dataType.elementType
+    group = F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("group")
+    asked = pairs.join(wants, "query_id").groupBy(*_PLACE, group).agg(F.collect_list(F.struct("query_id", "want_doc", "want_year", "floor")).alias("asked"))
+    # Of a group of questions each word's block is sent to its shard once.
+    by_word = weighted.groupBy(group, "term").agg(F.collect_list(F.struct("query_id", "w")).alias("by"), F.first("avgdl").alias("avgdl"))
+    blocks = by_word.join(index.blocks, "term").join(asked.select(*_PLACE, "group"), [*_PLACE, "group"], "left_semi")
+    words = blocks.groupBy(*_PLACE, "group").agg(F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("by", "max_tf", "min_ratio", "postings")).alias("words"))
+    rows = words.join(asked, [*_PLACE, "group"]).join(index.shards, _PLACE)
+    if index.gone is not None:
+        rows = rows.join(index.gone, _PLACE, "left")
+    else:
+        rows = rows.withColumn("places", F.lit(None).cast("array<int>"))
+    names, gain = ["query_id", "chunk_id", "seq", "part"], s.k1 + 1
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                yield one(*(batch.column(c)[row] for c in ("words", "asked", "members", "places", "avgdl")))
+
+    def one(words, asked, members, places, avgdl):
+        members, words, asked, avgdl = members.values, words.values, asked.values, avgdl.as_py()
+        norm = s.k1 * (1 - s.b + s.b * members.field("dl").to_numpy() / avgdl)
+        alive = np.ones(len(norm), bool)
+        if places.is_valid:
+            alive[places.values.to_numpy()] = False
+        of: dict = {}
+        facts = zip(words.field("by"), words.field("max_tf").to_pylist(), words.field("min_ratio").to_pylist(), words.field("postings"))
+        for by, max_tf, ratio, postings in facts:
+            at, tfs = (postings.values.field(c).to_numpy() for c in ("place", "tf"))
+            for query_id, w in zip(by.values.field("query_id").to_pylist(), by.values.field("w").to_pylist()):
+                of.setdefault(query_id, []).append((w * gain / (s.k1 * (1 - s.b) / max_tf + s.k1 * s.b * ratio / avgdl + 1), w, at, tfs))
+        masks: dict = {}
+
+        def mask(column, want):
+            if (column, want) not in masks:
+                masks[column, want] = pc.fill_null(pc.equal(members.field(column), want), False).to_numpy(zero_copy_only=False)
+            return masks[column, want]
 
-def query_filter(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows joined to their queries keep to the queries' name and year; empty ones filter nothing, a null never matches."""
-    no = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    return rows.where((no("want_doc") | F.col("doc_name").eqNullSafe(F.col("want_doc"))) & (no("want_year") | F.col("fiscal_year").eqNullSafe(F.col("want_year"))))
+        ids, found, parts = [], [], []
+        for a in asked.to_pylist():
+            keep_to = alive
+            for column, want in (("doc_name", a["want_doc"]), ("fiscal_year", a["want_year"])):
+                if want:
+                    keep_to = keep_to & mask(column, want)
+            held = sorted(of.get(a["query_id"], []), key=lambda x: -x[0])
+            if held and keep_to.any():
+                at, part = best_of_shard(held, norm, np.flatnonzero(keep_to), a["floor"], k, gain)
+                ids += [a["query_id"]] * len(at)
+                found.append(at)
+                parts.append(part)
+        at = pa.array(np.concatenate([np.zeros(0, np.int64), *found]))
+        columns = [pa.array(ids, asked.field("query_id").type), members.field("chunk_id").take(at), members.field("seq").take(at), pa.array(np.concatenate([np.zeros(0), *parts]))]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([pairs.schema["query_id"], T.StructField("chunk_id", member["chunk_id"].dataType), T.StructField("seq", member["seq"].dataType), T.StructField("part", T.DoubleType())])
+    return rows.select("words", "asked", "members", "places", "avgdl").mapInArrow(run, schema)
 
 
 def wanted(queries: DataFrame) -> DataFrame:
@@ -40,38 +235,46 @@ def wanted(queries: DataFrame) -> DataFrame:
 
 
 def keyword_search(queries: DataFrame, index: KeywordIndex, settings: Settings = DEFAULTS, top_k: int | None = None) -> DataFrame:
-    """(query_id, chunk_id, seq, bm25_score): the best chunks of each question that has a word of the index.
+    """(query_id, chunk_id, seq, bm25_score, bm25_rank): the best chunks of each question that has a word of the index.
 
-    A chunk without any of the words still has the constant part of the score.  Such chunks can only
-    fill up a list that has too few others, so the first ``top_k`` chunks of the filtered order are
-    enough of them.
+    Empty filters filter nothing, a null name or year of a chunk never matches.  A chunk without any of the
+    words still has the constant part of the score.  Such chunks can only fill up a list that has too
+    few others, so the first ``top_k`` chunks of the filtered order are enough of them.
     """
-    k = top_k or settings.keyword_top_k
-    terms = queries.select("query_id", F.explode(tokens(F.col("question"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    # The one row of corpus statistics.
-    weighted = terms.join(index.df, "term").crossJoin(index.stats).select("query_id", "term", "n", "avgdl", (F.col("qtf") * F.log((F.col("n") + 1) / F.col("df"))).alias("w"))
-    base = weighted.groupBy("query_id").agg(F.sum(F.col("w") * settings.delta).alias("base"))
-    tf, length = F.col("tf"), 1 - settings.b + settings.b * F.col("dl") / F.col("avgdl")
-    part = F.col("w") * (tf * (settings.k1 + 1) / (settings.k1 * length + tf))
-    hits = weighted.join(index.postings, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("part"))
-    wants = wanted(queries)
-    found = query_filter(queries, hits.join(wants, "query_id").join(index.chunks, "chunk_id")).select("query_id", "chunk_id", "seq", "part")
-    heads = [_first(index.chunks, by_doc, by_year, k) for by_doc in (False, True) for by_year in (False, True)]
-    first = heads[0]
-    for x in heads[1:]:
-        first = first.unionByName(x)
-    key = lambda c: F.coalesce(F.col(c), F.lit(""))
-    fill = wants.join(base, "query_id").withColumns({"fd": key("want_doc"), "fy": key("want_year")}).join(first, ["fd", "fy"]).select("query_id", "chunk_id", "seq")
-    rest = fill.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("part", F.lit(0.0))
-    scored = found.unionByName(rest).join(base, "query_id").withColumn("bm25_score", F.col("part") + F.col("base")).where("bm25_score > 0")
+    k, s = top_k or settings.keyword_top_k, settings
+    weighted, wants = keep(weigh(queries, index), "weighted"), keep(wanted(queries), "wanted")
+    n_groups = -(-max(1, wants.count()) // QUESTIONS)
+    base = weighted.groupBy("query_id").agg(F.sum(F.col("w") * s.delta).alias("base"))
+    heads = index.blocks.select(*_PLACE, "term", "max_tf", "min_ratio")
+    sums = weighted.join(heads, "term").groupBy("query_id", *_PLACE).agg(F.sum(_bound(s)).alias("bound"))
+    search = lambda pairs: _search_shards(pairs, weighted, wants, n_groups, index, k, s)
+    none = F.lit(float("-inf"))
+    if index.shards.count() <= AT_ONCE:
+        found = keep(search(sums.withColumn("floor", none)), "found")
+    else:
+        highest = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("bound"), *_PLACE)) == 1
+        pairs = keep(sums.withColumn("first", highest), "pairs")
+        first = keep(search(pairs.where("first").withColumn("floor", none)), "first")
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("part")))
+        floors = first.withColumn("r", place).where(F.col("r") == k).select("query_id", (F.col("part") - SLACK).alias("floor"))
+        others = pairs.where("not first").join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", none)).where(F.col("bound") >= F.col("floor"))
+        found = keep(first.unionByName(search(keep(others.drop("bound", "first"), "others"))), "found")
+    scored = found.unionByName(_fill(found, base, wants, index, k)).join(base, "query_id").withColumn("bm25_score", F.col("part") + F.col("base"))
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25_score", 9)), "seq")
     return scored.withColumn("bm25_rank", F.row_number().over(best)).where(F.col("bm25_rank") <= k).select("query_id", "chunk_id", "seq", "bm25_score", "bm25_rank")
 
 
-def _first(chunks: DataFrame, by_doc: bool, by_year: bool, k: int) -> DataFrame:
-    """The first k chunks under each filter of one form; '' is no filter."""
-    rows = chunks.select("chunk_id", "seq", F.col("doc_name").alias("fd") if by_doc else F.lit("").alias("fd"), F.col("fiscal_year").alias("fy") if by_year else F.lit("").alias("fy"))
-    if not (by_doc or by_year):
-        return rows.orderBy("seq").limit(k)
-    order = Window.partitionBy("fd", "fy").orderBy("seq")
-    return rows.where("fd is not null and fy is not null").where((F.col("fd") != "") | F.lit(not by_doc)).where((F.col("fy") != "") | F.lit(not by_year)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+def _fill(found: DataFrame, base: DataFrame, wants: DataFrame, index: KeywordIndex, k: int) -> DataFrame:
+    """The first chunks under the filters of each question that has found fewer than k, less those found."""
+    key = lambda c: F.coalesce(F.col(c), F.lit(""))
+    short = base.select("query_id").join(found.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < k)
+    asked = short.join(wants, "query_id").select("query_id", key("want_doc").alias("fd"), key("want_year").alias("fy"))
+    if asked.isEmpty():
+        return found.where("false")
+    # A chunk is in four filtered orders; only those that are asked for go on, each with its first k chunks.
+    either = lambda c, name: F.array_distinct(F.array_compact(F.array(F.lit(""), F.col(c)))).alias(name)
+    rows = index.live().select("chunk_id", "seq", F.explode(either("doc_name", "d")).alias("fd"), "fiscal_year")
+    rows = rows.select("chunk_id", "seq", "fd", F.explode(either("fiscal_year", "y")).alias("fy")).join(asked.select("fd", "fy").distinct(), ["fd", "fy"])
+    first = rows.withColumn("r", F.row_number().over(Window.partitionBy("fd", "fy").orderBy("seq"))).where(F.col("r") <= k)
+    more = asked.join(first, ["fd", "fy"]).select("query_id", "chunk_id", "seq")
+    return more.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("part", F.lit(0.0))

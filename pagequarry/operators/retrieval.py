@@ -28,20 +28,30 @@ def section_filter(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     return candidates.join(wants, "query_id").where((F.coalesce("__want", F.lit("")) == "") | F.coalesce(hit, F.lit(False))).drop("__want")
 
 
+def shared_words_logit(question: Column, words: Column) -> Column:
+    """A deterministic stand-in for a cross-encoder: the share of the question's words that are among the words, from -11 to 11."""
+    asked = F.array_distinct(tokens(question))
+    hit = F.size(F.array_intersect(asked, words))
+    return F.when(F.size(asked) > 0, hit / F.size(asked) * 22.0 - 11.0).otherwise(F.lit(-11.0))
+
+
 def lexical_logit(question: Column, text: Column) -> Column:
-    """A deterministic stand-in for a cross-encoder: the share of the question's words that the text has, from -11 to 11."""
-    words = F.array_distinct(tokens(question))
-    hit = F.size(F.array_intersect(words, tokens(text)))
-    return F.when(F.size(words) > 0, hit / F.size(words) * 22.0 - 11.0).otherwise(F.lit(-11.0))
+    """The same of a text's words."""
+    return shared_words_logit(question, tokens(text))
+
+
+def counted_logit(question: Column, tfs: Column) -> Column:
+    """The same of the words that a keyword index has counted, so no text is read."""
+    return shared_words_logit(question, F.map_keys(tfs))
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_logit, settings: Settings = DEFAULTS) -> DataFrame:
+def rerank(candidates: DataFrame, queries: DataFrame, scorer: Callable[[Column, Column], Column] = lexical_logit, settings: Settings = DEFAULTS, on: str = "indexed_text") -> DataFrame:
     """Adds rerank_score and rank, and keeps the best top_n of each question; null scores count as 0, ties stay in candidate order.
 
-    candidates: query_id, chunk_id, position, indexed_text, and what else is to be kept.
+    candidates: query_id, chunk_id, position, the column that is scored with the question, and what else is to be kept.
     """
     asked = queries.select("query_id", "question", "top_n")
-    scored = candidates.join(asked, "query_id").withColumn("rerank_score", scorer(F.col("question"), F.col("indexed_text")))
+    scored = candidates.join(asked, "query_id").withColumn("rerank_score", scorer(F.col("question"), F.col(on)))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.coalesce("rerank_score", F.lit(0.0))), "position")
     most = F.coalesce(F.when(F.col("top_n") > 0, F.col("top_n")), F.lit(settings.top_n))
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("question", "top_n", "indexed_text")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("question", "top_n", on)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.index_store import resident_keyword_index
+from ..operators.index_store import file_state, resident_keyword_index
 from ..operators.ingest import with_indexed_text
+from ..operators.vector_store import resident_vector_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,12 @@ def vector_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").join(d, "vec_id", "left").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"), "doc_name", "fiscal_year")
 
 
+def vector_index(spark: SparkSession, sf_dir: str):
+    """The resident index of the embeddings."""
+    files = [*table(spark, sf_dir, "embeddings").inputFiles(), *table(spark, sf_dir, "documents").inputFiles()]
+    return resident_vector_index(spark, file_state(spark, files), lambda: vector_rows(spark, sf_dir))
+
+
 def vector_questions(spark: SparkSession, sf_dir: str, filtered: bool = False) -> DataFrame:
     """The questions with the vector of the same number."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))

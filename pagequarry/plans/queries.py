@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions import text as X
-from ..operators import basis, calibration, chunking, confidence, entities, ingest, keyword, responses, retrieval, vectors
+from ..operators import basis, calibration, chunking, confidence, entities, ingest, keyword, responses, retrieval, vector_store
+from ..operators.scratch import keep
 from ..streaming.ingest import event_counts as windowed_events
-from .bindings import chunks, keyword_index, questions, table, turns_as_pages, vector_questions, vector_rows
+from .bindings import chunks, keyword_index, questions, table, turns_as_pages, vector_index, vector_questions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -134,7 +135,7 @@ def term_df_top(spark, sf_dir):
 
 
 def _vector(spark, sf_dir, filtered=False, overfetch=None) -> DataFrame:
-    return vectors.vector_search(vector_questions(spark, sf_dir, filtered), vector_rows(spark, sf_dir), overfetch=overfetch)
+    return vector_store.search_index(vector_questions(spark, sf_dir, filtered), vector_index(spark, sf_dir), overfetch=overfetch)
 
 
 @query("WITH" + _vector_parts() + _VE_OUT)
@@ -177,8 +178,16 @@ def hybrid_section_filter(spark, sf_dir):
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
-    c = chunks(spark, sf_dir).drop("seq")
-    return retrieval.rerank(_hybrid(spark, sf_dir).join(c, "chunk_id"), questions(spark, sf_dir))
+    """The best candidates, from what the keyword index keeps of each chunk."""
+    about = keyword_index(spark, sf_dir).live().drop("seg", "shard", "place", "seq", "dl")
+    candidates = keep(_hybrid(spark, sf_dir), "candidates").join(about, "chunk_id")
+    return retrieval.rerank(candidates, questions(spark, sf_dir), retrieval.counted_logit, on="tfs")
+
+
+def _with_texts(spark, sf_dir, ranked: DataFrame) -> DataFrame:
+    """Texts are fetched for ranked chunks only."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return keep(ranked, "ranked").join(texts, "chunk_id")
 
 
 @query(_RERANK + " SELECT query_id, chunk_id, rank, round(score, 6) AS rerank_score, retrieval_source FROM top")
@@ -418,7 +427,7 @@ def citation_resolve(spark, sf_dir):
 SELECT query_id, coalesce(min(rank) FILTER (contains(t, query_id::VARCHAR) AND fiscal_year = 'en'), -1)::INTEGER AS expected_rank, coalesce(min(rank) FILTER (contains(t, query_id::VARCHAR)), -1)::INTEGER AS rank_any_basis FROM h GROUP BY 1"""
 )
 def digits_match_rank(spark, sf_dir):
-    hits = _ranked(spark, sf_dir).withColumn("basis", F.col("fiscal_year"))
+    hits = _with_texts(spark, sf_dir, _ranked(spark, sf_dir)).withColumn("basis", F.col("fiscal_year"))
     probes = questions(spark, sf_dir).select("query_id", F.col("query_id").cast("string").alias("expect_figure"), F.lit("en").alias("expect_basis"))
     return calibration.first_hits(hits, probes).select("query_id", *(F.coalesce(c, F.lit(-1)).alias(c) for c in ("expected_rank", "rank_any_basis")))
 
@@ -453,7 +462,7 @@ answers AS (SELECT query_id, '{responses.NO_ANSWER}' || chr(10) || chr(10) || st
 SELECT query_id, sha256(answer) AS answer_sha256, length(answer)::INTEGER AS n_chars FROM answers"""
 )
 def extractive_answers(spark, sf_dir):
-    ranked = _ranked(spark, sf_dir).withColumn("section_title", F.lit(None).cast("string"))
+    ranked = _with_texts(spark, sf_dir, _ranked(spark, sf_dir)).withColumn("section_title", F.lit(None).cast("string"))
     return responses.extractive_answers(ranked).select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.length("answer").alias("n_chars"))
 
 

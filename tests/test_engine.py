@@ -247,20 +247,6 @@ def test_streaming_ingest(spark, tmp_path):
     assert ingest.Store(spark, f"file://{tmp_path}/s").chunks().count() == 2
 
 
-def test_stored_indexes(spark, tmp_path):
-    from pagequarry.operators import index_store
-
-    q = ask(spark, ("revenue fiscal year", None, None, None, None))
-    rank = lambda i: [r.chunk_id for r in keyword.keyword_search(q, i).orderBy("bm25_rank").collect()]
-    index_store.save_keyword_index(chunks(spark), f"file://{tmp_path}/k")
-    assert rank(index_store.load_keyword_index(spark, f"file://{tmp_path}/k")) == rank(keyword.build_index(chunks(spark)))
-    target = f"file://{tmp_path}/v"
-    assert index_store.reindex(chunks(spark), target) == 3
-    with pytest.raises(index_store.NotEmpty):
-        index_store.reindex(chunks(spark), target)
-    assert index_store.reindex(chunks(spark), target, force=True) == 6
-
-
 def test_mentions_against_brute_force(spark):
     r = random.Random(7)
     keys = {*names.ALIASES, *names.KNOWN}
