@@ -35,7 +35,9 @@ from .repetition import groups
 from .word_bpe import word_bpe
 
 #: Tokens that are packed together, and bytes of a row batch of the result.
-GROUP_TOKENS, OUT_BYTES = 4 << 20, 16 << 20
+GROUP_TOKENS, OUT_BYTES = 4 << 20, 8 << 20
+#: Bytes of text whose words are encoded together.
+TEXT_BYTES = 8 << 20
 
 
 def cost(length: int, width: int = 1024) -> float:
@@ -168,15 +170,15 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 1, length
         packer = _Packer(length, width, TaskContext.get().partitionId() << 33, group_tokens)
         bpe = word_bpe(tokenizer_file)
         for batch in batches:
-            for part in groups(batch, 1):
-                for doc_id, ids in zip(part.column(0).to_pylist(), bpe.encode(part.column(1).to_pylist())):
+            for part in groups(batch, 1, TEXT_BYTES):
+                for doc_id, ids in zip(part.column(0).to_pylist(), bpe.encode(part.column(1))):
                     packer.add(doc_id, ids + end)
                 yield from packer.batches()
         packer.finish()
         yield from packer.batches()
 
     schema = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def padding(pieces: DataFrame, length: int = 2048) -> DataFrame:

@@ -1,29 +1,33 @@
-"""Ids of a word-level BPE tokenizer (lower case, word ends, white space dropped), word by word.
-
-White space never takes part in a token, so a text is cut at it and every distinct word is encoded
-once; the ids of words are kept in a bounded cache, whose clearing costs time and never results.  A
-word of Latin letters with punctuation after it is merged byte by byte with the vocabulary's ranks; a
-byte that UTF-8 never has stands for the end of a word.  That is the same as merging the listed pairs, as the
-vocabulary has every pair's result at the pair's rank and each entry's own text merges to just that entry.
-All other words go to the tokenizers library, which also reads the special tokens.
+"""Ids of a word-level BPE tokenizer (lower case, word ends, white space dropped), by distinct words.
+
+White space never takes part in a token, so texts are cut at it and each distinct word of a group of texts
+is encoded once; the texts' ids are gathered from those of their words.  A word of Latin letters with punctuation
+after it is merged byte by byte with the vocabulary's ranks; a byte stands for the end of a word.  That is
+the same as merging the listed pairs, as the vocabulary has every pair's result at the pair's rank and each
+entry's own text merges to just that entry.  All other words, and very long ones, go to the tokenizers
+library, which also reads the special tokens.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import struct
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WORD_END = "</w>"
-_END = b"\xff"
+#: Stands for the end of a word; words with this character go to the library.
+_END = "\x01"
 #: Fixed value: where each piece of text ends, as the supported models have it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters that are one piece with each other and with nothing before them.
-_TAIL = b".,;:!?|)(\"-%*"
-#: Below this character lower case is one character for one, and nothing is composed anew.
-_PLAIN_BELOW = "İ"
+#: Letters whose lower case is one letter for one, none of which is composed anew, and punctuation that is one piece with itself.
+_LETTER, _MARK = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xffĀ-į", r"!-/:-@\[-`{-~"
+#: Longer runs go to the library.
+_LONG = 256
+_PLAIN = re.compile(rf"(?:([{_LETTER}]{{1,{_LONG}}})([{_MARK}]{{0,{_LONG}}})|([{_MARK}]{{1,{_LONG}}})|[^\n]*)\n")
 
 
 def byte_characters() -> dict[str, int]:
@@ -36,7 +40,7 @@ def byte_characters() -> dict[str, int]:
 class WordBpe:
     """A tokenizer of this kind; other kinds are refused."""
 
-    def __init__(self, tokenizer_file: str, cache_words: int = 600_000):
+    def __init__(self, tokenizer_file: str):
         import tiktoken
         from tokenizers import Tokenizer
 
@@ -45,17 +49,17 @@ class WordBpe:
             spec = json.load(f)
         self._check(spec)
         self.library = Tokenizer.from_file(tokenizer_file)
-        of = byte_characters()
-        special = {t["content"] for t in spec["added_tokens"]}
-        ranks = {}
+        of, special, end = byte_characters(), {t["content"] for t in spec["added_tokens"]}, _END.encode()
+        ranks, ends = {}, []
         for token, i in spec["model"]["vocab"].items():
             if token not in special:
                 core = token.removesuffix(WORD_END)
-                ranks[bytes(of[c] for c in core) + (_END if core != token else b"")] = i
-        self._merge = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.words: dict[bytes, bytes] = {}
-        self._pieces: dict[bytes, bytes] = {b"": b""}
-        self.cache_words = cache_words
+                ranks[bytes(of[c] for c in core) + (end if core != token else b"")] = i
+                if core != token:
+                    ends.append(i)
+        self._ends = np.zeros(max(ranks.values()) + 1, bool)
+        self._ends[ends] = True
+        self._merge = tiktoken.Encoding("words", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     @staticmethod
     def _check(spec: dict) -> None:
@@ -71,45 +75,49 @@ class WordBpe:
         ):
             raise ValueError("only lower-casing BPE models with word ends, whose ids follow their merges, are supported")
 
-    def _piece(self, piece: bytes) -> bytes:
-        found = self._pieces.get(piece)
-        if found is None:
-            if len(self._pieces) >= self.cache_words:
-                self._pieces = {b"": b""}
-            ids = self._merge(piece + _END)
-            found = self._pieces[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
-
-    def _learn(self, words: set[bytes]) -> None:
-        if len(self.words) + len(words) > self.cache_words:
-            self.words.clear()
-        others = []
-        for w in words:
-            core = w.rstrip(_TAIL)
-            if core.isalpha() or not core:
-                letters = core.lower()
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, starts, sizes): the ids of each word from its start on."""
+        all_words = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary()))
+        lines = pc.binary_join(all_words, b"\n")[0].as_py().decode("utf-8", "replace")
+        pieces, of, others = [], [], []
+        for k, (letters, marks, alone) in zip(range(len(words)), _PLAIN.findall(lines.lower() + "\n")):
+            if letters:
+                pieces.append(letters)
+                of.append(k)
+                if marks:
+                    pieces.append(marks)
+                    of.append(k)
+            elif alone:
+                pieces.append(alone)
+                of.append(k)
             else:
-                text = core.decode("utf-8", "replace")
-                if not text.isalpha() or max(text) >= _PLAIN_BELOW:
-                    others.append(w)
-                    continue
-                letters = text.lower().encode()
-            self.words[w] = self._piece(letters) + self._piece(w[len(core) :])
+                others.append(k)
+        ids = np.array(self._merge(_END.join(pieces) + _END) if pieces else [], np.uint32)
+        lengths = np.diff(np.flatnonzero(self._ends[ids]), prepend=-1)
+        sizes = np.bincount(of, weights=lengths, minlength=len(words)).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        parts, at = [ids], len(ids)
         if others:
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in others], add_special_tokens=False)
-            for w, e in zip(others, found):
-                self.words[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, given in UTF-8, as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]  # at six ASCII characters, which no token holds
-        distinct = set().union(*split)
-        new = distinct.difference(self.words)
-        if new:
-            if len(self.words) + len(new) > self.cache_words:
-                new = distinct
-            self._learn(new)
-        return [b"".join(map(self.words.__getitem__, w)) for w in split]
+            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in words.cast(pa.binary()).take(pa.array(others)).to_pylist()], add_special_tokens=False)
+            for k, e in zip(others, found):
+                parts.append(np.array(e.ids, np.uint32))
+                starts[k], sizes[k] = at, len(e.ids)
+                at += len(e.ids)
+        return np.concatenate(parts), starts, sizes
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (an array of strings without nulls), as little-endian unsigned 32-bit integers."""
+        split = pc.ascii_split_whitespace(texts)  # at six characters, which no token holds
+        coded = split.flatten().dictionary_encode()
+        ids, starts, sizes = self._words(coded.dictionary)
+        word = coded.indices.to_numpy()
+        n = sizes[word]
+        ends = np.cumsum(n)
+        at = np.repeat(starts[word] - (ends - n), n) + np.arange(int(n.sum()))
+        gathered = ids[at].astype("<u4")
+        offsets = split.offsets.to_numpy()
+        cuts = np.concatenate([[0], ends])[offsets - offsets[0]]
+        return [gathered[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 _loaded: dict[str, WordBpe] = {}

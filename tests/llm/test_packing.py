@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,11 +74,12 @@ def test_words_are_encoded_as_by_the_library():
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFéèàçñßÿŁ'.,-|0129 \n\t́"
     texts += ["".join(r.choice(letters) for _ in range(r.randint(0, 80))) for _ in range(400)]
     texts += ["".join(chr(r.choice([r.randint(32, 0x24F), r.randint(0x300, 0x3000), r.randint(0x1F300, 0x1F6FF)])) for _ in range(30)) for _ in range(200)]
-    mine = WordBpe(FILE, cache_words=50)
-    want = [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
-    for k in range(0, len(texts), 7):  # the cache is cleared between
-        assert [as_ids(x).tolist() for x in mine.encode([t.encode() for t in texts[k : k + 7]])] == want[k : k + 7]
-    assert [as_ids(x).tolist() for x in WordBpe(FILE).encode([t.encode() for t in texts])] == want
+    texts += ["x" * 300, "é" * 200 + ".", "ab" * 5000 + "!", "a\x01b \x01", "  lead and trail  \n"]
+    mine, want = WordBpe(FILE), [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    for k in range(0, len(texts), 97):
+        assert [as_ids(x).tolist() for x in mine.encode(pa.array(texts[k : k + 97]))] == want[k : k + 97]
+    assert [as_ids(x).tolist() for x in mine.encode(pa.array(texts).slice(3, 50))] == want[3:53]
+    assert mine.encode(pa.array([], pa.string())) == [] and mine.encode(pa.array([""])) == [b""]
 
 
 def test_every_entry_merges_to_itself():
