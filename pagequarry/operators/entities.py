@@ -2,63 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.text import CORPORATE, listed, normal_name, without_suffix
+from .scratch import keep
 
 #: Fixed value: up to four capitalised words and a corporate suffix.
 SUFFIXED = rf"(?U)\b((?:[A-Z][\w&'’\-]*\s+){{0,3}}[A-Z][\w&'’\-]*\s+(?i:{CORPORATE}))\b"
-_OPEN, _CLOSE = "\x01", "\x02"
+_SPANS = "array<struct<start:int,end:int,name:string>>"
 
 
 def _squashed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)[\s\x01\x02]+", " "))
 
 
-def _known_spans(text: Column, keys: list[str]) -> Column:
-    """(start, end, name) of each place where one of the keys stands as whole words.
+def gazetteer(names_of: DataFrame) -> DataFrame:
+    """(first, key) of lower-case names (key): the first word decides which texts a name is looked for in.  Names without a word are left out."""
+    keys = names_of.select(_squashed(F.col("key")).alias("key")).distinct()
+    return keys.withColumn("first", F.regexp_extract("key", r"(?U)\w+", 0)).where("first <> ''")
 
-    One pass marks the longest key that starts at a place.  Any other key that starts there is a
-    prefix of it, and which keys are prefixes is a fixed table.
+
+def known_names(spark: SparkSession) -> DataFrame:
+    """The fixed tables of names as a gazetteer."""
+    return gazetteer(spark.createDataFrame([(k,) for k in sorted({**names.ALIASES, **names.KNOWN})], "key string"))
+
+
+def _starts(text: Column, key: Column) -> Column:
+    """Every place from 0 where the key stands as whole words; the text is cut before each of them."""
+    here = F.concat(F.lit(r"(?=\Q"), key, F.lit(r"\E(?!\w))"))
+    pieces = F.split(text, F.concat(F.lit(r"(?U)(?<!\w)"), here))
+    at_begin = F.regexp_like(text, F.concat(F.lit("(?U)^"), here))
+    after = F.aggregate(
+        F.slice(pieces, 1, F.size(pieces) - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["starts"], F.array(s["at"] + F.length(p))).alias("starts")), lambda s: s["starts"],
+    )
+    return F.when(at_begin, F.concat(F.array(F.lit(0)), after)).otherwise(after)
+
+
+def known_spans(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(query_id, name, start): where texts (query_id, text; squashed) name what the gazetteer has.
+
+    Distinct words meet the names' first words, so a name costs nothing in texts without it, however
+    many names there are; texts are fetched only for the names that may be in them.
     """
-    longest_first = sorted(keys, key=lambda k: (-len(k), k))
-    quoted = "|".join(rf"\Q{k}\E" for k in longest_first)
-    marked = F.regexp_replace(text, F.lit(rf"(?U)(?<!\w)(?=({quoted})(?!\w))"), F.lit(f"{_OPEN}$1{_CLOSE}"))
-    whole = lambda k, p: k.startswith(p) and (k == p or not (k[len(p)].isalnum() or k[len(p)] == "_"))
-    shorter = {k: [p for p in longest_first if whole(k, p)] for k in longest_first}
-    nested = F.create_map(*(c for k, ps in shorter.items() if len(ps) > 1 for c in (F.lit(k), F.array(*map(F.lit, ps)))))
-    pieces = F.split(marked, _OPEN)
+    words = texts.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("first"))
+    maybe = keep(words.join(known, "first").select("query_id", "key"), "maybe")
+    named = maybe.join(texts, "query_id").where(F.contains("text", F.col("key")))
+    return named.select("query_id", F.col("key").alias("name"), F.explode(_starts(F.col("text"), F.col("key"))).alias("start"))
 
-    def step(state, piece):
-        name = F.substring_index(piece, _CLOSE, 1)
-        here = F.transform(F.coalesce(F.try_element_at(nested, name), F.array(name)), lambda n: F.struct(state["at"].alias("start"), (state["at"] + F.length(n)).alias("end"), n.alias("name")))
-        return F.struct((state["at"] + F.length(piece) - F.length(name) - 1).alias("at"), F.concat(state["spans"], here).alias("spans"))
 
-    none = F.array().cast("array<struct<start:int,end:int,name:string>>")
-    first = F.struct(F.length(pieces[0]).alias("at"), none.alias("spans"))
-    return F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda s: s["spans"])
+def suffixed_spans(texts: DataFrame) -> DataFrame:
+    """(query_id, name, start, place): capitalised words before a corporate suffix, in the order of the text (query_id, question, text)."""
+    maybe = texts.where(F.col("text").rlike(rf"(?U)\s(?:{CORPORATE})\b"))
+    raw = maybe.select("query_id", "text", F.posexplode(F.regexp_extract_all("question", F.lit(SUFFIXED), F.lit(1))).alias("place", "raw"))
+    placed = raw.withColumn("name", _squashed(F.col("raw"))).withColumn("start", F.instr("text", F.col("name")) - 1)
+    return placed.where("start >= 0").select("query_id", "name", "start", "place")
 
 
-def mentions(question: Column) -> Column:
-    """The company names of a question, longest first, each stretch of text used once.
+def mentions(questions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(query_id, mentions): the company names of each question that has any, longest first, each stretch of text used once.
 
     Known names come first, equal lengths in the alphabet's order and then in that of the text;
-    after them names with a corporate suffix, in the order of the text.  Null and empty questions
-    name none.
+    after them names with a corporate suffix, in the order of the text.  query_id is unique.
     """
-    asked = F.coalesce(question, F.lit(""))
-    text = _squashed(asked)
-    ranked = F.transform(_known_spans(text, list({**names.ALIASES, **names.KNOWN})), lambda s: F.struct((-F.length(s["name"])).alias("size"), s["name"].alias("name"), s["start"].alias("start"), s["end"].alias("end")))
-    span = lambda start, end, name: F.struct(start.alias("start"), end.alias("end"), name.alias("name"))
-    known = F.transform(F.array_sort(ranked), lambda s: span(s["start"], s["end"], s["name"]))
-    placed = lambda raw: span((F.instr(text, raw) - 1), (F.instr(text, raw) - 1) + F.length(raw), raw)
-    suffixed = F.filter(F.transform(F.regexp_extract_all(asked, F.lit(SUFFIXED), F.lit(1)), lambda m: placed(_squashed(m))), lambda s: s["start"] >= 0)
-    free = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))
-    none = F.array().cast("array<struct<start:int,end:int,name:string>>")
-    taken = F.aggregate(F.concat(known, suffixed), none, lambda acc, s: F.when(free(acc, s), F.concat(acc, F.array(s))).otherwise(acc))
-    return F.transform(taken, lambda s: s["name"])
+    known = known_names(questions.sparkSession) if known is None else known
+    asked = F.coalesce(F.col("question"), F.lit(""))
+    texts = questions.select("query_id", asked.alias("question"), _squashed(asked).alias("text"))
+    spans = known_spans(texts.select("query_id", "text"), known).select("query_id", "name", "start", F.lit(0).alias("late"), (-F.length("name")).alias("order"))
+    spans = spans.unionByName(suffixed_spans(texts).select("query_id", "name", "start", F.lit(1).alias("late"), F.col("place").alias("order")))
+    end = (F.col("start") + F.length("name")).alias("end")
+    ranked = spans.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("late", "order", "name", "start", end))).alias("s"))
+    free = lambda taken, x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"]))
+    span = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["name"].alias("name"))
+    taken = F.aggregate("s", F.array().cast(_SPANS), lambda acc, x: F.when(free(acc, x), F.concat(acc, F.array(span(x)))).otherwise(acc))
+    return ranked.select("query_id", F.transform(taken, lambda x: x["name"]).alias("mentions"))
 
 
 def lookup(spark) -> tuple[DataFrame, DataFrame]:
@@ -80,7 +99,7 @@ def with_canonical(rows: DataFrame, name: str) -> DataFrame:
 
 def foreign_entities(questions: DataFrame, indexed: DataFrame) -> DataFrame:
     """(query_id, names): what a question names and the index (entity) does not have, in order of mention."""
-    each = questions.select("query_id", F.posexplode(mentions(F.col("question"))).alias("place", "mention"))
+    each = mentions(questions).select("query_id", F.posexplode("mentions").alias("place", "mention"))
     each = with_canonical(each, "mention")
     keys = F.array_distinct(F.array_compact(F.array(F.lower("canonical"), F.col("mention"), without_suffix(F.col("mention")))))
     have = indexed.where("entity <> ''").select(normal_name(F.col("entity")).alias("k"), F.col("entity"))

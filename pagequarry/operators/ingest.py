@@ -29,8 +29,8 @@ def guard(incoming: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def prepare(pages: DataFrame, documents: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
-    """(pages with basis, chunks): pages (doc_id, page_number, text, section_heading), documents (doc_id, doc_name, entity, fiscal_year)."""
-    based = assign_basis(pages)
+    """(pages with basis, chunks): pages (doc_id, page_number, text, section_heading, basis if it is known), documents (doc_id, doc_name, entity, fiscal_year)."""
+    based = pages if "basis" in pages.columns else assign_basis(pages)
     chunks = chunk_pages(based, settings).join(documents.select("doc_id", "doc_name", "entity", "fiscal_year"), "doc_id")
     return based, chunks.select(*schemas.CHUNKS.names)
 

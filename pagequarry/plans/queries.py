@@ -307,7 +307,7 @@ def foreign_entity_antijoin(spark, sf_dir):
 
 @query(_MENTIONED + ", n AS (SELECT query_id, count(*) AS n FROM named GROUP BY 1) SELECT query_id, n::INTEGER AS n_mentions FROM n")
 def mention_spans(spark, sf_dir):
-    return _company_questions(spark, sf_dir).select("query_id", F.size(entities.mentions(F.col("question"))).alias("n_mentions")).where("n_mentions > 0")
+    return entities.mentions(_company_questions(spark, sf_dir)).select("query_id", F.size("mentions").alias("n_mentions"))
 
 
 @query(_CHUNKS + " SELECT chunk_id, split_part(indexed_text, chr(10), 1) AS line, sha256(indexed_text) AS indexed_sha FROM idx")

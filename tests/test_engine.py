@@ -271,9 +271,18 @@ def test_mentions_against_brute_force(spark):
                 found.append(k)
         return found
 
-    df = spark.createDataFrame(list(enumerate(texts)), "i long, q string")
-    got = {x.i: x.m for x in df.select("i", entities.mentions(df.q).alias("m")).collect()}
-    assert [got[i] for i in range(len(texts))] == [expected(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "query_id long, question string")
+    got = {x.query_id: x.mentions for x in entities.mentions(df).collect()}
+    assert [got.get(i, []) for i in range(len(texts))] == [expected(t) for t in texts]
+
+
+def test_a_large_table_of_names(spark):
+    keys = [f"maker{i % 1000} of {i}" for i in range(30_000)] + ["3m", "a.b. co", "aa aa", "été & fils", "&&"]
+    known = entities.gazetteer(spark.createDataFrame([(k,) for k in [*keys, "AA  aa"]], "key string"))
+    assert known.count() == len(keys) - 1
+    rows = [(1, "Maker7  of 1007, maker7 of 10078x and maker7 of 7"), (2, "xaa aa aa; 3M-3m 13m"), (3, "A.B. Co. ÉTÉ & Fils"), (4, "nothing && here"), (5, None), (6, "aa aa aa aa " * 300)]
+    got = {r.query_id: r.mentions for r in entities.mentions(spark.createDataFrame(rows, "query_id long, question string"), known).collect()}
+    assert got == {1: ["maker7 of 1007", "maker7 of 7"], 2: ["aa aa", "3m", "3m"], 3: ["été & fils", "a.b. co"], 6: ["aa aa"] * 600}
 
 
 def test_files_are_stored_by_document(spark, tmp_path):
