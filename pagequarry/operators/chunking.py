@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,12 +47,18 @@ def chunk_pages(pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     Adds chunk_id, chunk_index (through the document) and text; blank pages make no chunks.
     """
     limit, overlap = settings.max_words, settings.overlap_sentences
+    names = [*pages.columns, "__i", "__chunk"]
+    schema = T.StructType([*pages.schema.fields, T.StructField("__i", T.IntegerType()), T.StructField("__chunk", T.StringType())])
+    text = pages.columns.index("text")
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: chunk_text(t, limit, overlap))
+    def cut(batches):
+        for batch in batches:
+            found = [chunk_text(t, limit, overlap) for t in batch.column(text).to_pylist()]
+            of = pa.array([k for k, c in enumerate(found) for _ in c], pa.int64())
+            places, chunks = pa.array([i for c in found for i in range(len(c))], pa.int32()), pa.array([x for c in found for x in c], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.take(of).columns, places, chunks], names=names)
 
-    each = pages.where(X.strip(F.coalesce("text", F.lit(""))) != "").select("*", F.posexplode(cut("text")).alias("__i", "__chunk"))
+    each = pages.where(X.strip(F.coalesce("text", F.lit(""))) != "").mapInArrow(cut, schema)
     order = Window.partitionBy("doc_id").orderBy("page_number", "__i")
     return (
         each.withColumns({"chunk_id": F.concat_ws("_", "doc_id", F.concat(F.lit("p"), F.col("page_number").cast("string")), F.col("__i").cast("string")), "chunk_index": F.row_number().over(order) - 1, "text": F.col("__chunk")})

@@ -30,9 +30,9 @@ def assess(queries: DataFrame, scores: DataFrame, foreign: DataFrame | None = No
         .when(top >= s.moderate, "moderate")
         .otherwise("low")
     )
-    none = F.when(F.col("n_scores") == 0, "no chunks were retrieved").otherwise(F.concat(F.lit("none of the "), F.col("n_scores").cast("string"), F.lit(" retrieved chunks has a score")))
+    none = F.when(F.col("n_scores") == 0, "retrieval came back empty").otherwise(F.concat(F.lit("not one score on "), F.col("n_scores").cast("string"), F.lit(" hits")))
     reason = (
-        F.when(gated, F.concat(F.lit("the question names "), listed(F.col("names")), F.lit(", not indexed")))
+        F.when(gated, F.concat(F.lit("asks about "), listed(F.col("names")), F.lit(", of which nothing is held")))
         .when(top.isNull(), none)
         .when(top < s.abstain, F.concat(F.lit("best score "), text, F.lit(" is under the floor")))
         .when(level == "high", F.concat(F.lit("best score "), text, F.lit(", "), F.col("supporting").cast("string"), F.lit(" chunks in support")))
@@ -40,6 +40,6 @@ def assess(queries: DataFrame, scores: DataFrame, foreign: DataFrame | None = No
         .when(level == "moderate", F.concat(F.lit("best score "), text, F.lit(" is under the high threshold")))
         .otherwise(F.concat(F.lit("best score "), text, F.lit(" is weak")))
     )
-    scope = F.lit(f" Indexed: {indexed}." if indexed else "")
-    stop = F.when(gated, F.concat(F.lit("No indexed document is about "), listed(F.col("names")), F.lit("."), scope)).when(top.isNull(), F.concat(F.lit("No usable evidence: "), none, F.lit("."))).when(top < s.abstain, F.lit("The indexed documents do not answer this reliably."))
+    scope = F.lit(f" Companies at hand: {indexed}." if indexed else "")
+    stop = F.when(gated, F.concat(F.lit("Nothing is held on "), listed(F.col("names")), F.lit("."), scope)).when(top.isNull(), F.concat(F.lit("Evidence is missing, as "), none, F.lit("."))).when(top < s.abstain, F.lit("What was found is too weak to answer from."))
     return rows.select("query_id", level.alias("level"), reason.alias("reason"), stop.alias("abstention_reason"), (level == "insufficient").alias("abstained"), "top", "supporting", "n_scores")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import DEFAULTS, Settings
 from ..functions import text as X
+from ..sources import readers
 from .basis import assign_basis
 from .chunking import chunk_pages
 
@@ -87,6 +88,20 @@ class Store:
     def chunk(self, chunk_id: str) -> DataFrame:
         return self.chunks().where(F.col("chunk_id") == chunk_id)
 
+    def ingest_manifest(self, manifest: DataFrame, folder: str, first, second=None, settings: Settings = DEFAULTS) -> DataFrame:
+        """Ingest the files that a manifest (file, doc_name, entity, fiscal_year) names in a folder; returns each document's status.
+
+        If any file is missing, nothing is read or written (:class:`MissingFiles`).  first, second: extractors.
+        """
+        listed = readers.read_files(self.spark, folder)
+        root = F.lit(folder.rstrip("/") + "/")
+        inside = listed.select(F.regexp_replace(F.element_at(F.split("path", F.regexp_replace(root, "^[a-z]+:/*", "/")), -1), "^/+", "").alias("path"), "content")
+        stop_if_missing(readers.missing_files(manifest, inside))
+        files = inside.join(manifest, inside["path"] == manifest["file"]).drop("path")
+        documents = files.select("doc_name", "entity", "fiscal_year", F.col("file").alias("file_path"), F.sha2("content", 256).alias("content_sha256"))
+        pages = readers.extract_pages(files.select(X.doc_id(F.col("doc_name")).alias("doc_id"), "content"), first, second)
+        return self.ingest(documents, pages.where("error is null").drop("error"), settings)
+
     def ingest(self, documents: DataFrame, pages: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         """Write the new ones among documents (doc_name, entity, fiscal_year, file_path, content_sha256) and return each one's status.
 
@@ -183,11 +198,13 @@ def stop_if_missing(missing: DataFrame, most_named: int = 20) -> None:
 
 
 def document_counts(chunks: DataFrame) -> DataFrame:
-    """doc_name, chunks, pages with chunks, chunks by basis."""
-    return chunks.groupBy("doc_name").agg(
+    """doc_name, chunks, pages with chunks, chunks by basis; a row for each document, by name."""
+    counts = chunks.groupBy("doc_name").agg(
         F.count(F.lit(1)).alias("chunks"), F.countDistinct("page_number").alias("pages_with_chunks"), F.count_if(F.col("basis") == "standalone").alias("standalone"), F.count_if(F.col("basis") == "consolidated").alias("consolidated"), F.count_if(F.col("basis").isNull()).alias("undetermined")
     )
+    return counts.orderBy("doc_name")
 
 
 def indexed_entities(chunks: DataFrame) -> DataFrame:
-    return chunks.where("entity <> ''").select("entity").distinct()
+    """The distinct names, in order."""
+    return chunks.where("entity <> ''").select("entity").distinct().orderBy("entity")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import importlib.util
 import json
-from collections.abc import Callable, Iterable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,46 +61,148 @@ def generator_available(module: str, key: str | None) -> tuple[bool, str | None]
     return (True, None) if there else (False, f"{module} is not installed")
 
 
-def answer(prompt: str, fallback: str, generate: Callable[[str], str] | None = None) -> tuple[str, str]:
-    """(text, source): generated, or extractive if there is no generator, it fails, or it says nothing."""
-    if generate is not None:
+class Unavailable(RuntimeError):
+    """A generator that cannot be asked at all: asking again does not help."""
+
+
+@dataclass(frozen=True)
+class Provider:
+    """A generator by name: what answers a prompt at once, and what answers it in fragments."""
+
+    name: str
+    key: str | None
+    generate: Callable[[str], str]
+    stream: Callable[[str], Iterable[str]]
+
+
+def chosen_provider(providers: Sequence[Provider], setting: str | None = None) -> Provider | None:
+    """The provider that is set by name, or the first with a key; none if the setting is "none" or no key is set.
+
+    A name that is not known, or whose key is missing, is an error rather than a silent change of provider.
+    """
+    wanted = (setting or "").strip().lower()
+    if wanted == "none":
+        return None
+    if not wanted:
+        return next((p for p in providers if (p.key or "").strip()), None)
+    named = {p.name: p for p in providers}.get(wanted)
+    if named is None:
+        raise ValueError(f"{wanted!r} is none of {', '.join(p.name for p in providers)} or none")
+    if not (named.key or "").strip():
+        raise ValueError(f"no key is set for {wanted}")
+    return named
+
+
+#: What the text of a failure that may pass has, and what that of an exhausted daily quota has.
+TRANSIENT = ("429", "500", "502", "503", "504", "resource_exhausted", "unavailable", "deadline_exceeded", "internal error")
+DAILY = ("perday", "requests per day", "free_tier_requests", "quota exceeded for metric")
+#: Tries in all, and seconds before the second one, doubled before each further one.
+TRIES, WAIT = 3, 1.0
+
+
+def may_pass(error: Exception) -> bool:
+    """Whether another try could succeed: faults of the setup and a spent day's quota stay."""
+    said = str(error).lower()
+    closed_up = "".join(said.split())
+    spent = "429" in said and any("".join(x.split()) in closed_up for x in DAILY)
+    return not isinstance(error, Unavailable) and not spent and any(x in said for x in TRANSIENT)
+
+
+def answer(prompt: str, fallback: str, generate: Callable[[str], str] | None = None, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep) -> tuple[str, str]:
+    """(text, source): generated, or extractive if there is no generator, it fails for good, or it says nothing."""
+    for n in range(tries if generate else 0):
         try:
             text = generate(prompt)
-        except Exception:  # any failure of a generator falls back
-            text = ""
-        if text and text.strip():
-            return text, "generated"
+            return (text, "generated") if text and text.strip() else (fallback, "extractive")
+        except Exception as e:  # any failure of a generator falls back
+            if n + 1 == tries or not may_pass(e):
+                break
+            sleep(WAIT * 2**n)
     return fallback, "extractive"
 
 
-def streamed(open_stream: Callable[[], Iterable[str]], tries: int = 2) -> Iterator[str]:
-    """The fragments of a generator that is opened anew while it fails before its first fragment; later failures are passed on."""
-    for left in range(tries - 1, -1, -1):
-        begun = False
+def stream_answer(prompt: str, fallback: str, stream: Callable[[str], Iterable[str]] | None = None, tries: int = TRIES, sleep: Callable[[float], None] = time.sleep) -> Iterator[tuple]:
+    """("delta", fragment) for each fragment, then one ("done", text, source), whatever fails.
+
+    A stream is opened again only before its first fragment, and only for failures that may pass.  What was said
+    before a later failure stays and counts as generated; a stream that says nothing ends in the fallback.
+    """
+    for n in range(tries if stream else 0):
+        said = []
         try:
-            for part in open_stream():
-                begun = True
-                yield part
+            for part in stream(prompt):
+                if part:
+                    said.append(part)
+                    yield "delta", part
+            again = False
+        except Exception as e:
+            again = not said and n + 1 < tries and may_pass(e)
+        if said:
+            yield "done", "".join(said), "generated"
             return
-        except Exception:
-            if begun or not left:
-                raise
+        if not again:
+            break
+        sleep(WAIT * 2**n)
+    yield "done", fallback, "extractive"
+
 
+def events(result: dict, parts: Iterable[tuple] = ()) -> Iterator[str]:
+    """Frames of one finished query as text: meta, then abstained, or the deltas and done of :func:`stream_answer`; error if what makes them fails.
 
-def events(result: dict, parts: Iterable[str] = ()) -> Iterator[str]:
-    """Frames of one finished query: meta, then abstained, or deltas and done, or error; one of the last three ends it."""
+    One of the last three ends it, and none of them comes twice.
+    """
     frame = lambda kind, data: f"event: {kind}\ndata: {json.dumps(data, ensure_ascii=False)}\n\n"
     yield frame("meta", {k: result.get(k) for k in ("query_id", "level", "reason", "sources")})
     if result.get("abstained"):
         yield frame("abstained", {"reason": result.get("abstention_reason")})
         return
-    said = []
+    source = result.get("answer_source", "extractive")
     try:
-        for part in parts:
-            said.append(part)
-            yield frame("delta", {"text": part})
+        for kind, *payload in parts:
+            if kind == "done":
+                source = payload[1]
+                break
+            yield frame("delta", {"text": payload[0]})
     except Exception as e:
-        # What was said so far is kept, and marked as not whole.
-        yield frame("error", {"message": str(e), "partial": "".join(said)})
+        yield frame("error", {"message": str(e)})
         return
-    yield frame("done", {"answer_source": result.get("answer_source", "extractive")})
+    yield frame("done", {"answer_source": source})
+
+
+def result_frames(results: DataFrame, sources: DataFrame, answers: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """The frames of finished queries as rows: query_id, seq, event, data (JSON).
+
+    results: query_id, level, reason, abstained, abstention_reason; sources: query_id, sources (an ordered list);
+    answers: query_id, answer; errors: query_id, message, for queries that failed.  A query has one meta frame, then,
+    unless it abstains or failed, a delta for each paragraph of its answer, and one frame that ends it:
+    abstained, error or done.  A query without sources has an empty list, one without an answer is done at once.
+    """
+    failed = errors if errors is not None else results.select("query_id", F.lit(None).cast("string").alias("message")).where("false")
+    rows = results.join(sources, "query_id", "left").join(answers, "query_id", "left").join(failed.select("query_id", "message"), "query_id", "left")
+    frame = lambda event, **data: F.struct(F.lit(event).alias("event"), F.to_json(F.struct(*(c.alias(n) for n, c in data.items())), {"ignoreNullFields": "false"}).alias("data"))
+    stopped, broken = F.coalesce("abstained", F.lit(False)), F.col("message").isNotNull()
+    listed = F.coalesce("sources", F.array().cast(sources.schema["sources"].dataType))
+    parts = F.when(stopped | broken | F.col("answer").isNull(), F.array().cast("array<string>")).otherwise(F.split("answer", "\n\n"))
+    deltas = F.transform(parts, lambda p: frame("delta", text=p))
+    last = F.when(broken, frame("error", message=F.col("message"))).when(stopped, frame("abstained", reason=F.col("abstention_reason"))).otherwise(frame("done", answer_source=F.lit("extractive")))
+    meta = frame("meta", query_id=F.col("query_id"), level=F.col("level"), reason=F.col("reason"), sources=listed)
+    each = rows.select("query_id", F.posexplode(F.concat(F.array(meta), deltas, F.array(last))).alias("seq", "f"))
+    return each.select("query_id", "seq", "f.event", "f.data")
+
+
+def broken_frames(frames: DataFrame) -> DataFrame:
+    """(query_id, fault): queries whose frames break a rule: numbers without gaps, meta first and once, one ending frame and that last, deltas only before done."""
+    ends = F.col("event").isin("done", "abstained", "error")
+    of = frames.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("seq").alias("numbers"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.count_if(F.col("event") == "meta").alias("metas"),
+        F.min(F.when(F.col("event") == "meta", F.col("seq"))).alias("meta"), F.count_if(ends).alias("ends"), F.max(F.when(ends, F.col("seq"))).alias("end"),
+        F.count_if(F.col("event") == "delta").alias("deltas"), F.count_if(F.col("event") == "done").alias("dones"), F.count_if(~ends & ~F.col("event").isin("meta", "delta")).alias("unknown"),
+    )
+    fault = (
+        F.when((F.col("low") != 0) | (F.col("high") != F.col("n") - 1) | (F.col("numbers") != F.col("n")), "numbers")
+        .when((F.col("metas") != 1) | (F.col("meta") != 0), "meta")
+        .when((F.col("ends") != 1) | (F.col("end") != F.col("high")), "end")
+        .when((F.col("deltas") > 0) & (F.col("dones") == 0), "delta")
+        .when(F.col("unknown") > 0, "event")
+    )
+    return of.select("query_id", fault.alias("fault")).where("fault is not null")

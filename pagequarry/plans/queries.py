@@ -26,6 +26,10 @@ def query(sql: str | None = None):
     return add
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def r6(name: str):
     return F.round(name, 6).alias(name)
 
@@ -281,10 +285,6 @@ def _company_questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(ident, F.concat(F.coalesce("text", F.lit("")), F.lit(" what was the revenue of "), name, F.lit("?")).alias("question"))
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 #: Names found in the text by whole words (both with their words' ends marked, as a pattern made anew for each pair takes minutes); one within a longer one does not count, nor does a suffixed name that holds a known one.
 _MENTIONED = rf"""
 WITH q AS (SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') || ' what was the revenue of ' || [{", ".join(map(_quoted, _COMPANIES))}][(conv_id + turn) % {len(_COMPANIES)} + 1] || '?' AS question FROM conversations),
@@ -337,11 +337,50 @@ def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("n_words"), F.size(X.tokens(F.col("text"))).alias("n_tokens"))
 
 
-@query()
-def chunk_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+_HEAD = "substr(page, 1, 500)"
+_HEADINGS = ", ".join(f"substr(nullif(regexp_replace(regexp_extract({_HEAD}, {_quoted(p.replace('(?imd)', '(?im)').replace('(?md)', '(?m)'))}, 1), '^\\s+|\\s+$', '', 'g'), ''), 1, 120)" for p in X.HEADINGS)
+
+
+def _chunks_sql(page: str) -> str:
+    """The chunker by recursion: over the paragraphs, then over the sentences of pieces that are too long."""
+    n_words = lambda c: f"len(list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> ''))"
+    sentences = lambda c: f"string_split(regexp_replace({c}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return rf"""
+WITH RECURSIVE t AS (SELECT substr(sha256(doc_id::VARCHAR), 1, 16) AS doc_id, {page} AS page FROM documents),
+h AS (SELECT doc_id, page, coalesce({_HEADINGS}) AS section_title FROM t),
+g AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(page, '
+{{2,}}'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM t),
+f AS (SELECT doc_id, 1 AS i, [ps[1]] AS held, {n_words("ps[1]")} AS size, NULL::VARCHAR AS out, ps FROM g WHERE len(ps) > 0
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN size + n > 400 THEN [tail, p] ELSE list_append(held, p) END, CASE WHEN size + n > 400 THEN {n_words("tail")} ELSE size END + n,
+    CASE WHEN size + n > 400 THEN array_to_string(held, chr(10) || chr(10)) END, ps
+  FROM (SELECT *, ps[i + 1] AS p, {n_words("ps[i + 1]")} AS n, {sentences("held[len(held)]")}[-1] AS tail FROM f WHERE i < len(ps))),
+piece AS (SELECT doc_id, i, out AS piece FROM f WHERE out IS NOT NULL UNION ALL SELECT doc_id, i + 1, array_to_string(held, chr(10) || chr(10)) FROM f WHERE i = len(ps)),
+long AS (SELECT doc_id, i, {sentences("piece")} AS ss FROM piece WHERE {n_words("piece")} > 400),
+r AS (SELECT doc_id, i, 1 AS j, 1 AS part, {n_words("ss[1]")} AS size, ss FROM long
+  UNION ALL
+  SELECT doc_id, i, j + 1, CASE WHEN size + n > 400 THEN part + 1 ELSE part END, CASE WHEN size + n > 400 THEN n ELSE size + n END, ss FROM (SELECT *, {n_words("ss[j + 1]")} AS n FROM r WHERE j < len(ss))),
+c AS (SELECT doc_id, i, 0 AS part, piece AS text FROM piece WHERE {n_words("piece")} <= 400 UNION ALL SELECT doc_id, i, part, string_agg(ss[j], ' ' ORDER BY j) FROM r GROUP BY doc_id, i, part),
+k AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i, part) - 1)::INTEGER AS chunk_index, text FROM c WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')
+SELECT doc_id || '_p1_' || chunk_index AS chunk_id, chunk_index, {n_words("text")}::INTEGER AS n_words, sha256(text) AS text_sha256, section_title FROM k JOIN h USING (doc_id)"""
+
+
+def _chunked(spark, sf_dir, text) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("text", text)
     pages = d.select(X.doc_id(F.col("doc_id").cast("string")).alias("doc_id"), F.lit(1).alias("page_number"), "text", X.section_heading(F.col("text")).alias("section_heading"))
-    return chunking.chunk_pages(pages).select("chunk_id", "chunk_index", X.word_count(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("text_sha256"))
+    return chunking.chunk_pages(pages).select("chunk_id", "chunk_index", X.word_count(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("text_sha256"), "section_title")
+
+
+@query(_chunks_sql("text"))
+def chunk_documents(spark, sf_dir):
+    return _chunked(spark, sf_dir, F.col("text"))
+
+
+@query(_chunks_sql("upper(source) || ' ANNUAL REPORT' || chr(10) || replace(text, chr(10), chr(10) || chr(10))"))
+def chunk_paragraphs(spark, sf_dir):
+    """Each line a paragraph, under a line in capitals."""
+    head = F.concat(F.upper("source"), F.lit(" ANNUAL REPORT\n"))
+    return _chunked(spark, sf_dir, F.concat(head, F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))))
 
 
 # -- formats --------------------------------------------------------------------------------------
@@ -466,6 +505,30 @@ def extractive_answers(spark, sf_dir):
     return responses.extractive_answers(ranked).select("query_id", F.sha2("answer", 256).alias("answer_sha256"), F.length("answer").alias("n_chars"))
 
 
+@query(
+    _RERANK
+    + rf""", lv AS (SELECT query_id, max(score) AS top, count(*) FILTER (score >= -2) AS supporting FROM top GROUP BY 1),
+res AS (SELECT q.query_id, CASE WHEN top IS NULL OR top < -6 THEN 'insufficient' WHEN top >= 2 AND supporting >= 2 THEN 'high' WHEN top >= -2 THEN 'moderate' ELSE 'low' END AS level FROM q LEFT JOIN lv USING (query_id)),
+src AS (SELECT query_id, list({{'rank': rank, 'chunk_id': chunk_id}} ORDER BY rank) AS sources FROM top GROUP BY 1),
+parts AS (SELECT query_id, rank, '[Source ' || rank || '] ' || doc_name || ' | ' || fiscal_year || ' | Basis not determined | Page ' || page_number || chr(10) || substr(text, 1, 600) || CASE WHEN length(text) > 600 THEN '...' ELSE '' END AS part FROM top),
+said AS (SELECT query_id, string_split('{responses.NO_ANSWER}' || chr(10) || chr(10) || string_agg(part, chr(10) || chr(10) ORDER BY rank), chr(10) || chr(10)) AS texts FROM parts GROUP BY 1),
+fr AS (SELECT query_id, 0 AS seq, 'meta' AS event, to_json({{'query_id': query_id, 'level': level, 'sources': coalesce(sources, [])}})::VARCHAR AS data FROM res LEFT JOIN src USING (query_id)
+  UNION ALL SELECT query_id, unnest(range(1, len(texts) + 1))::INTEGER, 'delta', to_json({{'text': unnest(texts)}})::VARCHAR FROM said JOIN res USING (query_id) WHERE level <> 'insufficient'
+  UNION ALL SELECT query_id, CASE WHEN level = 'insufficient' THEN 1 ELSE coalesce(len(texts), 0) + 1 END, CASE WHEN level = 'insufficient' THEN 'abstained' ELSE 'done' END,
+    CASE WHEN level <> 'insufficient' THEN '{{"answer_source":"extractive"}}' END FROM res LEFT JOIN said USING (query_id))
+SELECT query_id, seq::INTEGER AS seq, event, coalesce(sha256(data), '') AS data_sha256 FROM fr"""
+)
+def result_frames(spark, sf_dir):
+    ranked = keep(_with_texts(spark, sf_dir, _ranked(spark, sf_dir)).withColumn("section_title", F.lit(None).cast("string")), "ranked")
+    results = confidence.assess(questions(spark, sf_dir), ranked)
+    sources = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("sources"))
+    frames = responses.result_frames(results, sources, responses.extractive_answers(ranked))
+    # The wording of reasons is not compared.
+    meta = F.regexp_replace("data", r'"reason":("(?:[^"\\\\]|\\\\.)*"|null),', "")
+    data = F.when(F.col("event") == "meta", meta).when(F.col("event") != "abstained", F.col("data"))
+    return frames.select("query_id", "seq", "event", F.coalesce(F.sha2(data, 256), F.lit("")).alias("data_sha256"))
+
+
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -181,13 +181,13 @@ def test_manifest_and_pages(spark, tmp_path):
     assert readers.page_text("t", [[["a", None], [" b", "c"]]]) == "t\n\n[TABLE]\na | \nb | c\n[/TABLE]"
 
 
-def test_events_and_answers():
-    ok = list(responses.events({"query_id": 1, "level": "high"}, ["a", "b"]))
-    assert [f.split("\n")[0] for f in ok] == ["event: meta", "event: delta", "event: delta", "event: done"]
+def test_events_and_answers(spark):
+    ok = list(responses.events({"query_id": 1, "level": "high"}, responses.stream_answer("p", "f", lambda p: ["a", "", "b"])))
+    assert [f.split("\n")[0] for f in ok] == ["event: meta", "event: delta", "event: delta", "event: done"] and '"generated"' in ok[-1]
     assert [f.split("\n")[0] for f in responses.events({"abstained": True})] == ["event: meta", "event: abstained"]
 
     def broken():
-        yield "a"
+        yield "delta", "a"
         raise RuntimeError("x")
 
     assert list(responses.events({}, broken()))[-1].startswith("event: error")
@@ -195,25 +195,93 @@ def test_events_and_answers():
     assert responses.answer("p", "f", lambda p: "yes") == ("yes", "generated")
 
 
-def test_streams_are_opened_again_only_before_the_first_fragment():
-    import json
+class Failing:
+    """Fails with each of the errors in turn, then answers."""
 
-    opened = []
+    def __init__(self, *errors, before=()):
+        self.errors, self.before, self.asked = list(errors), before, 0
 
-    def fails_first():
-        opened.append(1)
-        if len(opened) == 1:
-            raise RuntimeError("busy")
+    def stream(self, prompt):
+        self.asked += 1
+        yield from self.before
+        if self.errors:
+            raise self.errors.pop(0)
         yield from ("a", "b")
 
-    def fails_later():
-        opened.append(1)
-        yield "a"
-        raise RuntimeError("lost")
+    def generate(self, prompt):
+        return "".join(self.stream(prompt))
+
 
-    assert list(responses.streamed(fails_first)) == ["a", "b"] and len(opened) == 2
-    frames = list(responses.events({}, responses.streamed(fails_later)))
-    assert len(opened) == 3 and json.loads(frames[-1].split("data: ")[1]) == {"message": "lost", "partial": "a"}
+@pytest.mark.parametrize(
+    "errors, asked, waits, good",
+    [
+        (["503 high demand"], 2, [1.0], True),
+        (["429 slow down", "RESOURCE_EXHAUSTED"], 3, [1.0, 2.0], True),
+        (["500", "502", "504", "x"], 3, [1.0, 2.0], False),
+        (["401 bad key"], 1, [], False),
+        (["429 GenerateRequestsPerDayPerProject"], 1, [], False),
+        (["429: quota exceeded for metric x"], 1, [], False),
+        ([responses.Unavailable("503 not installed")], 1, [], False),
+    ],
+)
+def test_only_failures_that_may_pass_are_tried_again(errors, asked, waits, good):
+    errors = [e if isinstance(e, Exception) else RuntimeError(e) for e in errors]
+    for run in ("generate", "stream"):
+        g, slept = Failing(*errors), []
+        if run == "generate":
+            assert responses.answer("p", "f", g.generate, sleep=slept.append) == (("ab", "generated") if good else ("f", "extractive"))
+        else:
+            got = list(responses.stream_answer("p", "f", g.stream, sleep=slept.append))
+            assert got == ([("delta", "a"), ("delta", "b"), ("done", "ab", "generated")] if good else [("done", "f", "extractive")])
+        assert (g.asked, slept) == (asked, waits)
+
+
+def test_streams_keep_what_was_said():
+    g = Failing(RuntimeError("503"), before=["x"])
+    assert list(responses.stream_answer("p", "f", g.stream, sleep=print)) == [("delta", "x"), ("done", "x", "generated")] and g.asked == 1
+    assert list(responses.stream_answer("p", "f", lambda p: iter(()))) == list(responses.stream_answer("p", "f")) == [("done", "f", "extractive")]
+
+
+def test_providers():
+    a, b = (responses.Provider(n, k, str, list) for n, k in (("one", None), ("two", "key")))
+    assert responses.chosen_provider([a, b]) is b and responses.chosen_provider([b, a], " Two ") is b
+    assert responses.chosen_provider([a, b], "none") is None and responses.chosen_provider([a]) is None
+    for setting in ("one", "three"):
+        with pytest.raises(ValueError):
+            responses.chosen_provider([a, b], setting)
+
+
+def test_frames_as_rows(spark):
+    import json
+
+    results = spark.createDataFrame([(1, "high", "r", False, None), (2, "insufficient", "r", True, "why \"so\""), (3, "low", None, False, None), (4, "low", "r", False, None)], "query_id long, level string, reason string, abstained boolean, abstention_reason string")
+    sources = spark.createDataFrame([(1, [(1, "c")])], "query_id long, sources array<struct<rank:int,chunk_id:string>>")
+    answers = spark.createDataFrame([(1, "one\n\ntwo"), (2, "not said"), (4, "lost")], "query_id long, answer string")
+    frames = responses.result_frames(results, sources, answers, spark.createDataFrame([(4, "gone")], "query_id long, message string"))
+    got = {}
+    for r in frames.orderBy("query_id", "seq").collect():
+        got.setdefault(r.query_id, []).append((r.seq, r.event, json.loads(r.data)))
+    assert got[1] == [(0, "meta", {"query_id": 1, "level": "high", "reason": "r", "sources": [{"rank": 1, "chunk_id": "c"}]}), (1, "delta", {"text": "one"}), (2, "delta", {"text": "two"}), (3, "done", {"answer_source": "extractive"})]
+    assert got[2][1:] == [(1, "abstained", {"reason": 'why "so"'})] and got[4][1:] == [(1, "error", {"message": "gone"})]
+    assert got[3] == [(0, "meta", {"query_id": 3, "level": "low", "reason": None, "sources": []}), (1, "done", {"answer_source": "extractive"})]
+    assert responses.broken_frames(frames).isEmpty()
+    bad = {"numbers": [(0, "meta"), (2, "done")], "meta": [(0, "done")], "end": [(0, "meta"), (1, "done"), (2, "abstained")], "delta": [(0, "meta"), (1, "delta"), (2, "error")], "event": [(0, "meta"), (1, "odd"), (2, "done")]}
+    rows = spark.createDataFrame([(i, n, e) for i, f in enumerate(bad.values()) for n, e in f], "query_id long, seq int, event string")
+    assert {r.query_id: r.fault for r in responses.broken_frames(rows).collect()} == dict(enumerate(bad))
+
+
+def test_a_missing_file_stops_an_ingest(spark, tmp_path):
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    (tmp_path / "in" / "a.txt").write_text("page one\fpage two")
+    (tmp_path / "in" / "sub" / "b.txt").write_text("only page")
+    rows = [("a.txt", "A", "E", "F"), ("c.txt", "C", "E", "F")]
+    manifest = lambda rows: spark.createDataFrame(rows, "file string, doc_name string, entity string, fiscal_year string")
+    store = ingest.Store(spark, f"file://{tmp_path}/s")
+    with pytest.raises(ingest.MissingFiles, match="1 files are missing: c.txt"):
+        store.ingest_manifest(manifest(rows), f"file://{tmp_path}/in", readers.plain_text)
+    assert store.registry().isEmpty()
+    assert [r.status for r in store.ingest_manifest(manifest(rows[:1]), f"file://{tmp_path}/in", readers.plain_text).collect()] == ["new"]
+    assert [(r.doc_name, r.pages, r.chunks, r.file_path) for r in store.registry().collect()] == [("A", 2, 2, "a.txt")]
 
 
 def test_uploads_and_hit_lists(spark, tmp_path):
