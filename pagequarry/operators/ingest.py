@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 import uuid
 
 import pyarrow as pa
@@ -16,6 +17,7 @@ from ..functions import text as X
 from ..sources import readers
 from .basis import assign_basis
 from .chunking import chunk_pages
+from .scratch import hadoop_path
 
 
 def guard(incoming: DataFrame, registry: DataFrame) -> DataFrame:
@@ -51,23 +53,27 @@ def with_indexed_text(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("indexed_text", X.indexed_text(line, F.col("text")))
 
 
+#: Characters of a document's id that name its bucket: 256 buckets.
+BUCKET_CHARS = 2
+
+
 class Store:
     """Tables in a folder.
 
-    Every chunk is written with the attempt it belongs to.  The registry is written last and names
-    the attempt of each document, and readers see only chunks of registered attempts: what a failed
-    ingest has left behind is never seen, and a retry writes the documents anew under its own.
+    Chunks lie in a folder for each attempt, and in it for each bucket of document ids.  The registry is
+    written last and names the attempt of each document, and readers see only chunks of registered
+    attempts: what a failed ingest has left behind is never seen, goes with :meth:`vacuum`, and a
+    retry writes the documents anew under its own.  A lookup of one document reads one folder.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def _read(self, name: str, schema) -> DataFrame:
-        path = f"{self.folder}/{name}"
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        path, fs = hadoop_path(self.spark, f"{self.folder}/{name}")
+        if not fs.exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
 
     def _registered(self) -> DataFrame:
         return self._read("registry", schemas.STORED_REGISTRY)
@@ -85,8 +91,31 @@ class Store:
     def document(self, doc_id: str) -> DataFrame:
         return self.registry().where(F.col("doc_id") == doc_id)
 
+    def document_chunks(self, doc_id: str) -> DataFrame:
+        """The chunks of one document: its registered attempt and its bucket are partition filters."""
+        found = self._registered().where(F.col("doc_id") == doc_id).select("attempt").first()
+        rows = self._read("chunks", schemas.STORED_CHUNKS).where((F.col("attempt") == (found.attempt if found else "")) & (F.col("bucket") == doc_id[:BUCKET_CHARS]))
+        return rows.where(F.col("doc_id") == doc_id).select(*schemas.CHUNKS.names)
+
     def chunk(self, chunk_id: str) -> DataFrame:
-        return self.chunks().where(F.col("chunk_id") == chunk_id)
+        return self.document_chunks(chunk_id.partition("_")[0]).where(F.col("chunk_id") == chunk_id)
+
+    def vacuum(self, older_than_s: float = 86_400) -> int:
+        """Remove what attempts have left that the registry does not name; returns how many attempts went.
+
+        Attempts that wrote anything in the last ``older_than_s`` seconds may still be at work and stay.
+        Readers never see the files that go.
+        """
+        named = {r.attempt for r in self._registered().select("attempt").distinct().toLocalIterator()}
+        gone = 0
+        for table, prefix in (("chunks", "attempt="), ("status", "")):
+            path, fs = hadoop_path(self.spark, f"{self.folder}/{table}")
+            for s in fs.listStatus(path) if fs.exists(path) else []:
+                name, age = s.getPath().getName(), time.time() - s.getModificationTime() / 1000
+                if name.startswith(prefix) and name[0] not in "._" and name.removeprefix(prefix) not in named and age >= older_than_s:
+                    fs.delete(s.getPath(), True)
+                    gone += table == "chunks"
+        return gone
 
     def ingest_manifest(self, manifest: DataFrame, folder: str, first, second=None, settings: Settings = DEFAULTS) -> DataFrame:
         """Ingest the files that a manifest (file, doc_name, entity, fiscal_year) names in a folder; returns each document's status.
@@ -114,7 +143,9 @@ class Store:
         # The statuses must be known before the registry changes; they are a row for each document given.
         result = f"{self.folder}/status/{attempt}"
         status.select("doc_id", "doc_name", "status").write.parquet(result)
-        chunks.withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.folder}/chunks")
+        placed = chunks.withColumns({"attempt": F.lit(attempt), "bucket": F.substring("doc_id", 1, BUCKET_CHARS)})
+        # Gathered by bucket, a large one over several tasks, so that there are few files.
+        placed.hint("rebalance", F.col("bucket")).write.mode("append").partitionBy("attempt", "bucket").parquet(f"{self.folder}/chunks")
         stored = self._read("chunks", schemas.STORED_CHUNKS).where(F.col("attempt") == attempt)
         registry_rows(based, stored, new).withColumn("attempt", F.lit(attempt)).write.mode("append").parquet(f"{self.folder}/registry")
         return self.spark.read.schema("doc_id string, doc_name string, status string").parquet(result)

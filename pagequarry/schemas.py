@@ -22,7 +22,8 @@ REGISTRY = _struct(
     ("standalone_pages", _i, False), ("consolidated_pages", _i, False), ("file_path", _s, True), ("content_sha256", _s, True), ("ingested_at", T.TimestampType(), False),
 )
 #: What is written: each chunk with the attempt that wrote it, each registered document with the attempt whose chunks count.
-STORED_CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("attempt", _s, False)])
+#: The last two are the folders that chunks lie in: the attempt, and the first characters of the document's id.
+STORED_CHUNKS = T.StructType([*CHUNKS.fields, T.StructField("attempt", _s, False), T.StructField("bucket", _s, False)])
 STORED_REGISTRY = T.StructType([*REGISTRY.fields, T.StructField("attempt", _s, False)])
 VECTORS = _struct(("chunk_id", _s, False), ("vec", T.ArrayType(T.FloatType()), False))
 QUERIES = _struct(("query_id", T.LongType(), False), ("question", _s, False), ("doc_name", _s, True), ("fiscal_year", _s, True), ("section_type", _s, True), ("top_n", _i, True))

@@ -34,11 +34,12 @@ def stream_pages(spark: SparkSession, source: str, folder: str, checkpoint: str,
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def stream_documents(spark: SparkSession, source: str, folder: str, checkpoint: str, settings: Settings = DEFAULTS, late_ms: int = 600_000, files_per_batch: int | None = None, once: bool = True):
+def stream_documents(spark: SparkSession, source: str, folder: str, checkpoint: str, settings: Settings = DEFAULTS, late_ms: int = 600_000, files_per_batch: int | None = None, every: str = "1 second"):
     """A streaming query that ingests JSON files of pages (``pages.INPUT``) whose documents come over many batches.
 
     A document is ingested when it is complete or late, with the basis carried through its pages in
-    state.  A batch that is repeated after a failure finds its documents registered.  ``once``: end after what is there.
+    state.  A batch that is repeated after a failure finds its documents registered.  The query goes on until it is
+    stopped, as documents may turn late without new pages; ``processAllAvailable`` waits for what is there.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     store = Store(spark, folder)
@@ -52,8 +53,7 @@ def stream_documents(spark: SparkSession, source: str, folder: str, checkpoint:
         if not rows.isEmpty():
             ingest_batch(store, rows, settings)
 
-    trigger = {"availableNow": True} if once else {"processingTime": "1 second"}
-    return released.writeStream.outputMode("update").foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return released.writeStream.outputMode("update").foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:

@@ -153,10 +153,17 @@ def test_a_failed_ingest_leaves_nothing_to_see(spark, tmp_path, monkeypatch):
             with pytest.raises(RuntimeError, match="lost"):
                 run(store)
         assert store.chunks().count() == 0 and store.registry().count() == 0
+        assert store.vacuum() == 0 and store.vacuum(older_than_s=0) == 2 and store.vacuum(older_than_s=0) == 0
         monkeypatch.setattr(ingest, "registry_rows", works)
         assert {r.status for r in run(store).collect()} == {"new"} and {r.status for r in run(store).collect()} == {"already_indexed"}
         assert [(r.doc_name, r.chunks, r.pages) for r in store.registry().orderBy("doc_name").collect()] == [("A", 2, 2), ("B", 2, 2)]
         assert store.chunks().count() == store.chunks().select("chunk_id").distinct().count() == store.numbered_chunks().count() == 4
+        assert store.vacuum(older_than_s=0) == 0 and store.chunks().count() == 4
+        ident = store.registry().where("doc_name = 'B'").first().doc_id
+        one = store.document_chunks(ident)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert one.count() == 2 and "PartitionFilters: [isnotnull(attempt" in plan.replace("\n", "") and f"(bucket#" in plan and ident[:2] in plan
+        assert store.document_chunks("0" * 16).isEmpty() and store.chunk(f"{ident}_p2_0").count() == 1 and store.chunk("x").isEmpty()
     listing = pages.where("page_number = 1").orderBy("doc_id").limit(1).select(F.concat(F.lit("/x/"), "doc_id", F.lit(".pdf")).alias("path"))
     assert sorted(r.has_file for r in store.with_files(listing).collect()) == [False, True]
     ingest.stop_if_missing(spark.createDataFrame([], "file string"))

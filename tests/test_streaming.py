@@ -26,7 +26,14 @@ def test_documents_over_three_batches_and_a_restart(spark, tmp_path):
         3: [page(*rows[1]), page(*rows[2]), page(*rows[4]), page(*rows[6]), page(None, 1, "x"), page("C", 1, "never whole", 3)],
     }
     folder = f"file://{tmp_path}/s"
-    run = lambda: stream_documents(spark, f"file://{tmp_path}/in", folder, f"file://{tmp_path}/cp", files_per_batch=1).awaitTermination()
+
+    def run():
+        query = stream_documents(spark, f"file://{tmp_path}/in", folder, f"file://{tmp_path}/cp", files_per_batch=1)
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
     seen = []
     for k, lines in files.items():  # a new query each time, from the checkpoint
         (tmp_path / "in" / f"{k}.json").write_text("\n".join(lines))
@@ -48,7 +55,7 @@ def test_late_documents_are_let_go(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "1.json").write_text(page("L", 2, TEXTS[1], 9) + "\n" + page("L", 1, "story", None))
     folder = f"file://{tmp_path}/s"
-    query = stream_documents(spark, f"file://{tmp_path}/in", folder, f"file://{tmp_path}/cp", late_ms=2000, once=False)
+    query = stream_documents(spark, f"file://{tmp_path}/in", folder, f"file://{tmp_path}/cp", late_ms=2000)
     try:
         for _ in range(90):
             if ingest.Store(spark, folder).registry().count():
