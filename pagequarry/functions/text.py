@@ -244,3 +244,14 @@ def locate_once(page: Column, candidate: Column) -> Column:
     first = F.position(needle, hay)
     again = F.position(needle, hay, first + 1)
     return F.when((F.length(needle) >= 40) & (first > 0) & (again == 0), first)
+
+
+def raw_place(page: Column, candidate: Column) -> Column:
+    """(start from 1, length) on the page as it is of a candidate that the normalised page has exactly once; else null.
+
+    Between the candidate's words the page may have any white space, and either case of letters.
+    """
+    words = F.transform(F.split(normal_name(candidate), " "), lambda w: F.concat(F.lit(r"\Q"), F.replace(w, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    pattern = F.concat(F.lit("(?iu)"), F.array_join(words, r"\s+"))
+    place = F.struct(F.regexp_instr(page, pattern).alias("start"), F.length(F.call_function("regexp_extract", page, pattern, F.lit(0))).alias("length"))
+    return F.when(locate_once(page, candidate).isNotNull(), place)

@@ -285,27 +285,31 @@ def _company_questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").select(ident, F.concat(F.coalesce("text", F.lit("")), F.lit(" what was the revenue of "), name, F.lit("?")).alias("question"))
 
 
-#: Names found in the text by whole words (both with their words' ends marked, as a pattern made anew for each pair takes minutes); one within a longer one does not count, nor does a suffixed name that holds a known one.
+#: Every place of every known name (the text is cut at it; places within words are left out), longest names first, each stretch of text used once, then suffixed names at their first place.
 _MENTIONED = rf"""
 WITH q AS (SELECT conv_id * 1000 + turn AS query_id, coalesce(text, '') || ' what was the revenue of ' || [{", ".join(map(_quoted, _COMPANIES))}][(conv_id + turn) % {len(_COMPANIES)} + 1] || '?' AS question FROM conversations),
 t AS (SELECT query_id, question, trim(regexp_replace(lower(question), '\s+', ' ', 'g')) AS text FROM q),
 k(key, display) AS (VALUES {", ".join(f"({_quoted(k)}, {_quoted(v)})" for k, v in (names.KNOWN | names.ALIASES).items())}),
-mt AS (SELECT query_id, regexp_replace(text, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g') AS marked FROM t),
-mk AS (SELECT key, display, regexp_replace(key, '([\p{{L}}\p{{N}}_]+)', chr(1) || '\1' || chr(2), 'g') AS marked FROM k),
-hit AS (SELECT query_id, key, display FROM mt JOIN mk ON contains(mt.marked, mk.marked)),
-known AS (SELECT * FROM hit h WHERE NOT EXISTS (SELECT 1 FROM hit g WHERE g.query_id = h.query_id AND g.key <> h.key AND contains(g.key, h.key))),
-raw AS (SELECT query_id, unnest(regexp_extract_all(question, {_quoted(entities.SUFFIXED.removeprefix("(?U)"))}, 1)) AS name FROM q),
-other AS (SELECT query_id, name AS display FROM raw r WHERE NOT EXISTS (SELECT 1 FROM known h WHERE h.query_id = r.query_id AND (contains(lower(r.name), h.key) OR contains(h.key, lower(r.name))))),
-named AS (SELECT query_id, display FROM known UNION SELECT query_id, display FROM other)"""
-
-
-@query(_MENTIONED + " SELECT query_id, display AS name FROM named WHERE display <> 'TCS'")
+hit AS (SELECT query_id, key, text, string_split(text, key) AS parts FROM t JOIN k ON contains(t.text, k.key)),
+pos AS (SELECT query_id, key, text, unnest(list_transform(range(1, len(parts)), lambda i: (list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(key))::INTEGER)) AS start FROM hit),
+known AS (SELECT query_id, 0 AS late, -length(key) AS ord, key AS name, start FROM pos
+  WHERE NOT regexp_matches(substr(text, start, CASE WHEN start > 0 THEN 1 ELSE 0 END), '[\p{{L}}\p{{N}}_]') AND NOT regexp_matches(substr(text, start + length(key) + 1, 1), '[\p{{L}}\p{{N}}_]')),
+raw AS (SELECT query_id, text, unnest(x) AS raw, unnest(range(len(x))) AS place FROM (SELECT query_id, text, regexp_extract_all(question, {_quoted(entities.SUFFIXED.removeprefix("(?U)"))}, 1) AS x FROM t)),
+suffixed AS (SELECT query_id, 1 AS late, place AS ord, name, instr(text, name) - 1 AS start FROM (SELECT *, trim(regexp_replace(lower(raw), '\s+', ' ', 'g')) AS name FROM raw) WHERE contains(text, name)),
+span AS (SELECT query_id, list({{'name': name, 'a': start::INTEGER, 'b': (start + length(name))::INTEGER}} ORDER BY late, ord, name, start) AS s FROM (SELECT * FROM known UNION ALL SELECT * FROM suffixed) GROUP BY 1),
+used AS (SELECT query_id, list_reduce(list_transform(s, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a < x[1].b AND x[1].a < y.b)) > 0 THEN acc ELSE list_concat(acc, x) END) AS u FROM span),
+each AS (SELECT query_id, unnest(u).name AS name, unnest(range(len(u))) AS place FROM used),
+shown AS (SELECT query_id, coalesce(display, array_to_string(list_transform(string_split(name, ' '), lambda x: upper(x[1]) || substr(x, 2)), ' ')) AS display, min(place) AS place FROM each LEFT JOIN k ON key = name GROUP BY ALL),
+listed AS (SELECT query_id, list(display ORDER BY place) AS d FROM shown WHERE display <> 'TCS' GROUP BY 1)"""
+
+
+@query(_MENTIONED + " SELECT query_id, CASE WHEN len(d) = 1 THEN d[1] ELSE array_to_string(d[1:len(d) - 1], ', ') || ' and ' || d[len(d)] END AS name FROM listed")
 def foreign_entity_antijoin(spark, sf_dir):
     have = spark.createDataFrame([("TCS",)], "entity string")
     return entities.foreign_entities(_company_questions(spark, sf_dir), have).select("query_id", X.listed(F.col("names")).alias("name"))
 
 
-@query(_MENTIONED + ", n AS (SELECT query_id, count(*) AS n FROM named GROUP BY 1) SELECT query_id, n::INTEGER AS n_mentions FROM n")
+@query(_MENTIONED + " SELECT query_id, len(u)::INTEGER AS n_mentions FROM used")
 def mention_spans(spark, sf_dir):
     return entities.mentions(_company_questions(spark, sf_dir)).select("query_id", F.size("mentions").alias("n_mentions"))
 
@@ -444,6 +448,22 @@ def formatted_amounts(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", X.format_inr(price, 2).alias("amount"), X.format_count(price).alias("whole"))
 
 
+@query(
+    r"""WITH d AS (SELECT doc_id, text, replace(text, ' ', chr(10) || chr(9) || ' ') AS page FROM documents),
+s AS (SELECT doc_id, page, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS s FROM d),
+n AS (SELECT doc_id, page, list_transform(CASE WHEN len(s) > 1 THEN s[2:] ELSE s END, lambda x: regexp_replace(x, '\s+', ' ', 'g')) AS n FROM s),
+c AS (SELECT doc_id, page, list_filter(n, lambda x: length(x) >= 40 AND length(x) = list_max(list_transform(n, lambda y: length(y))))[1] AS candidate FROM n),
+l AS (SELECT *, trim(regexp_replace(lower(page), '\s+', ' ', 'g')) AS hay, lower(candidate) AS needle FROM c WHERE candidate IS NOT NULL),
+u AS (SELECT doc_id, candidate, CASE WHEN contains(hay, needle) AND NOT contains(substr(hay, instr(hay, needle) + 1), needle) THEN regexp_extract(page, array_to_string(list_transform(string_split(candidate, ' '), lambda w: regexp_escape(w)), '\s+')) END AS raw, page FROM l)
+SELECT c.doc_id, sha256(c.candidate) AS candidate_sha256, instr(u.page, raw)::INTEGER AS start, length(raw)::INTEGER AS length FROM c LEFT JOIN u USING (doc_id)"""
+)
+def highlight_places(spark, sf_dir):
+    """The sentence that a viewer marks, on pages whose words stand further apart."""
+    t = F.col("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.highlight(t, F.lit(False)).alias("candidate"), F.replace(t, F.lit(" "), F.lit("\n\t ")).alias("page"))
+    return rows.select("doc_id", F.sha2("candidate", 256).alias("candidate_sha256"), X.raw_place(F.col("page"), F.col("candidate")).alias("at")).select("doc_id", "candidate_sha256", "at.start", "at.length")
+
+
 # -- citations and calibration --------------------------------------------------------------------
 
 

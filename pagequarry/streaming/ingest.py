@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,7 +41,7 @@ def stream_documents(spark: SparkSession, source: str, folder: str, checkpoint:
 
     A document is ingested when it is complete or late, with the basis carried through its pages in
     state.  A batch that is repeated after a failure finds its documents registered.  The query goes on until it is
-    stopped, as documents may turn late without new pages; ``processAllAvailable`` waits for what is there.
+    stopped, as documents may turn late without new pages; see :func:`stop_when_idle`.
     """
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     store = Store(spark, folder)
@@ -56,6 +58,23 @@ def stream_documents(spark: SparkSession, source: str, folder: str, checkpoint:
     return released.writeStream.outputMode("update").foreachBatch(ingest).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
+def stop_when_idle(query, poll_s: float = 0.5) -> None:
+    """Stop a query once two batches have found no new rows; one with timers never ends or waits by itself.
+
+    The first batch after a start may be one that an earlier run had begun, so one alone says nothing.
+    """
+    try:
+        while query.isActive:
+            last = query.recentProgress[-2:]
+            if len(last) == 2 and all(p["numInputRows"] == 0 for p in last):
+                break
+            time.sleep(poll_s)
+        if query.exception():
+            raise query.exception()
+    finally:
+        query.stop()
+
+
 def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums of events in windows, by type, with late rows until the watermark; works on a stream and on a table."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")

@@ -34,7 +34,7 @@ class HeldPages(StatefulProcessor):
         self.pages = handle.getMapState("pages", "page_number int", _PAGE)
         self.expected = handle.getValueState("expected", _EXPECTED)
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         expected = self.expected.get()
         expected = expected[0] if expected else None
         for frame in rows:
@@ -44,14 +44,15 @@ class HeldPages(StatefulProcessor):
                 self.pages.updateValue((int(r.page_number),), tuple(None if pd.isna(x) else x for x in (r.entity, r.fiscal_year, r.text, r.event)))
         if expected is not None:
             self.expected.update((expected,))
-            if sum(1 for _ in self.pages.keys()) >= expected:
-                yield self._release(key, "complete")
-                return
+        whole = expected is not None and sum(1 for _ in self.pages.keys()) >= expected
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.late_ms)
+        if whole:
+            yield self._release(key, "complete")
+            return
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.late_ms)
 
-    def handleExpiredTimer(self, key, timer_values, expired):
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # Spark deletes the timer itself
         if self.pages.exists():
             yield self._release(key, "late")
 
@@ -63,8 +64,6 @@ class HeldPages(StatefulProcessor):
             found.append((key[0], entity, year, number, text, basis, why))
         self.pages.clear()
         self.expected.clear()
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
         return pd.DataFrame(found, columns=_COLUMNS).astype({"page_number": "int32"})
 
     def close(self) -> None:

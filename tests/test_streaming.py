@@ -4,7 +4,7 @@ import time
 from pyspark.sql import functions as F
 
 from pagequarry.operators import ingest
-from pagequarry.streaming.ingest import ingest_batch, stream_documents
+from pagequarry.streaming.ingest import ingest_batch, stop_when_idle, stream_documents
 
 TEXTS = ["story", "Standalone Financial Statements 2024-25\nfigures", "more figures. And a sentence.", "Consolidated Financial Statements 2024-25\nfigures", "figures", "Glossary", "words"]
 
@@ -28,11 +28,7 @@ def test_documents_over_three_batches_and_a_restart(spark, tmp_path):
     folder = f"file://{tmp_path}/s"
 
     def run():
-        query = stream_documents(spark, f"file://{tmp_path}/in", folder, f"file://{tmp_path}/cp", files_per_batch=1)
-        try:
-            query.processAllAvailable()
-        finally:
-            query.stop()
+        stop_when_idle(stream_documents(spark, f"file://{tmp_path}/in", folder, f"file://{tmp_path}/cp", files_per_batch=1))
 
     seen = []
     for k, lines in files.items():  # a new query each time, from the checkpoint

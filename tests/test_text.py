@@ -78,3 +78,16 @@ def test_chip_of_a_source(spark):
     whole, inert = (tuple(r.chip) for r in d.select(X.provenance_chip(*map(F.col, "dneybp")).alias("chip")).collect())
     assert whole == (True, "Acme", "FY2024", "Standalone", "p.7", "Open Report at page 7", "Open source: Acme, FY2024, standalone, page 7")
     assert inert == (False, "Entity ?", "FY ?", "Basis unknown", "p.7", "No stored PDF for Report", "Source (no PDF available): Unknown entity, unknown fiscal year, basis unknown, page 7")
+
+
+def test_places_on_the_page_as_it_is(spark):
+    from pyspark.sql import functions as F
+
+    from pagequarry.functions.text import raw_place
+
+    said = "Revenue (net) rose by 5.2% to Rs 1,62,990 crore in the year"
+    pages = ["Intro.\n\tREVENUE  (net)\nrose by 5.2%\tto Rs 1,62,990 crore in the year. End", said + " " + said, "nothing", None, said.replace("5.2", "5x2")]
+    rows = spark.createDataFrame([(i, p, said) for i, p in enumerate(pages)] + [(9, "short text", "short text"), (10, said, None)], "i int, page string, said string")
+    got = {r.i: r.at and tuple(r.at) for r in rows.select("i", raw_place(F.col("page"), F.col("said")).alias("at")).collect()}
+    assert got == {0: (9, 60), 1: None, 2: None, 3: None, 4: None, 9: None, 10: None}
+    assert pages[0][8 : 8 + 60].lower().split() == said.lower().split()
