@@ -258,6 +258,14 @@ def test_providers():
             responses.chosen_provider([a, b], setting)
 
 
+def test_settings_from_variables():
+    got = Settings.from_variables({"BM25_TOP_K": "7", "RERANK_HIGH_THRESHOLD": "3.5", "GENERATION_PROVIDER": " None ", "FINAL_TOP_N": " ", "OTHER": "x"})
+    assert got == Settings(keyword_top_k=7, high=3.5, provider="none") and Settings.from_variables({}) == Settings()
+    for bad in ({"FINAL_TOP_N": "many"}, {"RERANK_ABSTAIN_THRESHOLD": "9"}, {"CONFIDENCE_MIN_SUPPORTING": "0"}, {"MAX_CHUNK_TOKENS": "-1"}, {"VECTOR_TOP_K": "1.5"}):
+        with pytest.raises(ValueError):
+            Settings.from_variables(bad)
+
+
 def test_frames_as_rows(spark):
     import json
 
