@@ -175,6 +175,7 @@ def page_label(c: Column) -> Column:
     return F.when(c.isNull(), "p.?").otherwise(F.format_string("p.%03d", c.cast("int")))
 
 
+# The wording of a chip's title and label.
 def provenance_chip(doc_id: Column, doc_name: Column, entity: Column, year: Column, basis: Column, page: Column) -> Column:
     """(can_open, entity, fiscal_year, basis, page, title, label) of a cited source; unknown parts have a placeholder.
 

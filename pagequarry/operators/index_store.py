@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import keyword
 from .keyword import KeywordIndex
 from .manifest import Manifest, remove_unnamed
-from .scratch import goes_at_exit, hadoop_path, keep, shared_folder
+from .scratch import goes_at_exit, hadoop_path, shared_folder
 
 
 @dataclass(frozen=True)
@@ -56,23 +56,21 @@ class KeywordStore:
     def _next(self, segments: list[Segment], deletes: bool = False) -> Segment:
         return Segment(max((s.number for s in segments), default=0) + 1, uuid.uuid4().hex, deletes)
 
-    def _write(self, segment: Segment, counted: DataFrame, n_chunks: int) -> None:
+    def _write(self, segment: Segment, counted: DataFrame) -> None:
         """A segment of chunks with their counts; all other tables are made from the stored ones."""
-        keyword.in_shards(counted.withColumn("seg", F.lit(segment.number).cast("long")), n_chunks).write.parquet(self._path(segment, "chunks"))
+        keyword.in_shards(counted.withColumn("seg", F.lit(segment.number).cast("long"))).write.parquet(self._path(segment, "chunks"))
         chunks = self.spark.read.parquet(self._path(segment, "chunks"))
         keyword.lengths(chunks).write.parquet(self._path(segment, "lengths"))
         keyword.make_shards(chunks).write.parquet(self._path(segment, "shards"))
-        # Blocks are clustered by term, so questions read few row groups.
-        blocks = keep(keyword.make_blocks(chunks), "blocks")
-        blocks.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.parquet(self._path(segment, "blocks"))
-        keyword.frequencies(blocks).write.parquet(self._path(segment, "df"))
+        # Sorted by term in each file, so questions read few row groups.
+        keyword.make_blocks(chunks).sortWithinPartitions("term", "shard").write.parquet(self._path(segment, "blocks"))
+        keyword.frequencies(self.spark.read.parquet(self._path(segment, "blocks"))).write.parquet(self._path(segment, "df"))
 
     def add(self, chunks: DataFrame, text: str = "indexed_text") -> int:
         """Add chunks (chunk_id, seq, text, doc_name, fiscal_year, and what else is to be kept); all have the columns of the first ones."""
         base, segments = self.version(), self.segments()
         new = self._next(segments)
-        counted = keep(keyword.count_terms(chunks, text), "counted")
-        self._write(new, counted, counted.count())
+        self._write(new, keyword.count_terms(chunks, text))
         return self._commit(base, [*segments, new])
 
     def delete(self, chunk_ids: DataFrame) -> int:
@@ -95,8 +93,7 @@ class KeywordStore:
         if len(segments) < 2:
             return base
         index, new = self.index(base), self._next(segments)
-        counted = index.live().drop("shard", "place")
-        self._write(new, counted, counted.count())
+        self._write(new, index.live().drop("shard", "place"))
         return self._commit(base, [new])
 
     def vacuum(self) -> int:

@@ -1,8 +1,8 @@
 """Keyword search: BM25+ over blocks of postings with stored bounds, most of which a search passes over.
 
 A chunk's score is the sum over a question's words of w * (delta + part), where part grows with the
-word's count tf in the chunk and falls with the chunk's length dl.  Chunks that stand together (by
-document and order) are a shard; a word's postings in a shard are a block.  A block's largest tf and
+word's count tf in the chunk and falls with the chunk's length dl.  Chunks that stand together are a
+shard; a word's postings in a shard are a block.  A block's largest tf and
 least dl / tf bound the part of all its postings, whatever the mean length has become since.  A search goes
 
 1. for each question to the shard with the highest sum of its words' bounds; the k-th score there is a
@@ -30,8 +30,8 @@ from ..config import DEFAULTS, Settings
 from ..functions.text import tokens
 from .scratch import keep
 
-#: Chunks of a shard, and partitions that the shards of a segment are made in at most.
-SHARD, PARTITIONS = 4096, 2000
+#: Chunks of a shard.
+SHARD = 4096
 #: Questions that are asked together.
 QUESTIONS = 256
 #: An index of no more shards is searched at once, without a floor from each question's best shard.
@@ -84,14 +84,11 @@ def count_terms(chunks: DataFrame, text: str = "indexed_text", seg: int = 0) ->
     return listed.mapInArrow(count, schema).withColumn("seg", F.lit(seg).cast("long"))
 
 
-def in_shards(counted: DataFrame, n_chunks: int) -> DataFrame:
-    """Adds shard and place: chunks of one document and neighbours in order are together."""
-    order = [F.col(c) for c in ("doc_name", "seq", "chunk_id")]
-    parts = min(PARTITIONS, -(-max(1, n_chunks) // SHARD))
-    row = F.monotonically_increasing_id()
-    placed = counted.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__row", row)
+def in_shards(counted: DataFrame) -> DataFrame:
+    """Adds shard and place: chunks that lie together in the input are together, so nothing is moved."""
     at = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
     shard = F.shiftright("__row", 33) * (1 << 24) + F.floor(at / SHARD)
+    placed = counted.withColumn("__row", F.monotonically_increasing_id())
     return placed.withColumns({"shard": shard.cast("long"), "place": (at % SHARD).cast("int")}).drop("__row")
 
 
@@ -101,11 +98,34 @@ def make_shards(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(*_PLACE).agg(F.array_sort(F.collect_list(member)).alias("members"))
 
 
+_BLOCKS = "seg long, shard long, term string, n int, max_tf int, min_ratio double, postings array<struct<place:int,tf:int>>"
+
+
+def _blocks_of_batch(batches):
+    """A word's postings in each shard of a batch of chunks (seg, shard, place, dl, tfs)."""
+    for batch in batches:
+        seg, shard, place, dl, tfs = batch.columns
+        ends = tfs.offsets.to_numpy()
+        row = np.repeat(np.arange(len(tfs)), np.diff(ends))
+        if len(row):
+            term, tf = tfs.keys.slice(ends[0], len(row)).dictionary_encode(), tfs.items.slice(ends[0], len(row)).to_numpy()
+            of = np.unique(shard.to_numpy(), return_inverse=True)[1][row] * len(term.dictionary) + term.indices.to_numpy()
+            order = np.argsort(of, kind="stable")  # within a word in the order of the rows, so of their places
+            first = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0]))
+            head, tf, row = order[first], tf[order], row[order]
+            postings = pa.StructArray.from_arrays([place.take(pa.array(row)), pa.array(tf)], names=["place", "tf"])
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(row)), pa.int32()), postings)
+            at = pa.array(row[first])
+            words = term.dictionary.take(term.indices.take(pa.array(head)))
+            bounds = [np.maximum.reduceat(tf, first), np.minimum.reduceat(dl.to_numpy()[row] / tf, first)]
+            yield pa.RecordBatch.from_arrays([seg.take(at), shard.take(at), words, pa.array(np.diff(np.append(first, len(row))), pa.int32()), *map(pa.array, bounds), lists], names=[c.split()[0] for c in _BLOCKS.split(", ")])
+
+
 def make_blocks(chunks: DataFrame) -> DataFrame:
-    """A word's postings in a shard, with what bounds their scores."""
-    each = chunks.select(*_PLACE, "place", "dl", F.explode("tfs").alias("term", "tf"))
-    posting = F.array_sort(F.collect_list(F.struct("place", "tf")))
-    return each.groupBy(*_PLACE, "term").agg(F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min(F.col("dl") / F.col("tf")).alias("min_ratio"), posting.alias("postings"))
+    """A word's postings in a shard, with what bounds their scores; joined by batches before they are moved."""
+    each = chunks.select(*_PLACE, "place", "dl", "tfs").mapInArrow(_blocks_of_batch, _BLOCKS)
+    postings = F.array_sort(F.flatten(F.collect_list("postings")))
+    return each.groupBy(*_PLACE, "term").agg(F.sum("n").cast("int").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_ratio").alias("min_ratio"), postings.alias("postings"))
 
 
 def frequencies(blocks: DataFrame) -> DataFrame:
@@ -125,8 +145,7 @@ def mean_length(lengths: DataFrame) -> DataFrame:
 
 def build_index(chunks: DataFrame, text: str = "indexed_text") -> KeywordIndex:
     """An index that is not kept, from chunks (chunk_id, seq, text, doc_name, fiscal_year)."""
-    counted = keep(count_terms(chunks, text), "counted")
-    placed = keep(in_shards(counted, counted.count()), "chunks")
+    placed = keep(in_shards(count_terms(chunks, text)), "chunks")
     blocks = keep(make_blocks(placed), "blocks")
     return KeywordIndex(placed, make_shards(placed), blocks, frequencies(blocks), mean_length(lengths(placed)))
 
