@@ -85,10 +85,10 @@ def count_terms(chunks: DataFrame, text: str = "indexed_text", seg: int = 0) ->
 
 
 def in_shards(counted: DataFrame) -> DataFrame:
-    """Adds shard and place: chunks that lie together in the input are together, so nothing is moved."""
+    """Adds shard and place: chunks that lie together in the input are together, in their order, so nothing is moved."""
     at = F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))
     shard = F.shiftright("__row", 33) * (1 << 24) + F.floor(at / SHARD)
-    placed = counted.withColumn("__row", F.monotonically_increasing_id())
+    placed = counted.sortWithinPartitions("seq").withColumn("__row", F.monotonically_increasing_id())
     return placed.withColumns({"shard": shard.cast("long"), "place": (at % SHARD).cast("int")}).drop("__row")
 
 
@@ -163,7 +163,7 @@ def _bound(s: Settings) -> Column:
 
 
 def best_of_shard(words: list[tuple[float, float, np.ndarray, np.ndarray]], norm: np.ndarray, open_to: np.ndarray, floor: float, k: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
-    """(places, parts) of the k best open chunks and all that equal the last of them, with parts of at least the floor.
+    """(places, parts) of the k best open chunks and those as good as the last but for rounding, with parts of at least the floor.
 
     words: (bound, w, places, tfs) of each word's block by falling bound; norm: the chunks' part of the denominator.
     """
@@ -186,6 +186,11 @@ def best_of_shard(words: list[tuple[float, float, np.ndarray, np.ndarray]], norm
     found = open_to[(part[open_to] > 0) & (part[open_to] >= least)]
     if len(found) > k:
         found = found[part[found] >= np.partition(part[found], -k)[-k] - SLACK]
+        # Of equal parts, as copies have, the first k places are enough.
+        found = found[np.lexsort((found, -part[found]))]
+        begins = np.concatenate([[True], np.diff(part[found]) != 0])
+        at = np.arange(len(found))
+        found = found[at - np.maximum.accumulate(np.where(begins, at, 0)) < k]
     return found, part[found]
 
 
